@@ -16,11 +16,17 @@ def op7_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op9_packing": op9_packing}
+QUERIES = {"op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
 ORACLES = {"op7_exact_dedup": _exact.ORACLE}
