@@ -32,14 +32,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/codelode/{uuid.uuid4().hex}/{label}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back. The write's shuffle files go as soon as the table is complete."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+    return write_table(df, new_path(df.sparkSession, label))
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of ``docs``: other columns, whatever their names, stay out; null texts become empty."""
     return docs.select(

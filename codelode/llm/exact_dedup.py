@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, no_space, staged, texts_of
+from .common import new_path, no_space, staged, texts_of, write_table
 
 BUCKET_CAPACITY = 4096
 #: Index entries that one owner task merges and writes.
@@ -73,7 +73,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 1 <= key_bits <= 64:
         raise ValueError("key_bits must be 1 to 64")
-    spark = docs.sparkSession
     compared = _keyed(docs, id_col, text_col, key_bits).groupBy("key", "norm", "points").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     thin = compared.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "points", "doc_id", "n")
     best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id")))
@@ -83,9 +82,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = entries.withColumn("slot", _slot(F.col("key"), depth, key_bits)).join(directory, "slot")
     owner = F.floor(F.col("slot") * n_owners / (1 << depth)).cast("int")
     index = placed.select(owner.alias("owner"), "slot", "depth", "bucket", "key", "sha", "keep_id", "group_size")
-    path = new_path(spark, "index")
-    index.repartition(n_owners, "owner").sortWithinPartitions("slot", "key", "sha").write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(index.schema).parquet(path)
+    return write_table(index.repartition(n_owners, "owner").sortWithinPartitions("slot", "key", "sha"), new_path(docs.sparkSession, "index"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_capacity: int = BUCKET_CAPACITY) -> DataFrame:

@@ -178,7 +178,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.join(ends, "key", "left_semi").select("doc_id", "key", "n", "low", "high")
     texts = docs.join(wanted.select("doc_id", "key"), "doc_id").select("key", "text")
-    sets = staged(texts.mapInArrow(_sets(k), "key long, shingles binary").dropDuplicates(["key"]), f"{label}_sets")
+    sets = staged(texts.mapInArrow(_sets(k), "key long, shingles binary"), f"{label}_sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("shingles_a")).hint("merge"), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("shingles_b")).hint("merge"), "b")
     return staged(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compare, "a long, b long, shared long, joint long"), f"{label}_compared")
@@ -193,7 +193,6 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
     columns are ignored. ``boundary`` overrides the size chosen by cost.
     """
     num, den = threshold
-    spark = docs.sparkSession
     rows = texts_of(docs, id_col, text_col)
     far = F.col("doc_id").isNotNull() & (F.abs("doc_id") >= ID_LIMIT)
     rows = rows.withColumn("doc_id", F.when(far, F.raise_error(F.lit(f"doc_ids must be below {ID_LIMIT} in size"))).otherwise(F.col("doc_id")))

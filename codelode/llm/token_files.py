@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, steps, texts_of
+from .common import new_path, staged, steps, texts_of, write_table
 from .tokens import default_tokenizer, encoder
 
 #: Ids after which a block is closed (a document is never split between blocks).
@@ -150,7 +150,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     rows = ids.filter("kind > 0")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids").select("kind", "doc_id", "ids")
-    ordered.mapInArrow(_encode(rank_of, block_tokens), "shard int, block int, base long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, control binary, data binary").write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    blocks = ordered.mapInArrow(_encode(rank_of, block_tokens), "shard int, block int, base long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, control binary, data binary")
+    write_table(blocks, f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
