@@ -76,7 +76,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for k, size in enumerate(sizes):
             if held and held + size > STEP_BYTES:

@@ -6,6 +6,23 @@ from . import exact_dedup as _exact
 from .common import table
 
 
+def op2_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(toxicity.fold() != 2)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(toxicity.fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op3_decontaminate(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_files(spark, sf_dir):
     from .token_files import token_files
 
@@ -28,5 +45,5 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
 ORACLES = {"op7_exact_dedup": _exact.ORACLE}
