@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, float(np.log(share / (1 - share))))
     expected = (F.col("t") + F.col("c")) * n1 / (n1 + n0)
     clear = F.col("t") * F.log(F.col("t") / expected)
-    top = counts.filter((F.col("t") >= 3) & (clear >= 4)).orderBy(clear.desc(), "feature").limit(FEATURES).collect()
+    top = counts.filter((F.col("t") >= 3) & (clear >= 10)).orderBy(clear.desc(), "feature").limit(FEATURES).collect()
     named = {f for term in SWAPS for f in features_of(term)[:1]}
     index = {f: k for k, f in enumerate(dict.fromkeys([r["feature"] for r in top] + sorted(named)))}
     rows = texts.mapInArrow(_vectors(index), "label int, has array<int>, swapped array<int>").collect()
