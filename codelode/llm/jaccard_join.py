@@ -18,6 +18,9 @@ share at least ``o(a, b) = ceil(t / (1 + t) * (a + b))`` shingles. The steps:
    other components in its list unless the distances to the pivot rule the pair out (the Jaccard distance is a
    metric), and what is left is compared too.
 
+Before whole sets are compared, pairs are checked on the first ``2 p`` shingles of each, p being the length listed:
+linked sets share at least ``min(p_a, p_b)`` of these, so pairs with fewer are ruled out and their sets never move.
+
 The boundary is the one with the least cost, counted from the number of sets of each size.
 Sets are compared as sets of 64-bit shingle hashes, whole.
 """
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, steps, texts_of
+from .common import discard, staged, steps, texts_of
 from .components import components
 from .words import shingle_sets
 
@@ -108,7 +111,7 @@ def _survey(k: int):
     return run
 
 
-_LISTED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("subsets", pa.list_(pa.int64())), ("subset_sizes", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
+_LISTED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("subsets", pa.list_(pa.int64())), ("subset_sizes", pa.list_(pa.int32())), ("head", pa.list_(pa.int64()))])
 
 
 def _list(k: int, frequent: np.ndarray, rank: np.ndarray, boundary: int, num: int, den: int):
@@ -138,7 +141,7 @@ def _list(k: int, frequent: np.ndarray, rank: np.ndarray, boundary: int, num: in
                             sizes.append(c)
                 if n * den // num > boundary:
                     order = np.lexsort((s, np.where(common, rank[at] + 1, 0) if len(frequent) else np.zeros(n)))
-                    prefix = s[order[: prefix_length(n, num, den)]].view(np.int64).tolist()
+                    prefix = s[order[: 2 * prefix_length(n, num, den)]].view(np.int64).tolist()
                 rows.append((doc_id, (min(rare, 65_535) << 47) | (2 * doc_id if doc_id >= 0 else -2 * doc_id - 1), n, np.array(subsets, dtype=np.uint64).view(np.int64).tolist(), sizes, prefix))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LISTED)], schema=_LISTED)
@@ -174,14 +177,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label: str) -> DataFrame:
-    """(a, b, shared, joint) of pairs of node keys; only texts that stand in a pair are shingled again."""
+    """(a, b, shared, joint) of the pairs of node keys that their heads don't rule out; only texts in such a pair are shingled again."""
+    heads = nodes.select("key", "head", "listed")
+    near = pairs.join(heads.toDF("a", "head_a", "listed_a").hint("merge"), "a").join(heads.toDF("b", "head_b", "listed_b").hint("merge"), "b")
+    near = near.filter(F.size(F.array_intersect("head_a", "head_b")) >= F.least("listed_a", "listed_b"))
+    pairs = staged(near.select("a", "b"), f"{label}_near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.join(ends, "key", "left_semi").select("doc_id", "key", "n", "low", "high")
     texts = docs.join(wanted.select("doc_id", "key"), "doc_id").select("key", "text")
     sets = staged(texts.mapInArrow(_sets(k), "key long, shingles binary"), f"{label}_sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("shingles_a")).hint("merge"), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("shingles_b")).hint("merge"), "b")
-    return staged(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compare, "a long, b long, shared long, joint long"), f"{label}_compared")
+    out = staged(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compare, "a long, b long, shared long, joint long"), f"{label}_compared")
+    discard(sets)
+    return out
 
 
 def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
@@ -206,7 +215,8 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
         top_size = LARGEST_LIGHT * den // num + 1
         counted = classes.groupBy(F.least("n", F.lit(top_size)).alias("n")).count().collect()  # a row per small size
         boundary = choose_boundary({r[0]: r[1] for r in counted}, num, den)
-    marks = rows.mapInArrow(_list(shingle_words, frequent, rank, boundary, num, den), "doc_id long, key long, n long, subsets array<long>, subset_sizes array<int>, prefix array<long>")
+    marks = rows.mapInArrow(_list(shingle_words, frequent, rank, boundary, num, den), "doc_id long, key long, n long, subsets array<long>, subset_sizes array<int>, head array<long>")
+    marks = marks.withColumn("listed", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1)
     nodes = staged(marks.join(classes.select(F.col("class_id").alias("doc_id"), "low", "high"), "doc_id").dropDuplicates(["doc_id"]), "nodes")
 
     # Light: sets that share a subset of the size their sizes ask for.
@@ -218,7 +228,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
     light = heads.filter(fits).join(least.hint("merge"), ["subset", "c"]).filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
     # Heavy: every set of an inverted list against the list's pivot.
-    entries = nodes.select("key", "n", F.explode("prefix").alias("shingle"))
+    entries = nodes.select("key", "n", F.explode(F.slice("head", F.lit(1), F.col("listed").cast("int"))).alias("shingle"))
     pivots = entries.groupBy("shingle").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
     met = staged(entries.join(pivots.hint("merge"), "shingle"), "lists")
     size = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"))
@@ -248,6 +258,8 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
         found = _compared(more, rows, nodes, shingle_words, "across").filter(linked).select("a", "b")
         label = components(links.unionByName(found))
 
+    for used in (met, open_, more, compared):
+        discard(used)
     named = nodes.select("key", "n", "low", "high", F.col("doc_id").alias("class_id")).join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_id = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     of_class = named.join(least_id.hint("merge"), "label").select("n", "low", "high", "component_id")
