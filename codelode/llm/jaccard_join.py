@@ -12,13 +12,16 @@ share at least ``o(a, b) = ceil(t / (1 + t) * (a + b))`` shingles. The steps:
    share one of the first ``a - ceil(t * a) + 1`` shingles of each, so only those are listed. The order puts
    frequent shingles last, rarest first: each task counts what it sees in several texts, the counts are summed,
    and the ``FREQUENT`` most frequent are known to all tasks (which ones only changes speed, never results).
+   A shared shingle counts only if enough shingles follow it in both orders to reach ``o(a, b)``.
 4. A list is not expanded into pairs. All its sets are compared with one pivot, the set with fewest rare
    shingles (an original rather than its edited copy). Then components are found. Only lists in which
    several components meet are looked at again: a set outside the pivot's component is paired with the sets of
    other components in its list unless the distances to the pivot rule the pair out (the Jaccard distance is a
-   metric), and what is left is compared too.
+   metric), and what is left is compared too. Before that, while it yields links, each such list draws a set by lot
+   with which those of other components are compared: in a group of mutual near copies nearly all find the group
+   after a few turns, at one pair per set and turn.
 
-Before whole sets are compared, pairs are checked on the first ``2 p`` shingles of each, p being the length listed:
+Before whole sets of such left-over pairs are compared, the pairs are checked on the first ``2 p`` shingles of each, p being the length listed:
 linked sets share at least ``min(p_a, p_b)`` of these, so pairs with fewer are ruled out and their sets never move.
 
 The boundary is the one with the least cost, counted from the number of sets of each size.
@@ -48,6 +51,8 @@ REPORTED = 20_000
 LARGEST_LIGHT, MOST_SUBSETS = 48, 400
 #: Cost of one entry of an inverted list, with its share of comparisons, in entries of a subset list.
 LIST_COST = 8.0
+#: Turns of comparing with sets drawn by lot, and the share of links among a turn's pairs below which no further turn follows.
+LOTS, LOT_YIELD = 8, 0.1
 #: doc_ids must be below this in size: a node's key holds the id and the number of rare shingles.
 ID_LIMIT = 1 << 46
 
@@ -176,12 +181,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_COMPARED)
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label: str) -> DataFrame:
-    """(a, b, shared, joint) of the pairs of node keys that their heads don't rule out; only texts in such a pair are shingled again."""
+def _near(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     heads = nodes.select("key", "head", "listed")
     near = pairs.join(heads.toDF("a", "head_a", "listed_a").hint("merge"), "a").join(heads.toDF("b", "head_b", "listed_b").hint("merge"), "b")
     near = near.filter(F.size(F.array_intersect("head_a", "head_b")) >= F.least("listed_a", "listed_b"))
-    pairs = staged(near.select("a", "b"), f"{label}_near")
+    return staged(near.select("a", "b"), f"{label}_near")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label: str, by_heads: bool) -> DataFrame:
+    """(a, b, shared, joint) of the pairs of node keys, with ``by_heads`` only of those that their heads don't rule out.
+
+    Only texts in such a pair are shingled again.
+    """
+    if by_heads:
+        pairs = _near(pairs, nodes, label)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.join(ends, "key", "left_semi").select("doc_id", "key", "n", "low", "high")
     texts = docs.join(wanted.select("doc_id", "key"), "doc_id").select("key", "text")
@@ -193,6 +206,14 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label
     return out
 
 
+def _labelled(met: DataFrame, label: DataFrame, staged_as: str | None = None) -> DataFrame:
+    """Entries, with their component, of the lists in which several components meet."""
+    labelled = met.join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    spread = labelled.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("shingle")
+    out = labelled.join(spread.hint("merge"), "shingle", "left_semi")
+    return staged(out, staged_as) if staged_as else out
+
+
 def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -228,34 +249,52 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
     light = heads.filter(fits).join(least.hint("merge"), ["subset", "c"]).filter("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
     # Heavy: every set of an inverted list against the list's pivot.
-    entries = nodes.select("key", "n", F.explode(F.slice("head", F.lit(1), F.col("listed").cast("int"))).alias("shingle"))
+    entries = nodes.select("key", "n", F.posexplode(F.slice("head", F.lit(1), F.col("listed").cast("int"))).alias("at", "shingle"))
     pivots = entries.groupBy("shingle").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
     met = staged(entries.join(pivots.hint("merge"), "shingle"), "lists")
     size = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"))
     pairs = met.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a")).distinct()
     pairs = staged(pairs.join(size.hint("merge"), "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num).select("a", "b"), "pairs")
-    compared = _compared(pairs, rows, nodes, shingle_words, "pivot")
+    compared = _compared(pairs, rows, nodes, shingle_words, "pivot", False)
     linked = F.col("shared") * den >= F.col("joint") * num
     links = staged(light.unionByName(compared.filter(linked).select("a", "b")), "links")
     label = components(links)
 
-    # Lists in which components meet: compare across them what the distances to the pivot leave open.
-    labelled = met.join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    spread = labelled.groupBy("shingle").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("shingle")
-    open_ = labelled.join(spread.hint("merge"), "shingle", "left_semi")
+    # A linked pair meets at its first common shingle with enough left behind it in both sets.
+    may_link = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (num + den) >= (F.col("n_a") + F.col("n_b")) * num
+
+    # Lists in which components meet, in turns: what is outside a component drawn by lot is compared with the lot's set.
+    for turn in range(LOTS):
+        open_ = _labelled(met, label, staged_as=f"open{turn}")
+        lot = F.xxhash64("key", F.lit(turn))
+        drawn = open_.groupBy("shingle").agg(F.min(lot).alias("lot"))
+        drawn = open_.withColumn("lot", lot).join(drawn.hint("merge"), ["shingle", "lot"]).select("shingle", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
+        tried = open_.withColumnsRenamed({"n": "n_a", "at": "at_a"}).join(drawn.hint("merge"), "shingle").filter((F.col("label") != F.col("label_b")) & may_link)
+        tried = staged(tried.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), f"tried{turn}")
+        n_tried = tried.count()
+        if not n_tried:
+            break
+        found = _compared(tried, rows, nodes, shingle_words, f"turn{turn}", True).filter(linked).select("a", "b")
+        links = staged(links.unionByName(found), "links")
+        discard(open_)
+        label = components(links)
+        if found.count() < LOT_YIELD * n_tried:
+            break
+
+    # What is still apart in a list: compare across components what the distances to the pivot leave open.
+    open_ = _labelled(met, label)
     gap = compared.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("gap"))
     open_ = open_.join(gap.hint("merge"), ["key", "pivot"], "left").withColumn("gap", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.col("gap")))
     home = label.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
     open_ = staged(open_.join(home.hint("merge"), "pivot", "left").withColumn("home", F.coalesce("home", "pivot")), "open")
-    out = open_.filter("label <> home").select("shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("home").alias("home_a"), F.col("gap").alias("gap_a"))
-    every = open_.filter("key <> pivot").select("shingle", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("gap").alias("gap_b"))
+    out = open_.filter("label <> home").select("shingle", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"), F.col("home").alias("home_a"), F.col("gap").alias("gap_a"))
+    every = open_.filter("key <> pivot").select("shingle", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"), F.col("gap").alias("gap_b"))
     near = F.coalesce(F.abs(F.col("gap_a") - F.col("gap_b")) <= 1 - num / den + 1e-9, F.lit(True))
     once = (F.col("label_b") == F.col("home_a")) | (F.col("a") < F.col("b"))
-    same_size = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    more = out.join(every.hint("merge"), "shingle").filter((F.col("label_a") != F.col("label_b")) & once & same_size & near)
+    more = out.join(every.hint("merge"), "shingle").filter((F.col("label_a") != F.col("label_b")) & once & may_link & near)
     more = staged(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     if not more.isEmpty():
-        found = _compared(more, rows, nodes, shingle_words, "across").filter(linked).select("a", "b")
+        found = _compared(more, rows, nodes, shingle_words, "across", True).filter(linked).select("a", "b")
         label = components(links.unionByName(found))
 
     for used in (met, open_, more, compared):

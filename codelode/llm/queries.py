@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import chat as _chat
 from . import exact_dedup as _exact
 from .common import table
 
 
+def op1_line_chunks(spark, sf_dir):
+    from .line_chunks import drop_repeated_chunks
+
+    return drop_repeated_chunks(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -29,6 +36,16 @@ def op4_token_files(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark, sf_dir):
+    return _chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op6_pii(spark, sf_dir):
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key="corpus")
+
+
 def op7_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,5 +62,11 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
-ORACLES = {"op7_exact_dedup": _exact.ORACLE}
+def op10_secrets(spark, sf_dir):
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_chunks": op1_line_chunks, "op5_chat": op5_chat, "op6_pii": op6_pii, "op10_secrets": op10_secrets, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
+ORACLES = {"op5_chat": _chat.ORACLE, "op7_exact_dedup": _exact.ORACLE}
