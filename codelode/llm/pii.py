@@ -20,7 +20,7 @@ from .common import discard, staged, texts_of
 
 # Patterns by type, in order of precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "card": r"\b\d{4}(?:[ \-]?\d{4}){3}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
