@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.metrics import tokens
 
@@ -42,3 +43,27 @@ def flagged_claims(judged: DataFrame) -> DataFrame:
     """(verdict, claims, answers) of claims that aren't supported; judged: id, claims array<struct<claim, verdict, evidence>>."""
     each = judged.select("id", F.explode("claims").alias("c")).filter("c.verdict <> 'supported'")
     return each.groupBy(F.col("c.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("id").alias("answers"))
+
+
+#: Buckets by value that a group is cut into to find a rank.
+RANK_BUCKETS = 200
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
+    """(key, one column a name) with the value at rank round(q (n - 1)), half to even, for groups of any size.
+
+    Values are counted, dealt into buckets between approximate quantiles, and only the bucket that holds a rank is
+    sorted. Null values don't count; a group without values has NaN. Rows with a null key are left out.
+    """
+    counted = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    cuts = counted.groupBy(key).agg(F.percentile_approx(value, [k / RANK_BUCKETS for k in range(1, RANK_BUCKETS)]).alias("cuts"))
+    dealt = counted.join(cuts, key).select(key, value, "n", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bucket"))
+    own = Window.partitionBy(key)
+    sums = dealt.groupBy(key, "bucket").agg(F.sum("n").alias("many"))
+    sums = sums.withColumns({"upto": F.sum("many").over(own.orderBy("bucket")), "total": F.sum("many").over(own)})
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.bround(F.lit(float(q)) * (F.col("total") - 1)).cast("long").alias("rank")) for name, q in ranks.items()))
+    held = sums.select(key, "bucket", (F.col("upto") - F.col("many")).alias("before"), "upto", F.inline(wanted)).filter("before <= rank AND rank < upto")
+    inside = dealt.join(held, [key, "bucket"]).withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy(key, "name").orderBy(value)))
+    found = inside.filter("rank < at").groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks))
+    groups = rows.filter(F.col(key).isNotNull()).select(key).distinct()
+    return groups.join(found, key, "left").select(key, *(F.coalesce(name, F.lit(float("nan"))).alias(name) for name in ranks))

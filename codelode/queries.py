@@ -72,8 +72,12 @@ def reassemble(spark, sf):
     return whole.select("doc_id", F.md5("text").alias("text_md5"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+#: Lines of so many characters count as covered.
+LONG_LINE = 80
+
+
 def leftover_lines(spark, sf):
-    covered = _lines(spark, sf).filter("pos % 3 = 0").select("doc_id", "pos")
+    covered = _lines(spark, sf).filter(F.length("line") >= LONG_LINE).select("doc_id", "pos")
     rest = _lines(spark, sf).join(covered, ["doc_id", "pos"], "left_anti").filter(F.trim("line") != "")
     return rest.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.min("pos").cast("long").alias("first"), F.max("pos").cast("long").alias("last"))
 
@@ -88,10 +92,10 @@ def token_vocabulary(spark, sf):
 
 
 def _spans(spark, sf):
-    li = _t(spark, sf, "lineitem").filter("l_orderkey < 2000")
+    li = _t(spark, sf, "lineitem")
     start = F.col("l_linenumber") * 10
-    spans = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("span"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
-    gold = li.filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("gold"), (start + 5).alias("g_start"), (start + 15).alias("g_end"))
+    spans = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("span"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), (F.col("l_linestatus") == "F").alias("found"))
+    gold = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("gold"), (start + 5).alias("g_start"), (start + 15).alias("g_end"))
     return spans, gold
 
 
@@ -105,7 +109,7 @@ def span_containment(spark, sf):
 
 def gold_reached(spark, sf):
     spans, gold = _spans(spark, sf)
-    one = spans.filter("span % 3 = 1").select(F.col("file").alias("id"), "file", "start", "end")
+    one = spans.filter("found").select(F.col("file").alias("id"), "file", "start", "end")
     r = evaluate.gold_reached(gold.select(F.col("file").alias("id"), "file", "g_start", "g_end"), one)
     return r.select("id", F.col("hit").cast("int").alias("hit"), F.col("complete").cast("int").alias("complete"), F.round("recall", 6).alias("recall"))
 
@@ -122,15 +126,14 @@ WORDS = ("the", "que", "und", "les")
 
 
 def first_mention(spark, sf):
-    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    c = _t(spark, sf, "conversations")
-    met = c.crossJoin(F.broadcast(words)).withColumn("at", F.instr(F.lower("text"), F.col("word"))).filter("at > 0")
+    each = _t(spark, sf, "conversations").withColumn("word", F.explode(F.array(*map(F.lit, WORDS))))
+    met = each.withColumn("at", F.instr(F.lower("text"), F.col("word"))).filter("at > 0")
     first = met.groupBy("conv_id", "turn", "word").agg(F.min("at").alias("at"))
     return first.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), ",").alias("words"))
 
 
 def nearest_rank_percentile(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(M.nearest_rank(F.col("value"), 0.5).alias("p50"), M.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return evaluate.nearest_ranks(_t(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 def wilson_by_group(spark, sf):
@@ -254,8 +257,8 @@ f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, label OR
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f QUALIFY place <= 3)"""
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
 _TOKENS = "SELECT {id} unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*'))) AS token FROM {t}"
-_SPANS = """s AS (SELECT l_orderkey AS file, l_linenumber AS span, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b FROM lineitem WHERE l_orderkey < 2000),
-g AS (SELECT l_orderkey AS file, l_linenumber AS gold, l_linenumber * 10 + 5 AS ga, l_linenumber * 10 + 15 AS gb FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber <= 2)"""
+_SPANS = """s AS (SELECT l_orderkey AS file, l_linenumber AS span, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_linestatus = 'F' AS found FROM lineitem),
+g AS (SELECT l_orderkey AS file, l_linenumber AS gold, l_linenumber * 10 + 5 AS ga, l_linenumber * 10 + 15 AS gb FROM lineitem WHERE l_returnflag = 'R')"""
 _Z = "1.96::DOUBLE"
 
 ORACLES = {
@@ -272,12 +275,12 @@ w AS (SELECT doc_id, n, u, 1 AS part_no, 0 AS s, least(n, 1 + len(list_filter(u,
 UNION ALL SELECT doc_id, n, u, part_no + 1, greatest(e - 3, s + 1), least(n, 1 + len(list_filter(u, lambda x: x < 1600 + u[greatest(e - 3, s + 1)]))) FROM w WHERE e < n)
 SELECT doc_id, part_no::BIGINT AS part_no, (s + 1)::BIGINT AS start_line, e::BIGINT AS end_line, (u[e] - CASE WHEN s > 0 THEN u[s] ELSE 0 END - 1)::BIGINT AS n_chars FROM w""",
     "reassemble": f"WITH {_LINES} SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS text_md5, min(pos)::BIGINT AS start_line, max(pos)::BIGINT AS end_line FROM l GROUP BY doc_id",
-    "leftover_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n, sum(length(line))::BIGINT AS chars, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last FROM l WHERE pos % 3 <> 0 AND trim(line) <> '' GROUP BY doc_id",
+    "leftover_lines": f"WITH {_LINES} SELECT doc_id, count(*) AS n, sum(length(line))::BIGINT AS chars, min(pos)::BIGINT AS first, max(pos)::BIGINT AS last FROM l WHERE length(line) < {LONG_LINE} AND trim(line) <> '' GROUP BY doc_id",
     "token_vocab_antijoin": f"SELECT DISTINCT token FROM ({_TOKENS.format(id='', t='benchmark')}) WHERE token NOT IN ({_TOKENS.format(id='', t='documents')})",
     "token_vocabulary": f"SELECT token, count(*) AS items FROM ({_TOKENS.format(id='', t='benchmark')}) GROUP BY token",
     "span_overlap": f"WITH {_SPANS} SELECT s.file, span, gold FROM s JOIN g ON s.file = g.file AND a <= gb AND b >= ga",
     "span_containment": f"WITH {_SPANS} SELECT s.file, span, gold FROM s JOIN g ON s.file = g.file AND a <= ga AND b >= gb",
-    "gold_reached": f"WITH {_SPANS}, o AS (SELECT g.file, gold, bool_or(coalesce(a <= gb AND b >= ga, false)) AS ok FROM g LEFT JOIN (SELECT * FROM s WHERE span % 3 = 1) s ON s.file = g.file GROUP BY g.file, gold) SELECT file AS id, bool_or(ok)::INT AS hit, bool_and(ok)::INT AS complete, round(avg(ok::INT), 6) AS recall FROM o GROUP BY file",
+    "gold_reached": f"WITH {_SPANS}, o AS (SELECT g.file, gold, bool_or(coalesce(a <= gb AND b >= ga, false)) AS ok FROM g LEFT JOIN (SELECT * FROM s WHERE found) s ON s.file = g.file GROUP BY g.file, gold) SELECT file AS id, bool_or(ok)::INT AS hit, bool_and(ok)::INT AS complete, round(avg(ok::INT), 6) AS recall FROM o GROUP BY file",
     "mention_coverage": "SELECT doc_id, " + " + ".join("(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{x.lower()}')" for x in m) + ")::BIGINT" for m in MUST) + " AS hits FROM documents",
     "first_mention": "WITH w AS (SELECT unnest(['" + "','".join(WORDS) + "']) AS word), m AS (SELECT conv_id, turn, word, min(instr(lower(text), word)) AS spot FROM conversations, w WHERE instr(lower(text), word) > 0 GROUP BY 1, 2, 3) SELECT conv_id, turn, string_agg(word, ',' ORDER BY spot, word) AS words FROM m GROUP BY 1, 2",
     "nearest_rank_percentile": "WITH a AS (SELECT event_type, list(value ORDER BY value) AS v, count(value) AS n FROM events GROUP BY 1) SELECT event_type, v[round_even(0.5::DOUBLE * (n - 1), 0)::INT + 1] AS p50, v[round_even(0.95::DOUBLE * (n - 1), 0)::INT + 1] AS p95 FROM a",
