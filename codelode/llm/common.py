@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at a time (a longer single text is held alone).
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +82,26 @@ def no_space(text: Column) -> Column:
     return text
 
 
+def release_memory() -> None:
+    """Hand memory that this Python worker has freed back to the machine; its allocators would keep it while the worker idles."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function after whose last batch the worker keeps no more memory than what is in use."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about STEP_BYTES of text each, so memory does not follow the batch size."""
     for batch in batches:
@@ -90,9 +112,11 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
         for k, size in enumerate(sizes):
             if held and held + size > STEP_BYTES:
                 yield batch.slice(begin, k - begin)
+                release_memory()
                 begin, held = k, 0
             held += int(size)
         yield batch.slice(begin)
+        release_memory()
 
 
 def quiet_threads() -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts_of
+from .common import lean, steps, texts_of
 from .words import coded_words
 
 SHARD_ITEMS, SHARD_CHARS, ENTRY_WORDS, BLOCKS = 2_000, 8 << 20, 256, 256
@@ -227,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 rest = [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -244,5 +244,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
                 held = {f[0] for f in sent.value.hits(texts.fill_null(""), threshold, overlap)}
                 yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged, steps, texts_of
+from .common import discard, lean, staged, steps, texts_of
 from .components import components
 from .words import shingle_sets
 
@@ -198,10 +198,10 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, label
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.join(ends, "key", "left_semi").select("doc_id", "key", "n", "low", "high")
     texts = docs.join(wanted.select("doc_id", "key"), "doc_id").select("key", "text")
-    sets = staged(texts.mapInArrow(_sets(k), "key long, shingles binary"), f"{label}_sets")
+    sets = staged(texts.mapInArrow(lean(_sets(k)), "key long, shingles binary"), f"{label}_sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("shingles_a")).hint("merge"), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("shingles_b")).hint("merge"), "b")
-    out = staged(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_compare, "a long, b long, shared long, joint long"), f"{label}_compared")
+    out = staged(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(lean(_compare), "a long, b long, shared long, joint long"), f"{label}_compared")
     discard(sets)
     return out
 
@@ -226,7 +226,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
     rows = texts_of(docs, id_col, text_col)
     far = F.col("doc_id").isNotNull() & (F.abs("doc_id") >= ID_LIMIT)
     rows = rows.withColumn("doc_id", F.when(far, F.raise_error(F.lit(f"doc_ids must be below {ID_LIMIT} in size"))).otherwise(F.col("doc_id")))
-    first = staged(rows.mapInArrow(_survey(shingle_words), "kind int, doc_id long, n long, low long, high long"), "survey")
+    first = staged(rows.mapInArrow(lean(_survey(shingle_words)), "kind int, doc_id long, n long, low long, high long"), "survey")
     listed = first.filter("kind = 1").drop("kind")
     top = first.filter("kind = 0").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(FREQUENT).collect()
     by_hash = sorted((r["doc_id"] % (1 << 64), len(top) - k) for k, r in enumerate(top))
@@ -236,7 +236,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (85, 100), shingl
         top_size = LARGEST_LIGHT * den // num + 1
         counted = classes.groupBy(F.least("n", F.lit(top_size)).alias("n")).count().collect()  # a row per small size
         boundary = choose_boundary({r[0]: r[1] for r in counted}, num, den)
-    marks = rows.mapInArrow(_list(shingle_words, frequent, rank, boundary, num, den), "doc_id long, key long, n long, subsets array<long>, subset_sizes array<int>, head array<long>")
+    marks = rows.mapInArrow(lean(_list(shingle_words, frequent, rank, boundary, num, den)), "doc_id long, key long, n long, subsets array<long>, subset_sizes array<int>, head array<long>")
     marks = marks.withColumn("listed", F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1)
     nodes = staged(marks.join(classes.select(F.col("class_id").alias("doc_id"), "low", "high"), "doc_id").dropDuplicates(["doc_id"]), "nodes")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, steps, texts_of
+from .common import lean, staged, steps, texts_of
 from .tokens import default_tokenizer, encoder
 
 #: Pieces that one packing task holds: some 10 MB.
@@ -89,6 +89,7 @@ def _pieces(path: str, end_id: int | None, capacity: int):
                     for column, x in zip(out, (doc_id, p, s - a, t - s, zlib.crc32(view[4 * s : 4 * t]))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES)], schema=_PIECES)
+        enc.shrink()
 
     return run
 
@@ -121,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     ids are packed each for itself. An empty table gives an empty result. Extra columns are ignored.
     """
     path = tokenizer or default_tokenizer()
-    pieces = staged(texts_of(docs, id_col, text_col).mapInArrow(_pieces(path, end_id, capacity), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
+    pieces = staged(texts_of(docs, id_col, text_col).mapInArrow(lean(_pieces(path, end_id, capacity)), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     full, pool = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
     level = 1 << 56
     done = [full.select(*_PIECES.names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
         n_parts = max(1, -(-n // pool_pieces))
         dealt = pool.select(*_PIECES.names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(n_parts)).alias("deal"))
         dealt = (dealt.repartition(n_parts, "deal") if n_parts > 1 else dealt.coalesce(1)).select(*_PIECES.names)
-        packed = staged(dealt.mapInArrow(_pack(capacity), _PACKED), f"packed{turn}")
+        packed = staged(dealt.mapInArrow(lean(_pack(capacity)), _PACKED), f"packed{turn}")
         gap = packed.groupBy("part").agg(F.max(F.col("bins") - F.col("bound")).alias("gap")).agg(F.sum("gap")).first()[0] or 0
         last = gap == 0 or n_parts == 1 or turn == ROUNDS - 1 or (last_gap is not None and gap >= last_gap)
         sure = packed if last else None

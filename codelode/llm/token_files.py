@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, steps, texts_of, write_table
+from .common import lean, new_path, staged, steps, texts_of, write_table
 from .tokens import default_tokenizer, encoder
 
 #: Ids after which a block is closed (a document is never split between blocks).
@@ -77,6 +77,7 @@ def _tokenise(path: str, end_id: int | None):
             counts[: len(seen)] += seen
             seen = counts
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, wide, np.int32)), batch.column("doc_id"), pa.array(np.diff(offsets)), rows], schema=_ROWS)
+        enc.shrink()
         if used := np.flatnonzero(seen).tolist():
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(used), np.int32)), pa.array(used, pa.int64()), pa.array(seen[used]), pa.nulls(len(used), pa.binary())], schema=_ROWS)
 
@@ -141,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
-    ids = staged(texts_of(docs, id_col, text_col).mapInArrow(_tokenise(path, end_id), "kind int, doc_id long, n long, ids binary"), "ids")
+    ids = staged(texts_of(docs, id_col, text_col).mapInArrow(lean(_tokenise(path, end_id)), "kind int, doc_id long, n long, ids binary"), "ids")
     ranks = ids.filter("kind = 0").groupBy(F.col("doc_id").alias("token_id")).agg(F.sum("n").alias("n"))
     listed = [r[0] for r in sorted(ranks.collect(), key=lambda r: (-r[1], r[0]))]
     rank_of = np.zeros(max(listed, default=0) + 1, dtype=np.uint32)
@@ -150,7 +151,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     rows = ids.filter("kind > 0")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids").select("kind", "doc_id", "ids")
-    blocks = ordered.mapInArrow(_encode(rank_of, block_tokens), "shard int, block int, base long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, control binary, data binary")
+    blocks = ordered.mapInArrow(lean(_encode(rank_of, block_tokens)), "shard int, block int, base long, n_tokens long, doc_ids binary, doc_nulls binary, doc_tokens binary, control binary, data binary")
     write_table(blocks, f"{folder}/blocks")
 
 
@@ -168,7 +169,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         at += n
     base = spark.createDataFrame(begin, "shard int, shard_base long")
     placed = blocks.join(F.broadcast(base), "shard").withColumn("base", F.col("base") + F.col("shard_base"))
-    return placed.select("base", "doc_ids", "doc_nulls", "doc_tokens", "control", "data").mapInArrow(_decode(token_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("base", "doc_ids", "doc_nulls", "doc_tokens", "control", "data").mapInArrow(lean(_decode(token_of)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:

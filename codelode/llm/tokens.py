@@ -9,6 +9,7 @@ one by one. Files whose splitting is not known to be so are encoded text by text
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 from .common import quiet_threads
 
 #: Distinct pieces remembered by one Python worker; older ones are forgotten by generations.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 200_000
+#: Of these, pieces that an idle worker keeps for its next task: those met first, most of them common.
+IDLE_PIECES = 40_000
 _open: dict[str, "Encoder"] = {}
 
 
@@ -106,6 +109,10 @@ class Encoder:
         for p in cut:
             young[p] = young[p[:-1]] + young[p[-1]]
 
+    def shrink(self) -> None:
+        """Forget most pieces, so that an idle worker holds little memory."""
+        self.young, self.old = dict(islice(self.young.items(), IDLE_PIECES)), {}
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one uint32 array, and the offsets of each text in it; ``end_id`` is added to every text."""
         if not self.by_piece:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, steps, texts_of
+from .common import lean, staged, steps, texts_of
 from .decontaminate import normal
 from .words import coded_words
 
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = staged(parts[0].unionByName(parts[1]), "chosen")  # 18,000 rows at most, so it may be broadcast
     texts = staged(texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled_texts")
-    counts = texts.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = texts.mapInArrow(lean(_count), "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     seen = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     n1, n0 = seen.get(1, 0), seen.get(0, 0)
     if not n1 or not n0:
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = counts.filter((F.col("t") >= 3) & (clear >= 10)).orderBy(clear.desc(), "feature").limit(FEATURES).collect()
     named = {f for term in SWAPS for f in features_of(term)[:1]}
     index = {f: k for k, f in enumerate(dict.fromkeys([r["feature"] for r in top] + sorted(named)))}
-    rows = texts.mapInArrow(_vectors(index), "label int, has array<int>, swapped array<int>").collect()
+    rows = texts.mapInArrow(lean(_vectors(index)), "label int, has array<int>, swapped array<int>").collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     weight = np.where(y == 1, totals.get(1, 0) / n1, totals.get(0, 0) / n0)
     w, b = train(y, [r["has"] for r in rows], [r["swapped"] for r in rows], weight, len(index))
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
             s = sent.value.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts_of(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -205,7 +205,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
         for batch in steps(batches, text_col):
             yield batch.filter(pa.array(sent.value.scores(batch.column(text_col).fill_null("")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def fold(id_col: str = "doc_id"):
