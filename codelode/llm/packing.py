@@ -89,7 +89,6 @@ def _pieces(path: str, end_id: int | None, capacity: int):
                     for column, x in zip(out, (doc_id, p, s - a, t - s, zlib.crc32(view[4 * s : 4 * t]))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES)], schema=_PIECES)
-        enc.shrink()
 
     return run
 

@@ -77,7 +77,6 @@ def _tokenise(path: str, end_id: int | None):
             counts[: len(seen)] += seen
             seen = counts
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, wide, np.int32)), batch.column("doc_id"), pa.array(np.diff(offsets)), rows], schema=_ROWS)
-        enc.shrink()
         if used := np.flatnonzero(seen).tolist():
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(used), np.int32)), pa.array(used, pa.int64()), pa.array(seen[used]), pa.nulls(len(used), pa.binary())], schema=_ROWS)
 
