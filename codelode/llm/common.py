@@ -102,15 +102,15 @@ def lean(run: Callable) -> Callable:
     return whole
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about STEP_BYTES of text each, so memory does not follow the batch size."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size_limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size_limit`` bytes of text each, so memory does not follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for k, size in enumerate(sizes):
-            if held and held + size > STEP_BYTES:
+            if held and held + size > size_limit:
                 yield batch.slice(begin, k - begin)
                 release_memory()
                 begin, held = k, 0

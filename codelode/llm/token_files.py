@@ -67,7 +67,7 @@ def _tokenise(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         seen = np.zeros(0, dtype=np.int64)
-        for batch in steps(batches):
+        for batch in steps(batches, size_limit=8 << 20):
             ids, offsets = enc.encode(batch.column("text"), end_id)
             wide = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
             stored = ids.astype(f"<u{wide}")
