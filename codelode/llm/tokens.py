@@ -70,7 +70,7 @@ class Encoder:
         plain, odd, cut, named = set(), set(), [], []
         for p in pieces:
             core = p
-            if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha():
+            if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2].lower().isalpha():
                 core = p[:-1]
                 cut.append(p)
                 if p[-1] not in young:
