@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from codelode.llm.packing import best_fit_decreasing, lower_bound, pack
@@ -34,6 +34,7 @@ def test_coding_round_trip(values):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abÉéß'’.,!1 \n\t\x1c  İσΣ́語"), max_size=30), max_size=5))
+@example(texts=["İ.", "aİ, b"])
 def test_memo_gives_the_ids_of_whole_texts(texts):
     import pyarrow as pa
 
