@@ -2,7 +2,8 @@
 
 The items are indexed on the driver in shards of at most ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters; each
 shard's index is sent to the tasks and queried in a pass of its own over the documents, so its size is bounded
-however many items there are. Items of more than ``ENTRY_WORDS`` words are indexed in parts.
+however many items there are. Items of more than ``ENTRY_WORDS`` words are indexed in parts of that many words, the
+last one overlapping the one before. Parts only retrieve: what is verified is the whole item.
 
 Every document is cut into segments of as many words as the longest entry has (32 at least), and each two neighbouring
 segments make a passage, so any copy of an entry lies whole in some passage. A passage is a query of its distinct
@@ -12,7 +13,8 @@ passage bound its score in each block, and blocks below the threshold are skippe
 WAND moves its cursors by the same bounds and scores only entries that may reach the threshold.
 
 A retrieved entry counts if the passage holds at least ``OVERLAP`` of the five-word shingles of its question and
-of its answer (of a text with fewer words, that of its whole sequence).
+of its answer (of a text with fewer words, that of its whole sequence). For an item in parts, the document from at
+least the item's length before the passage to as much after it takes the passage's place.
 """
 
 from __future__ import annotations
@@ -66,19 +68,21 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], n_total: int | None = None, document_frequency: dict[str, int] | None = None):
         self.entries: list[tuple[int, list[str], list[str]]] = []  # item, words of the question and of the answer
         bags = []
-        for item, text in items:
+        #: Of an entry that is a part of an item: the item's place in the shard and its number of words.
+        parts_of: list[tuple[int, int] | None] = []
+        for place, (item, text) in enumerate(items):
             question, answer = question_and_answer(text or "")
             words = question + answer
             if len(words) <= ENTRY_WORDS:
-                parts = [(question, answer)]
+                parts = [words] if words else []
             else:
-                parts = [(words[k : k + ENTRY_WORDS], []) for k in range(0, len(words), ENTRY_WORDS)]
-            for q, a in parts:
-                if q or a:
-                    self.entries.append((item, q, a))
-                    bags.append(Counter(q + a))
+                parts = [words[k : k + ENTRY_WORDS] for k in [*range(0, len(words) - ENTRY_WORDS, ENTRY_WORDS), len(words) - ENTRY_WORDS]]
+            for part in parts:
+                self.entries.append((item, question, answer))
+                parts_of.append((place, len(words)) if len(parts) > 1 else None)
+                bags.append(Counter(part))
         order = sorted(range(len(bags)), key=lambda e: sorted(bags[e].items(), key=lambda x: (-x[1], x[0]))[0][0])
-        self.entries, bags = [self.entries[e] for e in order], [bags[e] for e in order]
+        self.entries, bags, self.parts_of = [self.entries[e] for e in order], [bags[e] for e in order], [parts_of[e] for e in order]
         n = n_total or len(bags)
         frequency = document_frequency or Counter(w for bag in bags for w in bag)
         mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
@@ -95,7 +99,7 @@ class Index:
         self.block_max = np.zeros((len(lists), BLOCKS), np.float32)
         for v, (e, s) in enumerate(self.postings):
             np.maximum.at(self.block_max[v], e // self.per_block, s)
-        self.segment = max(32, max((len(q) + len(a) for _, q, a in self.entries), default=0))
+        self.segment = max(32, max((sum(b.values()) for b in bags), default=0))
 
     def search(self, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Entries of the given blocks with a score of at least ``threshold`` for the distinct ``terms``, by block-max WAND."""
@@ -145,6 +149,15 @@ class Index:
                 out.append(len(s & passage) / len(s))
         return out[0], out[1]
 
+    def _whole_overlaps(self, entry: int, whole: tuple[int, int], row: int, begin: int, names: list[str], codes: np.ndarray, known: dict) -> tuple[float, float]:
+        """``overlaps`` of an item in parts with the stretch about a passage; passages that begin in one item's length share a stretch."""
+        place, n = whole
+        key = (row, place, begin // n)
+        if key not in known:
+            words = [names[c] for c in codes[max(0, (key[2] - 1) * n) : (key[2] + 2) * n + 2 * self.segment].tolist()]
+            known[key] = self.overlaps(entry, _shingles(words), f" {' '.join(words)} ")
+        return known[key]
+
     def hits(self, texts: pa.Array, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap), once for each row and item, with the best passage's values."""
         raw, codes, bounds = coded_words(texts)
@@ -176,6 +189,7 @@ class Index:
         both = bound[:-1] + np.where(follows[:, None], bound[1:], 0)
         open_ = both.max(axis=1) >= threshold * (1 - 1e-5)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        stretches: dict[tuple[int, int, int], tuple[float, float]] = {}
         for s in np.flatnonzero(open_).tolist():
             r = int(row_of[s])
             begin = int(bounds[r]) + (s - int(first[r])) * self.segment
@@ -187,7 +201,10 @@ class Index:
             words = [names[c] for c in codes[begin:end].tolist()]
             passage, joined = _shingles(words), f" {' '.join(words)} "
             for e, score in found:
-                q, a = self.overlaps(e, passage, joined)
+                if whole := self.parts_of[e]:
+                    q, a = self._whole_overlaps(e, whole, r, begin - int(bounds[r]), names, codes[bounds[r] : bounds[r + 1]], stretches)
+                else:
+                    q, a = self.overlaps(e, passage, joined)
                 if q >= overlap and a >= overlap:
                     key = (r, self.entries[e][0])
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(score), q, a))

@@ -96,3 +96,20 @@ def test_shards_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "SHARD_ITEMS", 25)
     got = {(r["doc_id"], r["item_id"]) for r in rows_of(D.contaminated(docs, table))}
     assert {(k, k) for k, t in items} <= got
+
+
+def test_long_items_are_verified_whole():
+    for n in (257, 300, 513, 700, 1025):
+        words = [f"q{k}" for k in range(n)]
+        index = D.Index([(1, " ".join(words))])
+        held = [" ".join(words), "pre " * 777 + " ".join(words) + " post" * 500, " ".join(w if k % 50 else "x" for k, w in enumerate(words))]
+        clean = [f"clean text with {words[-1]} in it", " ".join(words[-3:]), " ".join(words[: n // 2]), " ".join(words[: 2 * n // 3 - 2]), " ".join(words[n // 2 :])]
+        got = {h[0] for h in index.hits(pa.array(held + clean), 0.5, 0.8)}
+        assert got == set(range(len(held))), n
+
+
+def test_clean_documents_stay_beside_a_long_item(spark):
+    words = [f"part{k}" for k in range(256)] + ["harbour"]
+    items = spark.createDataFrame([(1, " ".join(words), None)], ITEMS)
+    docs = docs_of(spark, [(1, "a clean text about the harbour"), (2, "intro " + " ".join(words))])
+    assert [r["doc_id"] for r in rows_of(D.without_contaminated(docs, items))] == [1]
