@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-# Rules in order of precedence; group 1 holds the words before, group 2 the candidate.
+# Rules in order of precedence.
 RULES = {
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9\-]{10,60}|sk_live_[A-Za-z0-9]{16,40})\b",
@@ -23,7 +23,8 @@ RULES = {
     "opaque": r"\b(?=[A-Za-z0-9+/_\-]{0,120}[0-9])(?=[A-Za-z0-9+/_\-]{0,120}[A-Za-z])[A-Za-z0-9+/_\-]{20,120}",
 }
 CANDIDATE = "|".join(RULES.values())
-BEFORE = r"(?:\S{1,40}\s{1,2})?"
+#: The word before a candidate, at the end of the text between it and the candidate before.
+BEFORE = r"\S{1,40}\s{1,2}\z"
 PARTS = "the|and|ing|tion|ent|ung|sch|eur|ado|con|pre|test|example|sample|user|name|file|data|index|main|home|lib|src|node|config|change|your|here|word|hello|world"
 SECRET_WORDS = r"(?i)(?:password|passwd|pwd|secret|token|key|auth|credential|login)"
 PUBLIC_WORDS = r"(?i)(?:commit|sha|md5|hash|checksum|digest|uuid|id|rev|version|see|path|file|image|build)\W*$"
@@ -92,9 +93,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, place, rule, value, before) of every candidate in order of place."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     likely = rows.filter(F.col("text").rlike(r"[A-Za-z0-9+/_\-]{20}|(?i:passw|pwd|secret|token|key|auth)"))
-    found = likely.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"{BEFORE}(?:{CANDIDATE})"), F.lit(0))).alias("place", "match"))
-    value = F.regexp_extract("match", f"^({BEFORE})({CANDIDATE})$", 2)
-    split = found.select("doc_id", "place", F.regexp_extract("match", f"^({BEFORE})({CANDIDATE})$", 1).alias("words"), value.alias("whole"))
+    matched = likely.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches"), F.split("text", CANDIDATE, -1).alias("gaps")).filter(F.size("matches") > 0)
+    ends = F.transform("gaps", lambda g: F.substring(g, -42, 42))
+    found = matched.select("doc_id", F.posexplode(F.arrays_zip("matches", ends.alias("ends"))).alias("place", "match")).filter(F.col("match.matches").isNotNull())
+    split = found.select("doc_id", "place", F.regexp_extract("match.ends", BEFORE, 0).alias("words"), F.col("match.matches").alias("whole"))
     named = F.regexp_extract("whole", r"^(?i)((?:password|passwd|pwd|secret|token|api[_\-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(.+)$", 1)
     rule = F.when(F.col("whole").rlike(f"^{RULES['access_key']}$"), "access_key").when(F.col("whole").rlike(f"^{RULES['vendor_token']}$"), "vendor_token").when(named != "", "assignment").otherwise("opaque")
     return split.select("doc_id", "place", rule.alias("rule"), F.substring("whole", F.length(named) + 1, F.length("whole")).alias("value"), F.concat("words", named).alias("before"))

@@ -83,3 +83,18 @@ def test_forest_on_held_out_findings(spark):
     model = secrets.train(every.filter("part <> 0"))
     out = model.transform(secrets._vectors(every.filter("part = 0"))).select("label", "prediction").collect()
     assert sum(r[0] == r[1] for r in out) / len(out) > 0.97
+
+
+def test_secrets_next_to_one_another(spark):
+    keys = [f"AKIASJDZWJNP6ZRYWK{k}{k}" for k in range(5)]
+    rows = [(1, "password=hunter22 token=abcdef123"), (2, "keys:\n" + "\n".join(keys)), (3, "config:\npassword=aaaaaa1\nsecret=bbbbbb2\ntoken=cccccc3\nauth=dddddd4"), (4, f"see key {keys[0]} {keys[1]} end"), (5, keys[2])]
+    got = {}
+    for r in sorted(rows_of(secrets.candidates(docs_of(spark, rows))), key=lambda r: (r["doc_id"], r["place"])):
+        got.setdefault(r["doc_id"], []).append((r["place"], r["value"], r["before"]))
+    assert got == {
+        1: [(0, "hunter22", "password="), (1, "abcdef123", "token=")],
+        2: [(k, key, "keys:\n" if k == 0 else "") for k, key in enumerate(keys)],
+        3: [(0, "aaaaaa1", "config:\npassword="), (1, "bbbbbb2", "secret="), (2, "cccccc3", "token="), (3, "dddddd4", "auth=")],
+        4: [(0, keys[0], "key "), (1, keys[1], "")],
+        5: [(0, keys[2], "")],
+    }
