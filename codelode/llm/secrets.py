@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-# Rules in order of precedence.
+# Rules in order of precedence. A value runs to the end of its token, so a free token is looked at once,
+# from its start or the last match on; marks at its start are no part of the value.
 RULES = {
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9\-]{10,60}|sk_live_[A-Za-z0-9]{16,40})\b",
-    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,120}",
-    "opaque": r"\b(?=[A-Za-z0-9+/_\-]{0,120}[0-9])(?=[A-Za-z0-9+/_\-]{0,120}[A-Za-z])[A-Za-z0-9+/_\-]{20,120}",
+    "vendor_token": r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,})\b",
+    "assignment": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}+",
+    "opaque": r"(?:(?<![A-Za-z0-9+/_\-])|\G)[+/\-]*+(?!KEYED)(?=[A-Za-z+/_\-]*+[0-9])(?=[0-9+/_\-]*+[A-Za-z])[A-Za-z0-9+/_\-]{20,}+",
 }
+RULES["opaque"] = RULES["opaque"].replace("KEYED", f"{RULES['access_key']}|{RULES['vendor_token']}")
 CANDIDATE = "|".join(RULES.values())
 #: The word before a candidate, at the end of the text between it and the candidate before.
 BEFORE = r"\S{1,40}\s{1,2}\z"
@@ -96,7 +98,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     matched = likely.select("doc_id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches"), F.split("text", CANDIDATE, -1).alias("gaps")).filter(F.size("matches") > 0)
     ends = F.transform("gaps", lambda g: F.substring(g, -42, 42))
     found = matched.select("doc_id", F.posexplode(F.arrays_zip("matches", ends.alias("ends"))).alias("place", "match")).filter(F.col("match.matches").isNotNull())
-    split = found.select("doc_id", "place", F.regexp_extract("match.ends", BEFORE, 0).alias("words"), F.col("match.matches").alias("whole"))
+    marks = F.regexp_extract("match.matches", r"^[+/\-]*+", 0)
+    split = found.select("doc_id", "place", F.when(marks == "", F.regexp_extract("match.ends", BEFORE, 0)).otherwise("").alias("words"), F.substring("match.matches", F.length(marks) + 1, F.length("match.matches")).alias("whole"))
     named = F.regexp_extract("whole", r"^(?i)((?:password|passwd|pwd|secret|token|api[_\-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(.+)$", 1)
     rule = F.when(F.col("whole").rlike(f"^{RULES['access_key']}$"), "access_key").when(F.col("whole").rlike(f"^{RULES['vendor_token']}$"), "vendor_token").when(named != "", "assignment").otherwise("opaque")
     return split.select("doc_id", "place", rule.alias("rule"), F.substring("whole", F.length(named) + 1, F.length("whole")).alias("value"), F.concat("words", named).alias("before"))
