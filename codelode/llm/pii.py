@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import discard, staged, texts_of
 
-# Patterns by type, in order of precedence.
+# Patterns by type, in order of precedence. A domain name has 127 labels at most.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,126}[A-Za-z]{2,}+",
     "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
     "card": r"\b\d{4}(?:[ \-]?\d{4}){3}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -114,12 +114,11 @@ def in_format(kind: Column, mention: Column, replacement: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", ""))
         return F.when(c.rlike("[0-9]"), F.substring(replacement, at, F.lit(1))).otherwise(c)
 
-    def cased(c, i):
-        r = F.substring(replacement, i + 1, F.lit(1))
+    def cased(c, r):
         return F.when(c.rlike("[A-Z]"), F.upper(r)).otherwise(r)
 
     by_digit = F.array_join(F.transform(F.split(mention, ""), digit), "")
-    by_case = F.array_join(F.transform(F.split(mention, ""), cased), "")
+    by_case = F.array_join(F.zip_with(F.split(mention, ""), F.split(replacement, ""), cased), "")
     return F.when(kind.isin(*DIGIT_TYPES), by_digit).when(kind == "email", by_case).otherwise(replacement)
 
 
