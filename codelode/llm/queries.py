@@ -8,9 +8,9 @@ from .common import table
 
 
 def op1_line_chunks(spark, sf_dir):
-    from .line_chunks import drop_repeated_chunks
+    from .line_chunks import drop_repeated_passages
 
-    return drop_repeated_chunks(table(spark, sf_dir, "documents"))
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark, sf_dir):
