@@ -63,11 +63,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of ``docs``: other columns, whatever their names, stay out; null texts become empty."""
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, text, *more) of ``docs``: other columns, whatever their names, stay out; null texts become empty."""
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *(docs[c] for c in more),
     )
 
 

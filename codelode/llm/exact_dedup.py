@@ -34,9 +34,9 @@ def _slot(key: Column, depth: int, key_bits: int) -> Column:
     return F.shiftrightunsigned(key, key_bits - depth)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
-    rows = texts_of(docs, id_col, text_col)
-    rows = rows.select("doc_id", F.length("text").alias("points"), no_space(F.col("text")).alias("norm"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int, *more: str) -> DataFrame:
+    rows = texts_of(docs, id_col, text_col, *more)
+    rows = rows.select("doc_id", *more, F.length("text").alias("points"), no_space(F.col("text")).alias("norm"))
     key = F.xxhash64("norm")
     return rows.withColumn("key", F.shiftrightunsigned(key, 64 - key_bits) if key_bits < 64 else key)
 
@@ -85,8 +85,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return write_table(index.repartition(n_owners, "owner").sortWithinPartitions("slot", "key", "sha"), new_path(docs.sparkSession, "index"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_capacity: int = BUCKET_CAPACITY, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; with ``row_col`` also points and that column.
 
     Null texts count as empty; empty and blank texts are equal to one another. Rows with a null id belong to
     their group like others and are kept only if no row of the group with as long a text has an id. Rows
@@ -94,7 +94,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result. Extra columns are ignored.
     """
     index = build_index(docs, id_col, text_col, key_bits, bucket_capacity).select("key", "sha", "keep_id", "group_size")
-    rows = _keyed(docs, id_col, text_col, key_bits).select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    more = ["points", row_col] if row_col else []
+    rows = _keyed(docs, id_col, text_col, key_bits, *more[1:]).select("doc_id", *more, "key", F.unhex(F.sha2("norm", 256)).alias("sha"))
     found = rows.join(index.hint("merge"), ["key", "sha"])
     return found.select(
         "doc_id",
@@ -102,6 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *more,
     )
 
 

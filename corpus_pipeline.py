@@ -15,20 +15,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``, or null."""
-    kept = docs.join(ids.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+#: Number of a row in a stage's input, and the bits of it that count within a partition.
+ROW, ROW_BITS = "__row", 26
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, below 2^46 with up to 2^20 partitions of up to 2^26 rows."""
+    at = F.monotonically_increasing_id()
+    place, within = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (place < 1 << 46 - ROW_BITS) & (within < 1 << ROW_BITS)
+    number = F.when(fits, place * (1 << ROW_BITS) + within).otherwise(F.raise_error(F.lit("too many rows or partitions to number")).cast("long"))
+    return staged(docs.withColumn(ROW, number), "numbered")
+
+
+def _keep(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows whose number is in ``numbers``, without it."""
+    return rows.join(numbers.hint("merge"), ROW, "left_semi").drop(ROW).select(*(c for c in rows.columns if c != ROW))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest of equal texts, one row each."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows, row_col=ROW).filter("kept")
+    best = kept.groupBy("text_sha256").agg(F.max(F.struct("points", (-F.col(ROW)).alias("minus_row"))).alias("best"))
+    return _keep(rows, best.select((-F.col("best.minus_row")).alias(ROW)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of linked texts."""
-    return _keep(docs, jaccard_join.jaccard_join(docs, threshold=(80, 100), shingle_words=5).filter("doc_id = component_id").select("doc_id"))
+    """The document with the smallest id of each component of linked texts, one row each; null ids come last."""
+    rows = _numbered(docs)
+    linked = jaccard_join.jaccard_join(rows, threshold=(80, 100), shingle_words=5, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    named = linked.join(rows.select(ROW, "doc_id").hint("merge"), ROW)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("best"))
+    return _keep(rows, best.select(F.col(f"best.{ROW}").alias(ROW)))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
     assert jaccard_join.needed(10, 10, 80, 100) == 9
+
+
+def test_null_and_repeated_ids_leave_one_row(spark):
+    words = [f"w{k}" for k in range(200)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["end"]), " ".join(f"o{k}" for k in range(50))
+    rows = [(None, text), (None, text), (7, text), (7, text), (7, text + " "), (3, other), (3, other), (None, "alone here"), (None, "alone here"), (9, "alone"), (9, "another")]
+    got = P.drop_copies(spark, docs_of(spark, rows), SF)
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows_of(got)))) == sorted(map(repr, [(7, text + " "), (3, other), (None, "alone here"), (9, "alone"), (9, "another")]))
+    rows = [(None, near), (7, text), (7, near), (None, text), (3, other), (3, other + " more"), (None, "one two three four five six"), (None, "one two three four five six"), (9, "alone"), (9, "another")]
+    got = P.drop_near_copies(spark, docs_of(spark, rows), SF)
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows_of(got)))) == sorted(map(repr, [(7, text), (3, other), (None, "one two three four five six"), (9, "alone"), (9, "another")]))
