@@ -2,7 +2,7 @@
 
 The items are indexed on the driver in shards of at most ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters; each
 shard's index is sent to the tasks and queried in a pass of its own over the documents, so its size is bounded
-however many items there are. Items of more than ``ENTRY_WORDS`` words are indexed in parts of that many words, the
+however many items there are; word frequencies, mean length and number of entries are those of all shards. Items of more than ``ENTRY_WORDS`` words are indexed in parts of that many words, the
 last one overlapping the one before. Parts only retrieve: what is verified is the whole item.
 
 Every document is cut into segments of as many words as the longest entry has (32 at least), and each two neighbouring
@@ -62,10 +62,17 @@ def _shingles(words: list[str]) -> set[tuple]:
     return {tuple(words[k : k + SHINGLE]) for k in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def _parts(words: list[str]) -> list[list[str]]:
+    """The entries of an item."""
+    if len(words) <= ENTRY_WORDS:
+        return [words] if words else []
+    return [words[k : k + ENTRY_WORDS] for k in [*range(0, len(words) - ENTRY_WORDS, ENTRY_WORDS), len(words) - ENTRY_WORDS]]
+
+
 class Index:
-    """Inverted index of one shard of items."""
+    """Inverted index of one shard of items; scored by the shard's own counts unless those of the whole benchmark are given."""
 
-    def __init__(self, items: list[tuple[int, str]], n_total: int | None = None, document_frequency: dict[str, int] | None = None):
+    def __init__(self, items: list[tuple[int, str]], n_total: int | None = None, document_frequency: dict[str, int] | None = None, mean_words: float | None = None):
         self.entries: list[tuple[int, list[str], list[str]]] = []  # item, words of the question and of the answer
         bags = []
         #: Of an entry that is a part of an item: the item's place in the shard and its number of words.
@@ -73,10 +80,7 @@ class Index:
         for place, (item, text) in enumerate(items):
             question, answer = question_and_answer(text or "")
             words = question + answer
-            if len(words) <= ENTRY_WORDS:
-                parts = [words] if words else []
-            else:
-                parts = [words[k : k + ENTRY_WORDS] for k in [*range(0, len(words) - ENTRY_WORDS, ENTRY_WORDS), len(words) - ENTRY_WORDS]]
+            parts = _parts(words)
             for part in parts:
                 self.entries.append((item, question, answer))
                 parts_of.append((place, len(words)) if len(parts) > 1 else None)
@@ -85,7 +89,7 @@ class Index:
         self.entries, bags, self.parts_of = [self.entries[e] for e in order], [bags[e] for e in order], [parts_of[e] for e in order]
         n = n_total or len(bags)
         frequency = document_frequency or Counter(w for bag in bags for w in bag)
-        mean = sum(sum(b.values()) for b in bags) / max(1, len(bags))
+        mean = mean_words or sum(sum(b.values()) for b in bags) / max(1, len(bags))
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
         for e, bag in enumerate(bags):
@@ -225,6 +229,19 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield held
 
 
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """The index of each shard; what is counted over the whole benchmark before is one number per word."""
+    n, size, frequency = 0, 0, Counter()
+    for shard in shards(benchmark, id_col, text_col):
+        for _, text in shard:
+            question, answer = question_and_answer(text)
+            for part in _parts(question + answer):
+                n, size = n + 1, size + len(part)
+                frequency.update(set(part))
+    for shard in shards(benchmark, id_col, text_col) if n else ():
+        yield Index(shard, n, frequency, size / n)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document row and item it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
@@ -234,8 +251,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows, out = texts_of(docs, id_col, text_col), None
-    for shard in shards(benchmark, item_id_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(shard))
+    for index in indexes(benchmark, item_id_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches):
@@ -252,8 +269,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold an item: the same search, filtering rows where they are, so no exchange is needed."""
     out = docs
-    for shard in shards(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(shard))
+    for index in indexes(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches, text_col):

@@ -113,3 +113,17 @@ def test_clean_documents_stay_beside_a_long_item(spark):
     items = spark.createDataFrame([(1, " ".join(words), None)], ITEMS)
     docs = docs_of(spark, [(1, "a clean text about the harbour"), (2, "intro " + " ".join(words))])
     assert [r["doc_id"] for r in rows_of(D.without_contaminated(docs, items))] == [1]
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    rnd = random.Random(7)
+    items = [*random_items(rnd, 60), (60, " ".join(f"w{k}" for k in range(400)))]
+    docs = docs_of(spark, [(k, "pre " * k + " ".join(w for j, w in enumerate(t.split()) if j % 30 != 7)) for k, t in items])
+    table = spark.createDataFrame([(k, t, None) for k, t in items], ITEMS)
+
+    def found():
+        return {(r["doc_id"], r["item_id"]): tuple(round(r[c], 9) for c in ("score", "question_overlap", "answer_overlap")) for r in rows_of(D.contaminated(docs, table))}
+
+    whole = found()
+    monkeypatch.setattr(D, "SHARD_ITEMS", 25)
+    assert found() == whole and len(whole) > 10
