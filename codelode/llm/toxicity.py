@@ -1,13 +1,16 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the presence of words and of word beginnings (4 to 6 characters). It is trained on labelled
-texts in which, besides, every identity term is swapped for another of its kind: the loss adds the squared change of
-the score between a text and its swapped version, so a mere mention of a group cannot carry weight.
+texts and on counterfactual versions of them: in a text that names a group, every identity term is swapped for another
+of its kind; of texts that name none, one in ``INSERTED`` gets a mention inserted, the terms taking turns by the
+text's digest. The loss adds the squared change of the score between a text and its counterfactual version, so a
+mere mention of a group cannot carry weight, whether or not the corpus names it.
 
 Fitting reads a bounded sample: at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` other labelled texts, chosen by a hash
-of the id, reweighted to the classes' shares. Features are counted by tasks and summed by Spark; the ``FEATURES``
-features that speak most clearly for toxicity are kept, so what comes to the driver is bounded too: features and,
-for each sampled text, the list of those it has. Scoring is one pass over all texts.
+of the id, reweighted to the classes' shares. Features are counted by tasks and summed by Spark. Those that speak most
+clearly for toxicity are kept, as many as there are sampled texts and ``FEATURES`` at most, and the squared weights
+count less the more texts there are, so nothing in the model is tied to one size of the table. What comes to the
+driver is bounded: features and, for each sampled text, the list of those it has. Scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from .words import coded_words
 MOST_TOXIC, MOST_CLEAN, FEATURES = 6_000, 12_000, 4_096
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
-#: Weights of the counterfactual penalty and of the squared weights.
-COUNTERFACTUAL, RIDGE = 1.0, 2e-4
+#: Weights of the counterfactual penalty and, per sampled text, of the squared weights.
+COUNTERFACTUAL, RIDGE = 1.0, 0.1
+#: One text in so many that name no group gets a mention inserted.
+INSERTED = 4
 #: Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY_TERMS = (
     ("women", "men"),
@@ -54,12 +59,13 @@ IDENTITY_TERMS = (
     ("musulmanes", "cristianos", "judíos"),
 )
 SWAPS = {t: kind[(k + 1) % len(kind)] for kind in IDENTITY_TERMS for k, t in enumerate(kind)}
+MENTIONS = list(SWAPS)
 
 
 def features_of(word: str) -> list[int]:
-    """Hashes of a normalised word's features."""
+    """Hashes of a normalised word's features. An identity term has no beginnings: it shares none with other words."""
     out = [xxhash.xxh3_64_intdigest(f"w {word}")]
-    out += [xxhash.xxh3_64_intdigest(f"{n} {word[:n]}") for n in PREFIXES if len(word) >= n]
+    out += [xxhash.xxh3_64_intdigest(f"{n} {word[:n]}") for n in PREFIXES if len(word) >= n and word not in SWAPS]
     return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
 
 
@@ -90,7 +96,8 @@ def _lookup(index: dict[int, int], names: list[str]) -> list[list[int]]:
 
 
 def _vectors(index: dict[int, int]):
-    """Per sampled text the numbers of its features, and those of its swapped version where it names a group."""
+    """Per sampled text the numbers of its features, and those of its counterfactual version if it has one."""
+    mentions = _lookup(index, MENTIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -98,10 +105,14 @@ def _vectors(index: dict[int, int]):
             own = _lookup(index, names)
             swapped = {k: _lookup(index, [SWAPS[w]])[0] for k, w in enumerate(names) if w in SWAPS}
             has, other = [], []
-            for d in docs:
+            for d, text in zip(docs, batch.column("text")):
                 words = d.tolist()
                 has.append(sorted({f for k in words for f in own[k]}))
-                other.append(sorted({f for k in words for f in swapped.get(k, own[k])}) if any(k in swapped for k in words) else None)
+                lot = xxhash.xxh3_64_intdigest(text.as_buffer())
+                if any(k in swapped for k in words):
+                    other.append(sorted({f for k in words for f in swapped.get(k, own[k])}))
+                else:
+                    other.append(sorted({*has[-1], *mentions[lot // INSERTED % len(MENTIONS)]}) if lot % INSERTED == 0 else None)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(has, kind), pa.array(other, kind)], names=["label", "has", "swapped"])
 
@@ -132,6 +143,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(labels: np.ndarray, has: list[list[int]], swapped: list[list[int] | None], weights: np.ndarray, n_features: int, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, turns: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept with the least weighted log loss + penalties, by full-batch Adam steps."""
+    ridge = ridge / len(labels)
     rows, cols = _flat(has)
     pairs = [k for k, s in enumerate(swapped) if s is not None]
     rows2, cols2 = _flat([swapped[k] for k in pairs])
@@ -160,7 +172,12 @@ def train(labels: np.ndarray, has: list[list[int]], swapped: list[list[int] | No
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on the labelled texts of ``docs`` (labels: id_col, label_col of 0 or 1). Labels that differ for an id count as 1."""
+    """Train on the labelled texts of ``docs`` (labels: id_col, label_col of 0 or 1).
+
+    Labels that differ for an id count as 1; null ids and other labels are left out. Rows that repeat a labelled id
+    are a text each; null and empty texts count as texts without words. Without texts of both labels the model has
+    no weights and scores every text alike.
+    """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = staged(known, "known")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -175,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, float(np.log(share / (1 - share))))
     expected = (F.col("t") + F.col("c")) * n1 / (n1 + n0)
     clear = F.col("t") * F.log(F.col("t") / expected)
-    top = counts.filter((F.col("t") >= 3) & (clear >= 10)).orderBy(clear.desc(), "feature").limit(FEATURES).collect()
+    top = counts.filter(clear > 0).orderBy(clear.desc(), "feature").limit(min(FEATURES, n1 + n0)).collect()
     named = {f for term in SWAPS for f in features_of(term)[:1]}
     index = {f: k for k, f in enumerate(dict.fromkeys([r["feature"] for r in top] + sorted(named)))}
     rows = texts.mapInArrow(lean(_vectors(index)), "label int, has array<int>, swapped array<int>").collect()
@@ -198,7 +215,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold, filtered where they are."""
+    """``docs`` without the rows whose score reaches the threshold, filtered where they are, with all their columns.
+
+    Null and empty texts have the intercept's score. Null and repeated ids are rows like others.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

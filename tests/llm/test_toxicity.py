@@ -54,7 +54,7 @@ def test_gradient_of_the_loss():
     def loss(w, b):
         p = 1 / (1 + np.exp(-np.array([w[h].sum() + b for h in has])))
         q = {k: 1 / (1 + np.exp(-(w[s].sum() + b))) for k, s in enumerate(swapped) if s is not None}
-        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + np.mean([(p[k] - x) ** 2 for k, x in q.items()]) + X.RIDGE * (w**2).sum()
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + np.mean([(p[k] - x) ** 2 for k, x in q.items()]) + X.RIDGE / 6 * (w**2).sum()
 
     best = loss(w, b)
     for _ in range(50):
@@ -76,10 +76,41 @@ def test_odd_rows_and_empty_tables(spark):
     assert X.fit(docs, labels.filter("toxic = 0")).scores(pa.array(["vilestfool"]))[0] < 0.3
 
 
-def test_query_on_the_held_out_fold(spark):
-    got = {r["doc_id"]: r for r in rows_of(QUERIES["op2_toxicity"](spark, SF))}
-    labels = {r["doc_id"]: r["toxic"] for r in rows_of(spark.read.parquet(f"{SF}/labels.parquet"))}
-    assert len(got) == 1000 and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+def held_out(spark, sf):
+    """(labelled toxic, of these caught, others, of these caught) of the held-out fold, and all rows."""
+    got = {r["doc_id"]: r for r in rows_of(QUERIES["op2_toxicity"](spark, sf))}
+    labels = {r["doc_id"]: r["toxic"] for r in rows_of(spark.read.parquet(f"{sf}/labels.parquet"))}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
     held = [(labels[i], r["predicted"]) for i, r in got.items() if r["held_out"] and i in labels]
-    assert sum(y == p for y, p in held) / len(held) > 0.9
-    assert sum(p for y, p in held if not y) <= 0.02 * len(held)
+    return sum(y for y, _ in held), sum(y and p for y, p in held), sum(not y for y, _ in held), sum(p and not y for y, p in held), got
+
+
+def test_query_on_the_held_out_fold(spark):
+    toxic, caught, clean, wrong, got = held_out(spark, SF)
+    assert len(got) == 1000
+    # Four of the 14 toxic texts hold no slur that a training label shows.
+    assert caught >= 10 and toxic == 14
+    assert wrong <= 0.02 * clean and caught / (caught + wrong) >= 0.9
+
+
+def test_recall_and_precision_on_the_larger_table(spark):
+    toxic, caught, clean, wrong, _ = held_out(spark, "/root/testdata/sf0.1")
+    assert caught >= 0.9 * toxic and caught / (caught + wrong) >= 0.95, (caught, toxic, wrong, clean)
+
+
+def test_a_small_table_has_more_than_one_score(spark):
+    got = rows_of(QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.001"))
+    assert len({round(r["score"], 6) for r in got}) > 20
+
+
+def test_neutral_mentions_change_no_score(spark):
+    """Of a corpus that names no group: mentions added to held-out texts, and swapped there."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = X.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").filter(X.fold() != 2))
+    texts = [r["text"] or "" for r in rows_of(docs.filter(X.fold() == 2).select("text"))][:60]
+    before = model.scores(pa.array(texts))
+    for term in X.MENTIONS:
+        after = model.scores(pa.array([f"{t} {term} live here" for t in texts]))
+        other = model.scores(pa.array([f"{t} {X.SWAPS[term]} live here" for t in texts]))
+        assert np.abs(after - before).max() < 0.05 and np.abs(after - other).max() < 0.05, term
+        assert ((after >= X.THRESHOLD) <= (before >= X.THRESHOLD - 0.02)).all(), term
