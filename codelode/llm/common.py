@@ -54,6 +54,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, new_path(df.sparkSession, label))
 
 
+#: A key with more than this share of a table's rows (and more than ``FEW_ROWS``) is hot; there are fewer hot keys than this.
+MOST_HOT, FEW_ROWS = 10_000, 100
+
+
+def join_split(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``many``, ``total`` rows, to ``one``: one row a key, with at least its number of rows of ``many`` in ``size``.
+
+    Rows of hot keys meet a broadcast of at most ``MOST_HOT`` rows where they are, the others meet by an exchange, so no
+    task gets all rows of a key. ``many`` is read twice and should be a staged table.
+    """
+    limit = max(FEW_ROWS, total // MOST_HOT)
+    hot, cold = one.filter(F.col(size) > limit).drop(size), one.filter(F.col(size) <= limit).drop(size)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return many.join(F.broadcast(hot), keys).unionByName(rest.join(cold.hint("merge"), keys))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -47,7 +47,7 @@ def op6_pii(spark, sf_dir):
 
 
 def op7_exact_dedup(spark, sf_dir):
-    return _exact.exact_dedup(table(spark, sf_dir, "documents"))
+    return _exact.exact_dedup(table(spark, sf_dir, "documents")).drop("chain_length")
 
 
 def op8_jaccard_join(spark, sf_dir):
