@@ -81,6 +81,60 @@ def test_whole_test_table(spark):
     assert got(jaccard_join(docs)) == brute(rows)
 
 
+def test_large_and_negative_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [((1 << 62) + 3, text), ((1 << 50), text + " end"), (-(1 << 61), text), (5, "other " * 3)]
+    assert got(jaccard_join(docs_of(spark, rows))) == brute(rows)
+
+
+def test_repeated_ids_are_one_document(spark):
+    words = [f"w{k}" for k in range(60)]
+    other = [f"o{k}" for k in range(9)]
+    near = " ".join([*words[:-1], "end"])
+    rows = [(9, " ".join(words)), (9, " ".join(other)), (9, " ".join(words)), (3, near), (4, " ".join(other)), (4, " ".join(other)), (7, " ".join(other)), (8, "alone here"), (9, ""), (2, None)]
+    for boundary in (0, 20):
+        have = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows_of(jaccard_join(docs_of(spark, rows), boundary=boundary))}
+        assert have == {(9, 57): 3, (9, 6): 3, (3, 57): 3, (4, 6): 3, (7, 6): 3, (8, 1): 8, (9, 0): 9, (2, 0): 2}
+    assert len(rows_of(jaccard_join(docs_of(spark, rows)))) == len(rows)
+
+
+def test_light_matches_are_compared(spark, monkeypatch):
+    """With subset hashes that all collide no false link remains."""
+    import codelode.llm.jaccard_join as J
+
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(8)]
+    monkeypatch.setattr(J, "_list", lambda *a, real=J._list: _colliding(real(*a)))
+    assert [r["component_id"] for r in sorted(rows_of(jaccard_join(docs_of(spark, rows), boundary=20)), key=lambda r: r["doc_id"])] == list(range(8))
+
+
+def _colliding(run):
+    def changed(batches):
+        import pyarrow as pa
+
+        for b in run(batches):
+            at = b.schema.get_field_index("subsets")
+            yield b.set_column(at, b.schema.field(at), pa.array([[1] * len(x) for x in b.column(at).to_pylist()], b.schema.field(at).type))
+
+    return changed
+
+
+def test_hot_lists_and_classes_are_split(spark, monkeypatch):
+    for name in ("codelode.llm.jaccard_join.FEW_ROWS", "codelode.llm.common.FEW_ROWS"):
+        monkeypatch.setattr(name, 3)
+    rnd = random.Random(5)
+    base, small = [f"w{k}" for k in range(80)], [f"s{k}" for k in range(9)]
+    rows = [(k, " ".join(edited(rnd, base, k % 3))) for k in range(60)] + [(100 + k, " ".join(small)) for k in range(30)] + [(200 + k, " ".join([*small, f"t{k}"])) for k in range(20)]
+    for boundary in (0, 20):
+        assert got(jaccard_join(docs_of(spark, rows), boundary=boundary)) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(rnd, words, 200))), (3, " ".join(words[:30_000]))]
+    assert got(jaccard_join(docs_of(spark, rows))) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jaccard_join(docs_of(spark, [])).collect() == []
 
