@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then question and answer overlap.
 
 The items are indexed on the driver in shards of at most ``SHARD_ITEMS`` items and ``SHARD_CHARS`` characters; each
-shard's index is sent to the tasks and queried in a pass of its own over the documents, so its size is bounded
-however many items there are; word frequencies, mean length and number of entries are those of all shards. Items of more than ``ENTRY_WORDS`` words are indexed in parts of that many words, the
+shard's index is sent to the tasks and queried in a pass of its own over the documents, so the size of each is bounded
+however many items there are (the driver holds those of one query until its end); word frequencies, mean length and number of entries are those of all shards. Items of more than ``ENTRY_WORDS`` words are indexed in parts of that many words, the
 last one overlapping the one before. Parts only retrieve: what is verified is the whole item.
 
 Every document is cut into segments of as many words as the longest entry has (32 at least), and each two neighbouring
@@ -63,9 +63,9 @@ def _shingles(words: list[str]) -> set[tuple]:
 
 
 def _parts(words: list[str]) -> list[list[str]]:
-    """The entries of an item."""
+    """The entries of an item; none if it has too few words to be told from chance."""
     if len(words) <= ENTRY_WORDS:
-        return [words] if words else []
+        return [words] if len(words) >= SHINGLE else []
     return [words[k : k + ENTRY_WORDS] for k in [*range(0, len(words) - ENTRY_WORDS, ENTRY_WORDS), len(words) - ENTRY_WORDS]]
 
 
@@ -245,8 +245,8 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document row and item it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Null and empty texts hold nothing, items without words are found nowhere, and items with equal texts are each
-    reported. Rows that repeat an id are reported each, with a null id too. Empty tables give an empty result.
+    Null and empty texts hold nothing. Items of fewer than five words, which any text may hold by chance, and null items
+    are found nowhere; items with equal texts are each reported. Rows that repeat an id are reported each, with a null id too. Empty tables give an empty result.
     Extra columns are ignored.
     """
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -267,7 +267,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold an item: the same search, filtering rows where they are, so no exchange is needed."""
+    """``docs`` without the rows that hold an item: the same search, filtering rows where they are, so no exchange is needed.
+
+    Null and empty texts stay, rows are judged each for itself, and all columns are kept.
+    """
     out = docs
     for index in indexes(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)

@@ -93,9 +93,10 @@ def test_shards_give_the_same(spark, monkeypatch):
     items = random_items(rnd, 60)
     docs = docs_of(spark, [(k, "pre " * k + t) for k, t in items])
     table = spark.createDataFrame([(k, t, None) for k, t in items], ITEMS)
+    whole = {(r["doc_id"], r["item_id"]) for r in rows_of(D.contaminated(docs, table))}
     monkeypatch.setattr(D, "SHARD_ITEMS", 25)
     got = {(r["doc_id"], r["item_id"]) for r in rows_of(D.contaminated(docs, table))}
-    assert {(k, k) for k, t in items} <= got
+    assert {(k, k) for k, t in items if len(t.split()) >= 5} <= got and got == whole
 
 
 def test_long_items_are_verified_whole():
@@ -127,3 +128,11 @@ def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(D, "SHARD_ITEMS", 25)
     assert found() == whole and len(whole) > 10
+
+
+def test_items_of_few_words_are_found_nowhere(spark):
+    bench = spark.createDataFrame([(1, "harbour"), (2, "the old harbour"), (3, "one two three four five"), (4, "")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "we saw the old harbour today"), (2, "then one two three four five went")])
+    got = rows_of(D.contaminated(docs, bench))
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 3)]
+    assert [r["doc_id"] for r in rows_of(D.without_contaminated(docs, bench))] == [1]
