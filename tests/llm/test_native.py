@@ -22,9 +22,18 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch):
     got = rows_of(chat.render(turns_of(spark, convs)))
     assert {r["conv_id"] for r in got} == {3, 4, 6, 8, 9}
     assert [r["segment"] for r in sorted(got, key=lambda r: r["turn"]) if r["conv_id"] == 4] == ["<|im_start|>user\na<|im_end|>\n", "<|im_start|>assistant\nx<|im_end|>\n"]
+    assert [r["place"] for r in sorted(got, key=lambda r: r["turn"]) if r["conv_id"] == 6] == list(range(1, 21))
     assert chat.render(turns_of(spark, [])).collect() == []
 
 
+def test_chat_null_and_tied_turns_and_long_texts(spark):
+    long = "y" * 300_000
+    rows = [(1, None, "user", "first"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, None, "a"), (1, 1, "user", long), (2, None, "user", "first"), (2, 0, "user", "a"), (2, 0, "user", "b"), (2, 0, "", "a"), (3, None, "user", "first"), (3, 0, "user", "a")]
+    got = sorted(rows_of(chat.render(spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS))), key=lambda r: (r["conv_id"], r["place"]))
+    assert [(r["conv_id"], r["turn"], r["place"], r["segment"][12:20]) for r in got] == [(1, -1, 1, "user\nfir"), (1, 0, 2, "\na<|im_e"), (1, 0, 3, "user\na<|"), (1, 0, 4, "user\nb<|"), (1, 1, 5, "user\nyyy"), (3, -1, 1, "user\nfir"), (3, 0, 2, "user\na<|")]
+    assert len(got[4]["segment"]) > 300_000
+
+
 def test_queries_against_sql(spark):
     for name in ("op5_chat", "op7_exact_dedup"):
         compare(spark, name, QUERIES[name], ORACLES[name], SF)
