@@ -5,7 +5,7 @@ alone. The others are dealt to partitions and packed there by best-fit decreasin
 dual-feasible-function bound says how many sequences any packing needs; a partition that meets its bound is
 certified and done. Partitions with a gap give up the pieces of their unfilled sequences, exchange them by
 dealing them anew to fewer partitions, and rerun best-fit decreasing, until all are certified, the pool fits
-one partition, or a round saves nothing.
+one partition, or a round saves nothing. The result says of each piece whether its partition was certified.
 """
 
 from __future__ import annotations
@@ -115,8 +115,9 @@ def _pack(capacity: int):
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", pool_pieces: int = POOL_PIECES) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
+    ``certified``: no packing of its partition's pieces needs fewer sequences (pieces of full length always are).
     Null and empty texts hold the end id alone (without an end id they have no piece). Rows with equal or null
     ids are packed each for itself. An empty table gives an empty result. Extra columns are ignored.
     """
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     pieces = staged(texts_of(docs, id_col, text_col).mapInArrow(lean(_pieces(path, end_id, capacity)), "doc_id long, piece int, start long, length int, ids_crc32 long"), "pieces")
     full, pool = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
     level = 1 << 56
-    done = [full.select(*_PIECES.names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select(*_PIECES.names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     n, last_gap = pool.count(), None
     for turn in range(ROUNDS):
         n_parts = max(1, -(-n // pool_pieces))
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
             sure, pool = marked.filter(~open_), staged(marked.filter(open_).select(*_PIECES.names), f"pool{turn}")
             n, last_gap = pool.count(), gap
         number = F.lit(level * (turn + 1)) + F.col("part") * (1 << 33) + F.col("bin")
-        done.append(sure.select(*_PIECES.names, number.alias("sequence_id"), "offset"))
+        done.append(sure.select(*_PIECES.names, number.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified")))
         if last:
             break
     out = done[0]
