@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import tokens
+from ..functions.metrics import cost, identifiers, rate, tokens
 
 
 def spans_meet(spans: DataFrame, gold: DataFrame, contain: bool = False) -> DataFrame:
@@ -30,13 +30,88 @@ def unknown_tokens(texts: DataFrame, vocabulary: DataFrame, text: str = "text")
     return of(texts).join(of(vocabulary), "token", "left_anti")
 
 
+def odd_identifiers(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, identifier, kind) of what answers name without ground. answers: id, answer, context; vocabulary: token.
+
+    ``fabricated``: not in the vocabulary; ``outside``: in the vocabulary, but not in the answer's context.
+    """
+    named = answers.select("id", F.explode(identifiers(F.col("answer"))).alias("token"))
+    held = answers.select("id", F.explode(tokens(F.col("context"))).alias("token"))
+    fabricated = named.join(vocabulary, "token", "left_anti").withColumn("kind", F.lit("fabricated"))
+    outside = named.join(held, ["id", "token"], "left_anti").join(vocabulary, "token", "left_semi").withColumn("kind", F.lit("outside"))
+    return fabricated.unionByName(outside).select("id", F.col("token").alias("identifier"), "kind")
+
+
+#: A citation's file, place and lines.
+CITATION = r"^(.+?) :: (.+) \(lines (\d+)-(\d+)\)$"
+
+
+def checked_citations(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """(id, citation, resolves, exact, inside) of citations (id, citation) against gold nodes (node_id, g_start, g_end)."""
+    part = lambda k: F.regexp_extract("citation", CITATION, k)
+    read = cited.withColumns({"node_id": F.concat(part(1), F.lit("::"), part(2)), "start": F.try_to_number(part(3), F.lit("9999999999")).cast("long"), "end": F.try_to_number(part(4), F.lit("9999999999")).cast("long")})
+    met = read.join(gold, "node_id", "left")
+    found = F.col("g_start").isNotNull()
+    exact, inside = F.expr("start = g_start AND end = g_end"), F.expr("start >= g_start AND end <= g_end")
+    return met.select("id", "citation", found.alias("resolves"), F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+def joined_stages(rows: DataFrame, deterministic: DataFrame, pipeline: DataFrame, judged: DataFrame) -> DataFrame:
+    """Labelled queries with what each stage says of them, by id; a query need not be judged."""
+    return rows.join(deterministic, "id").join(pipeline, "id").join(judged, "id", "left")
+
+
+def chosen_rows(stages: DataFrame, intent: str | None = None, expect: str | None = None, with_gold: bool = False, without_error: bool = True) -> DataFrame:
+    """Rows of an evaluation by intent, by what is expected, with gold, without an error."""
+    out = stages
+    for wanted, column in ((intent, "intent"), (expect, "expect")):
+        if wanted is not None:
+            out = out.filter(F.col(column) == wanted)
+    out = out.filter(F.size("gold") > 0) if with_gold else out
+    return out.filter("error IS NULL") if without_error else out
+
+
+def same_spans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, same, meet): whether both have the same set of spans, and whether any is in both. a, b: id, file, start, end."""
+    spans = lambda df, name: df.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("file", "start", "end"))).alias(name))
+    both = spans(a, "a").join(spans(b, "b"), "id", "full_outer")
+    return both.select("id", F.col("a").eqNullSafe(F.col("b")).alias("same"), F.coalesce(F.arrays_overlap("a", "b"), F.lit(False)).alias("meet"))
+
+
+def token_sums(usage: DataFrame, price_in: float | None = None, price_out: float | None = None) -> DataFrame:
+    """(id, tokens_in, tokens_out[, cost]) over all models of a query; usage: id, model, tokens_in, tokens_out."""
+    out = usage.groupBy("id").agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"))
+    if price_in is None or price_out is None:
+        return out
+    return out.withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))
+
+
+def failures_by_kind(failures: DataFrame) -> DataFrame:
+    """(kind, n, first, last) of failures (kind, id), kinds in order; who failed is listed by ``failures`` itself."""
+    return failures.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).orderBy("kind")
+
+
+def rates(rows: DataFrame, key: str, hit: str) -> DataFrame:
+    """(key, k, n, rate) of a condition by group, as text with its interval."""
+    counted = rows.groupBy(key).agg(F.count_if(F.col(hit)).alias("k"), F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("rate", rate(F.col("k"), F.col("n")))
+
+
 def label_errors(queries: DataFrame, nodes: DataFrame, scope: DataFrame) -> DataFrame:
-    """(id, problem) of labelled queries: unknown gold, unknown file, repeated id, bad intent."""
-    gold = queries.select("id", F.explode("gold").alias("node_id")).join(nodes, "node_id", "left_anti").select("id", F.concat(F.lit("unknown gold "), "node_id").alias("problem"))
+    """(id, problem) of labelled queries: unknown gold, a term that no gold source holds, unknown file, repeated id, bad intent.
+
+    nodes: node_id, source; a must-mention entry is a list of alternatives of which one has to be in a gold node's source.
+    """
+    gold = queries.select("id", F.explode("gold").alias("node_id")).join(nodes, "node_id", "left")
+    unknown = gold.filter("source IS NULL").select("id", F.concat(F.lit("unknown gold "), "node_id").alias("problem"))
+    entries = queries.filter(F.size("gold") > 0).select("id", F.posexplode("must_mention").alias("at", "terms"))
+    held = entries.join(gold.filter("source IS NOT NULL").select("id", "source"), "id", "left")
+    shown = held.groupBy("id", "at", "terms").agg(F.bool_or(F.coalesce(F.expr("exists(terms, t -> contains(lower(source), lower(t)))"), F.lit(False))).alias("ok"))
+    underived = shown.filter("NOT ok").select("id", F.concat(F.lit("no gold source holds "), F.array_join("terms", "|")).alias("problem"))
     files = queries.select("id", F.explode("target_files").alias("stem")).join(scope, "stem", "left_anti").select("id", F.concat(F.lit("unknown file "), "stem").alias("problem"))
     twice = queries.groupBy("id").count().filter("count > 1").select("id", F.lit("repeated id").alias("problem"))
     intent = queries.filter("intent NOT IN ('code_explanation', 'risk_assessment')").select("id", F.lit("bad intent").alias("problem"))
-    return gold.unionByName(files).unionByName(twice).unionByName(intent)
+    return unknown.unionByName(underived).unionByName(files).unionByName(twice).unionByName(intent)
 
 
 def flagged_claims(judged: DataFrame) -> DataFrame:
@@ -49,11 +124,11 @@ def flagged_claims(judged: DataFrame) -> DataFrame:
 RANK_BUCKETS = 200
 
 
-def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
-    """(key, one column a name) with the value at rank round(q (n - 1)), half to even, for groups of any size.
+def _at_ranks(rows: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
+    """(key, one column a name) with the value at a rank, given as a column of the group's ``total``, for groups of any size.
 
     Values are counted, dealt into buckets between approximate quantiles, and only the bucket that holds a rank is
-    sorted. Null values don't count; a group without values has NaN. Rows with a null key are left out.
+    sorted. Rows with a null key or value don't count.
     """
     counted = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     cuts = counted.groupBy(key).agg(F.percentile_approx(value, [k / RANK_BUCKETS for k in range(1, RANK_BUCKETS)]).alias("cuts"))
@@ -61,9 +136,21 @@ def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]
     own = Window.partitionBy(key)
     sums = dealt.groupBy(key, "bucket").agg(F.sum("n").alias("many"))
     sums = sums.withColumns({"upto": F.sum("many").over(own.orderBy("bucket")), "total": F.sum("many").over(own)})
-    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.bround(F.lit(float(q)) * (F.col("total") - 1)).cast("long").alias("rank")) for name, q in ranks.items()))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()))
     held = sums.select(key, "bucket", (F.col("upto") - F.col("many")).alias("before"), "upto", F.inline(wanted)).filter("before <= rank AND rank < upto")
     inside = dealt.join(held, [key, "bucket"]).withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy(key, "name").orderBy(value)))
-    found = inside.filter("rank < at").groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks))
+    return inside.filter("rank < at").groupBy(key).agg(*(F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks))
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
+    """(key, one column a name) with the value at rank round(q (n - 1)), half to even; a group without values has NaN, null keys are left out."""
+    found = _at_ranks(rows, key, value, {name: F.bround(F.lit(float(q)) * (F.col("total") - 1)) for name, q in ranks.items()})
     groups = rows.filter(F.col(key).isNotNull()).select(key).distinct()
     return groups.join(found, key, "left").select(key, *(F.coalesce(name, F.lit(float("nan"))).alias(name) for name in ranks))
+
+
+def exact_median(rows: DataFrame, value: str) -> Column:
+    """The median of a column over all rows, as a scalar subquery: the mean of the middle values, null without any."""
+    middle = {"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)}
+    found = _at_ranks(rows.select(F.lit(0).alias("all"), F.col(value).alias("value")), "all", "value", middle)
+    return found.agg(F.max((F.col("low") + F.col("high")) / 2)).scalar()

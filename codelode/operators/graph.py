@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import settled
+from .evaluate import exact_median
+from .shared import discard, settled
+
+
+def module_of(path):
+    """Dotted module name of a file path."""
+    return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
 
 
 def import_edges(imports: DataFrame, scope: DataFrame) -> DataFrame:
@@ -18,18 +24,44 @@ def import_edges(imports: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst, depth) of all dst reachable from src, cycles included, a node from itself left out; depth is the fewest steps."""
-    step = edges.select("src", "dst").filter("src <> dst").distinct()
-    seen = frontier = settled(step.withColumn("depth", F.lit(1)))
-    depth = 1
+    """(src, dst, depth) of all dst reachable from src, cycles included, a node from itself left out; depth is the fewest steps.
+
+    Paths double: after a round all pairs up to twice as far apart are known, so rounds grow with the logarithm of
+    the longest distance. A round is one join, one aggregation and one written table.
+    """
+    known = settled(edges.select("src", "dst").filter("src <> dst").distinct().withColumn("depth", F.lit(1)), "paths")
+    n, before = known.count(), -1
+    while n != before:
+        onward = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+        longer = known.join(onward, "dst").filter("src <> end").select("src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        old, known = known, settled(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")), "paths")
+        discard(old)
+        n, before = known.count(), n
+    return known
+
+
+def closure_by_frontier(edges: DataFrame) -> DataFrame:
+    """(src, dst) reachable, by another way for cross-checks: a frontier grows step by step, what was seen is taken off."""
+    step = settled(edges.select("src", "dst").filter("src <> dst").distinct(), "steps")
+    seen = frontier = step
     while not frontier.isEmpty():
-        depth += 1
-        reached = frontier.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").filter("src <> dst").distinct()
-        frontier = settled(reached.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = frontier.withColumnRenamed("dst", "via").join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").filter("src <> dst").distinct()
+        frontier = settled(reached.join(seen, ["src", "dst"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def risk_mismatches(scores: DataFrame, edges: DataFrame, scope: DataFrame, commits: DataFrame) -> DataFrame:
+    """(file, problem) where scores differ from a recomputation by the other closure, file by file."""
+    reached = closure_by_frontier(edges).groupBy(F.col("dst").alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+    again = scope.select("stem").join(reached, "stem", "left").select("stem", F.coalesce("n", F.lit(0)).cast("long").alias("dependents"))
+    again = risk_gate(again.join(commits, "stem")).select(F.col("stem").alias("file"), F.struct(F.col("dependents").cast("long"), "commit_count", "risk_level").alias("again"))
+    given = scores.select("file", F.struct(F.col("dependents").cast("long"), "commit_count", "risk_level").alias("given"))
+    both = given.join(again, "file", "full_outer").filter(~F.col("given").eqNullSafe(F.col("again")))
+    problem = F.when(F.col("given").isNull(), "no score").when(F.col("again").isNull(), "not in scope").otherwise("other numbers")
+    return both.select("file", problem.alias("problem"))
+
+
 def dependents(edges: DataFrame, scope: DataFrame) -> DataFrame:
     """(stem, dependents, dependent_files) for all of scope, isolated files with 0."""
     of = closure(edges).groupBy(F.col("dst").alias("stem")).agg(F.sort_array(F.collect_set("src")).alias("dependent_files"))
@@ -38,10 +70,8 @@ def dependents(edges: DataFrame, scope: DataFrame) -> DataFrame:
 
 def risk_gate(measured: DataFrame, impact: str = "dependents", churn: str = "commit_count") -> DataFrame:
     """Adds risk_level: high if impact reaches its median and churn stays within its own, medium if only impact does, else low."""
-    middle = measured.agg(F.median(impact).alias("m_impact"), F.median(churn).alias("m_churn"))
-    wide = measured.crossJoin(F.broadcast(middle))  # the medians are one row
-    level = F.when(F.col(impact) < F.col("m_impact"), "low").when(F.col(churn) <= F.col("m_churn"), "high").otherwise("medium")
-    return wide.withColumn("risk_level", level).drop("m_impact", "m_churn")
+    level = F.when(F.col(impact) < exact_median(measured, impact), "low").when(F.col(churn) <= exact_median(measured, churn), "high").otherwise("medium")
+    return measured.withColumn("risk_level", level)
 
 
 def risk_scores(edges: DataFrame, scope: DataFrame, commits: DataFrame) -> DataFrame:
@@ -87,8 +117,8 @@ def call_graph(sites: DataFrame, definitions: DataFrame, classes: DataFrame, imp
 
     bare = sites.filter("kind = 'bare'")
     local = bare.join(functions, ["file_path", "callee"]).select(*key, F.lit(0).alias("rank"), F.lit(0).alias("at"), "target")
-    stem = F.regexp_replace("file_path", r"\.py$", "")
-    through = imports.select("stem", F.col("seq").alias("at"), F.concat("module", F.lit(".py")).alias("other"))
+    stem = module_of("file_path")
+    through = imports.select("stem", F.col("seq").alias("at"), F.concat(F.replace(F.col("module"), F.lit("."), F.lit("/")), F.lit(".py")).alias("other"))
     away = bare.withColumn("stem", stem).join(through, "stem").join(functions.withColumnRenamed("file_path", "other"), ["other", "callee"]).select(*key, F.lit(1).alias("rank"), "at", "target")
     built = bare.join(methods.filter("method = '__init__'").select(F.col("class_name").alias("callee"), F.col("node_id").alias("target")), "callee").select(*key, F.lit(2).alias("rank"), F.lit(0).alias("at"), "target")
     plain = reduce(DataFrame.unionByName, [local, away, built]).groupBy(*key).agg(F.min_by("target", F.struct("rank", "at", "target")).alias("target"))
@@ -105,4 +135,4 @@ def call_graph(sites: DataFrame, definitions: DataFrame, classes: DataFrame, imp
 
 
 def class_to_file(classes: DataFrame) -> DataFrame:
-    return classes.groupBy("class_name").agg(F.min(F.regexp_replace("file_path", r"\.py$", "")).alias("stem"))
+    return classes.groupBy("class_name").agg(F.min(module_of("file_path")).alias("stem"))

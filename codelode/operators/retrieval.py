@@ -6,17 +6,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import base_name, citation, part_number, squared_distance
+from ..functions.metrics import base_name, chunk_id, citation, part_number
 
 TOP_K, OVERFETCH = 3, 4
 
 
+#: Query vectors that one pass over all vectors answers; a block is sent to the tasks.
+QUERY_BLOCK = 1_024
+#: Distances that a task holds at a time, per dimension.
+HELD = 1 << 20
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K * OVERFETCH, query_id: str = "query_id", id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank): exact squared L2, ties by id. ``queries`` is a stated set of some rows; each task ranks its own vectors first."""
-    q = queries.select(query_id, F.col(column).alias("__q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).select(query_id, id_col, squared_distance(F.col(column), F.col("__q")).alias("distance"))
+    """(query_id, id, distance, rank): the k nearest by exact squared L2, ties by id.
+
+    Queries are taken in blocks of a bounded size, each against all vectors: every task keeps the k best of its own
+    rows for each query, and these few are ranked. Null vectors, and those of another length than the query, have no distance.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    fields = {f.name: f.dataType.simpleString() for f in (*vectors.schema.fields, *queries.schema.fields)}
+    schema = f"`{query_id}` {fields[query_id]}, `{id_col}` {fields[id_col]}, distance double"
+    named = queries.filter(F.col(column).isNotNull()).select(query_id, column)
+    block: list = []
+    out = spark.createDataFrame([], schema)
+
+    def answered(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.asarray(r[1], dtype=np.float64) for r in rows]))
+
+        def run(batches):
+            names, wanted = sent.value
+            best: dict[int, list[tuple]] = {}
+            for batch in batches:
+                kept = batch.filter(batch.column(1).is_valid())
+                ids, arrays = kept.column(0).to_pylist(), kept.column(1)
+                sizes = np.diff(arrays.offsets.to_numpy())
+                values = arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                starts = np.cumsum(sizes) - sizes
+                for dim in {len(q) for q in wanted}:
+                    own = np.flatnonzero(sizes == dim)
+                    if not len(own):
+                        continue
+                    matrix = values[starts[own][:, None] + np.arange(dim)]
+                    for at in range(0, len(own), max(1, HELD // max(1, dim))):
+                        part = matrix[at : at + max(1, HELD // max(1, dim))]
+                        for j, q in enumerate(wanted):
+                            if len(q) == dim:
+                                d = ((part - q) ** 2).sum(axis=1)
+                                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                                found = best.get(j, []) + [(float(d[i]), ids[own[at + i]]) for i in near.tolist()]
+                                best[j] = sorted(found)[:k]
+            rows = [(names[j], i, d) for j, found in best.items() for d, i in found]
+            if rows:
+                a, b, c = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], names=[query_id, id_col, "distance"])
+
+        return vectors.select(id_col, column).mapInArrow(run, schema)
+
+    for row in named.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            out, block = out.unionByName(answered(block)), []
+    if block:
+        out = out.unionByName(answered(block))
     w = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def dedupe_then_cut(hits: DataFrame, identity: list[str], k: int = TOP_K, query_id: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -38,10 +94,38 @@ def boost(hits: DataFrame, chosen: DataFrame, question: str, identifier: str, id
     return left.join(right, same, "left_anti")
 
 
+IDENTITY = ["file_path", "parent_class", "base_name"]
+
+
 def with_parts(chunks: DataFrame) -> DataFrame:
+    """Chunks with the identity they are parts of (base_name) and their part's number."""
     return chunks.withColumns({"base_name": base_name(F.col("name")), "part_no": part_number(F.col("name"))})
 
 
+def chunk_index(chunks: DataFrame, embed) -> DataFrame:
+    """Chunks with a stable id, counted within their file by place, and a vector of their text; ``embed`` maps a column to one."""
+    place = F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "name")) - 1
+    parent = F.coalesce("parent_class", F.lit(""))
+    return with_parts(chunks).withColumns({"chunk_id": chunk_id(F.col("file_path"), F.col("name"), F.col("start_line"), place), "parent_class": parent, "embedding": embed(F.col("text"))})
+
+
+def chunks_where(index: DataFrame, file_path: str, parent_class: str | None, name: str) -> DataFrame:
+    """The parts of one definition: by equal metadata, then by base name."""
+    return index.filter((F.col("file_path") == file_path) & (F.col("parent_class") == (parent_class or ""))).filter(F.col("base_name") == name)
+
+
+def node_of(file_path: Column, parent_class: Column, name: Column) -> Column:
+    return F.concat(file_path, F.lit("::"), F.when(parent_class != "", F.concat(parent_class, F.lit("."))).otherwise(""), name)
+
+
+def node_parts(node: Column) -> dict[str, Column]:
+    """File, class (empty for none) and name of a node: split at the first ``::``, then at the first dot."""
+    file, rest = (F.coalesce(F.get(F.split(node, "::", 2), F.lit(k)), F.lit("")) for k in (0, 1))
+    dotted = rest.contains(".")
+    at = lambda k: F.coalesce(F.get(F.split(rest, r"\.", 2), F.lit(k)), F.lit(""))
+    return {"file_path": file, "parent_class": F.when(dotted, at(0)).otherwise(""), "base_name": F.when(dotted, at(1)).otherwise(rest)}
+
+
 def reassemble(parts: DataFrame, keys: list[str], text: str = "text", part_no: str = "part_no", start: str = "start_line", end: str = "end_line") -> DataFrame:
     """One row per identity: texts joined in part order, first start, last end. Lines that parts share stay repeated."""
     order = F.struct(part_no, start)
@@ -49,10 +133,33 @@ def reassemble(parts: DataFrame, keys: list[str], text: str = "text", part_no: s
     return parts.groupBy(*keys).agg(F.array_join(F.transform(held, lambda x: x["t"]), "\n").alias("text"), F.min_by(start, order).alias("start_line"), F.max_by(end, order).alias("end_line"))
 
 
-def expand(primary: DataFrame, call_edges: DataFrame, definitions: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """(query_id, node_id, ...) of what the primaries call, one step, without the primaries themselves."""
-    called = primary.select(query_id, F.col("node_id").alias("caller")).join(call_edges, "caller").select(query_id, F.col("callee").alias("node_id")).distinct()
-    return called.join(primary.select(query_id, "node_id"), [query_id, "node_id"], "left_anti").join(definitions, "node_id")
+def whole_chunks(identities: DataFrame, index: DataFrame) -> DataFrame:
+    """Identities (with whatever columns they have) joined to the whole text of their parts; those without chunks drop out."""
+    parts = reassemble(index.join(identities.select(*IDENTITY).distinct(), IDENTITY, "left_semi"), IDENTITY)
+    return identities.join(parts, IDENTITY)
+
+
+def expand(primary: DataFrame, call_edges: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """(query_id, identity, place) of what the primaries call, one step, without the primaries themselves; place is the first caller's."""
+    callers = primary.select(query_id, "place", node_of(F.col("file_path"), F.col("parent_class"), F.col("base_name")).alias("caller"))
+    called = callers.join(call_edges, "caller").groupBy(query_id, F.col("callee").alias("node")).agg(F.min("place").alias("place"))
+    return called.select(query_id, "place", *(c.alias(n) for n, c in node_parts(F.col("node")).items())).join(primary.select(query_id, *IDENTITY), [query_id, *IDENTITY], "left_anti")
+
+
+def retrieve(questions: DataFrame, index: DataFrame, call_edges: DataFrame, embed, query_id: str = "question_id") -> DataFrame:
+    """(query_id, section, place, identity, text, start_line, end_line): primaries (section 0), then what they call (1).
+
+    Nearest chunks, one per identity over the whole window, the best few, the one named in the question besides,
+    each put together from its parts.
+    """
+    asked = questions.select(query_id, "question", embed(F.col("question")).alias("embedding"))
+    hits = vector_topk(asked, index, query_id=query_id, id_col="chunk_id").join(index.select("chunk_id", *IDENTITY), "chunk_id")
+    chosen = dedupe_then_cut(hits, IDENTITY, query_id=query_id).select(query_id, "place", *IDENTITY)
+    named = F.when(F.col("parent_class") != "", F.concat_ws(".", "parent_class", "base_name"))
+    put = boost(hits.join(asked.select(query_id, "question"), query_id).withColumn("identifier", named), chosen, "question", "identifier", IDENTITY, query_id)
+    primary = chosen.unionByName(put.select(query_id, F.lit(TOP_K + 1).alias("place"), *IDENTITY))
+    both = primary.withColumn("section", F.lit(0)).unionByName(expand(primary, call_edges, query_id).withColumn("section", F.lit(1)))
+    return whole_chunks(both, index)
 
 
 def cited(context: DataFrame) -> DataFrame:
@@ -60,20 +167,16 @@ def cited(context: DataFrame) -> DataFrame:
 
 
 def context_text(context: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """(query_id, context): labelled blocks by section and place."""
-    block = F.concat(F.lit("["), F.concat_ws(".", "parent_class", "base_name"), F.format_string(", lines %d-%d]\n", "start_line", "end_line"), "text")
-    held = F.array_sort(F.collect_list(F.struct("section", "place", block.alias("block"))))
-    return context.groupBy(query_id).agg(F.array_join(F.transform(held, lambda x: x["block"]), "\n\n").alias("context"))
+    """(query_id, context, citations): labelled blocks by section and place, and their citations in that order."""
+    block = F.concat(F.lit("["), F.concat_ws(".", F.nullif("parent_class", F.lit("")), "base_name"), F.format_string(", lines %d-%d]\n", "start_line", "end_line"), "text")
+    held = F.array_sort(F.collect_list(F.struct("section", "place", "file_path", "start_line", block.alias("block"), "citation")))
+    return cited(context).groupBy(query_id).agg(held.alias("held")).select(query_id, F.array_join(F.transform("held", lambda x: x["block"]), "\n\n").alias("context"), F.transform("held", lambda x: x["citation"]).alias("citations"))
 
 
 def risk_notes(primary: DataFrame, risk: DataFrame, query_id: str = "query_id") -> DataFrame:
     """(query_id, risk_notes) for files of primaries with a high risk, once a file."""
-    stem = F.regexp_replace("file_path", r"\.py$", "")
+    stem = F.replace(F.regexp_replace("file_path", r"\.py$", ""), F.lit("/"), F.lit("."))
     files = primary.groupBy(query_id, stem.alias("file")).agg(F.min("place").alias("place"))
-    high = files.join(F.broadcast(risk.filter("risk_level = 'high'")), "file")
+    high = files.join(risk.filter("risk_level = 'high'"), "file")
     note = F.concat("file", F.lit(".py: "), "rationale")
     return high.groupBy(query_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", note.alias("n")))), lambda x: x["n"]).alias("risk_notes"))
-
-
-def identity_equal(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

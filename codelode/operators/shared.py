@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to ``spark.checkpoint.dir``; a folder is chosen here only in local mode when none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="codelode-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """``df`` as a table in ``spark.checkpoint.dir``, where its lineage ends; a folder is chosen here only in local mode when none is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codelode-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/codelode/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import hashed_embedding
+from ..operators import retrieval
+from .errors import InvalidQuestion
+
 #: Offline intent rule: a question about risk, safety or impact of a change.
 RISK_WORDS = r"(?i)\brisk|\bimpact\b|\baffected\b|\bdangerous\b|\bbreak\b|\bsaf(e|est) to (modify|change|touch|refactor|edit)\b"
 
 
-class AppError(Exception):
-    """An error with a status, a code and whether trying again may help."""
-
-    status, code, retryable = 500, "internal_error", False
-
-
-class InvalidQuestion(AppError):
-    status, code, retryable = 422, "validation_error", False
-
-
-class ModelUnavailable(AppError):
-    status, code, retryable = 503, "model_unavailable", True
-
-
-class DataUnavailable(AppError):
-    status, code, retryable = 503, "data_unavailable", True
+#: Characters by which forms of names are looked up in a question.
+GRAM = 6
 
 
 def classify(question: Column) -> Column:
@@ -42,8 +33,13 @@ def extract_targets(questions: DataFrame, scope: DataFrame, class_files: DataFra
     underscored = forms.filter(F.col("form").startswith("_"))
     whole = scope.filter(~F.col("stem").startswith("_")).select("stem", F.concat(F.lower("stem"), F.lit(".py")).alias("form"), F.lit(False).alias("exact"))
     vocabulary = underscored.unionByName(generic).unionByName(whole).unionByName(named).distinct()
-    at = F.when(F.col("exact"), F.instr("question", F.col("form"))).otherwise(F.instr(F.lower("question"), F.col("form")))
-    met = questions.select("question_id", "question").crossJoin(F.broadcast(vocabulary)).withColumn("at", at).filter("at > 0")  # the vocabulary is the scope's names
+    # A form is met where its first characters are: places of the questions and forms are joined on these.
+    keyed = vocabulary.filter("form <> ''").select("stem", "form", "exact", F.substring("form", 1, GRAM).alias("gram"))
+    each = questions.select("question_id", F.explode(F.array(F.struct(F.lit(True).alias("exact"), F.col("question").alias("said")), F.struct(F.lit(False).alias("exact"), F.lower("question").alias("said")))).alias("q")).select("question_id", "q.*")
+    places = each.filter("said <> ''").select("question_id", "exact", "said", F.explode(F.sequence(F.lit(1), F.length("said"))).alias("at"))
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("said") - F.col("at") + 1))).alias("size")
+    places = places.select("*", sizes).select("question_id", "exact", "said", "at", F.substring("said", F.col("at"), F.col("size")).alias("gram"))
+    met = places.join(keyed, ["exact", "gram"]).filter(F.substring("said", F.col("at"), F.length("form")) == F.col("form"))
     first = met.groupBy("question_id", "stem").agg(F.min("at").alias("at"))
     listed = first.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("target_files"))
     return questions.join(listed, "question_id", "left").withColumn("target_files", F.coalesce("target_files", F.array().cast("array<string>")))
@@ -61,10 +57,10 @@ def risk_responses(questions: DataFrame, risk: DataFrame, scope: DataFrame) -> D
     files = questions.select("question_id", F.posexplode("target_files").alias("at", "file"))
     detail = F.struct("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale")
     line = F.concat("file", F.lit(".py: "), F.upper("risk_level"), F.lit(" risk -- "), "rationale")
-    known = files.join(F.broadcast(risk), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"), detail.alias("d")))).alias("found"))
+    known = files.join(risk, "file").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"), detail.alias("d")))).alias("found"))
     odd = files.join(risk.select("file"), "file", "left_anti").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("odd"))
-    all_files = scope.agg(F.array_join(F.sort_array(F.collect_list("stem")), ", ").alias("names"))
-    wide = questions.join(known, "question_id", "left").join(odd, "question_id", "left").crossJoin(F.broadcast(all_files))
+    all_files = scope.agg(F.array_join(F.sort_array(F.collect_list("stem")), ", ")).scalar()  # the names of the scope, given by the user
+    wide = questions.join(known, "question_id", "left").join(odd, "question_id", "left").withColumn("names", all_files)
     note = F.when(F.col("odd").isNotNull(), F.concat(F.lit("\n\nNote: not known: "), F.array_join("odd", ", "))).otherwise("")
     answer = (
         F.when(F.size("target_files") == 0, F.concat(F.lit("Which file do you mean? Known are: "), "names"))
@@ -88,30 +84,41 @@ def explanation_responses(questions: DataFrame, contexts: DataFrame, notes: Data
     return wide.select("question_id", F.lit("code_explanation").alias("intent"), F.concat(base, more).alias("answer"), F.coalesce("citations", F.array().cast("array<string>")).alias("citations"))
 
 
-def routed(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def routed(questions: DataFrame, classify: Callable[[Column], Column] = classify) -> tuple[DataFrame, DataFrame]:
     """Questions by branch, filtered before any model runs; an empty question is an error."""
-    checked = questions.withColumn("question", F.when(F.length("question") > 0, F.col("question")).otherwise(F.raise_error(F.lit("a question needs at least one character"))))
-    with_intent = checked.withColumn("intent", classify(F.col("question")))
+    checked = questions.withColumn("question", F.when(F.length("question") > 0, F.col("question")).otherwise(F.raise_error(F.lit(f"{InvalidQuestion.code}: a question needs at least one character"))))
+    with_intent = checked.withColumn("intent", F.coalesce(classify(F.col("question")), F.lit("code_explanation")))
     return with_intent.filter("intent = 'risk_assessment'"), with_intent.filter("intent <> 'risk_assessment'")
 
 
-def with_retries(call: Callable, attempts: int = 3, first_wait: float = 1.0, most_wait: float = 8.0, sleep: Callable = None, fallback: Callable | None = None, limited: type = PermissionError):
-    """``call`` repeated on ModelUnavailable with doubling waits; a rate limit goes to the fallback for this call only."""
-    import time
+class CodeBase(NamedTuple):
+    """What is known of a code base: its scope (stem, ord), risk scores, class files (class_name, stem), chunk index and call edges."""
+
+    scope: DataFrame
+    risk: DataFrame
+    class_files: DataFrame
+    index: DataFrame
+    call_edges: DataFrame
+
+
+def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline) -> DataFrame:
+    """Responses to questions what code does, from retrieved and expanded chunks, with citations and the risk notes of the primaries' files."""
+    held = retrieval.retrieve(questions, code.index, code.call_edges, embed)
+    contexts = retrieval.context_text(retrieval.cited(held), "question_id")
+    notes = retrieval.risk_notes(held.filter("section = 0"), code.risk, "question_id")
+    details = held.filter("section = 0").select("question_id", F.replace(F.regexp_replace("file_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("file")).distinct()
+    detail = F.struct("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale")
+    found = details.join(code.risk.filter("risk_level = 'high'"), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(detail)).alias("high"))
+    out = explanation_responses(questions, contexts, notes, generate).join(found, "question_id", "left")
+    return out.select("question_id", "intent", "answer", "citations", F.coalesce("high", F.filter(F.array(F.lit(None).cast(found.schema["high"].dataType.elementType)), lambda x: x.isNotNull())).alias("risk_details"))
 
-    pause = sleep or time.sleep
 
-    def run(*args):
-        for k in range(attempts):
-            try:
-                return call(*args)
-            except limited:
-                if fallback is None:
-                    raise
-                return fallback(*args)
-            except ModelUnavailable:
-                if k == attempts - 1:
-                    raise
-                pause(min(most_wait, first_wait * 2**k))
+def ask(questions: DataFrame, code: CodeBase, classify: Callable[[Column], Column] = classify, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline) -> DataFrame:
+    """(question_id, intent, answer, citations, risk_details) of every question (question_id, question).
 
-    return run
+    Questions about risk are answered from the scores, others from retrieved code. ``risk_details`` is null if nothing
+    was looked up and empty if the files that were looked at are at no high risk.
+    """
+    risky, other = routed(questions, classify)
+    targeted = extract_targets(risky, code.scope, code.class_files)
+    return risk_responses(targeted, code.risk, code.scope).unionByName(explain(other, code, embed, generate))

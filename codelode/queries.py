@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .functions import metrics as M
 from .functions import parse
 from .operators import evaluate, graph, retrieval
+from .operators.shared import settled
 from .plans import ask
+from .sources import code
 
 
 def _t(spark, sf, name):
@@ -16,7 +18,7 @@ def _t(spark, sf, name):
 
 def _topk(spark, sf, k=12):
     v = _t(spark, sf, "embeddings")
-    q = v.filter("vec_id < 10").withColumnRenamed("vec_id", "query_id")
+    q = v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.vector_topk(q, v, k)
 
 
@@ -33,7 +35,7 @@ def dedupe_then_cut(spark, sf):
 
 
 def boost_append(spark, sf):
-    hits = _labelled_hits(spark, sf).withColumns({"question": F.concat(F.lit("what does Class"), F.pmod("query_id", F.lit(10)).cast("string"), F.lit(".run do")), "identifier": F.concat(F.lit("Class"), "label", F.lit(".run"))})
+    hits = _labelled_hits(spark, sf).withColumns({"question": F.concat(F.lit("what does Class"), F.pmod(F.floor(F.col("query_id") / 100), F.lit(10)).cast("string"), F.lit(".run do")), "identifier": F.concat(F.lit("Class"), "label", F.lit(".run"))})
     chosen = retrieval.dedupe_then_cut(hits, ["label"])
     return retrieval.boost(hits, chosen, "question", "identifier", ["label"]).select("query_id", "label", "vec_id")
 
@@ -144,71 +146,248 @@ def wilson_by_group(spark, sf):
 
 def known_unknown_split(spark, sf):
     names = F.array(F.concat(F.lit("NATION_"), F.col("r_regionkey").cast("string")), "r_name", F.lit("nowhere"))
-    known = _t(spark, sf, "nation").agg(F.collect_set("n_name").alias("known_names"))
-    r = _t(spark, sf, "region").withColumn("names", names).crossJoin(F.broadcast(known))
+    known = _t(spark, sf, "nation").agg(F.collect_set("n_name")).scalar()
+    r = _t(spark, sf, "region").withColumn("names", names).withColumn("known_names", known)
     out = ask.known_unknown(r.withColumn("names", F.concat("names", F.slice(F.sort_array("known_names"), F.lit(1), F.col("r_regionkey") + 1))), "names", F.col("known_names"))
     return out.select("r_regionkey", F.size("known").cast("long").alias("n_known"), F.array_join("unknown", ",").alias("unknown"))
 
 
-SOURCES = {
-    "base.py": "import os\nfrom util import helper\n\nclass Base:\n    def run(self):\n        self.step()\n        helper()\n        len([])\n    def step(self):\n        pass\n    def __init__(self):\n        pass\n",
-    "kids.py": "from base import Base\n\nclass Kid(Base):\n    def step(self):\n        super().step()\n        self.other()\nclass Grandkid(Kid):\n    def step(self):\n        super().step()\n\ndef build():\n    return Kid().run()\n",
-    "util.py": "from typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    import kids\nelse:\n    import base\n\ndef helper():\n    def inner():\n        return helper()\n    return os.getcwd()\n",
-}
+def _parts(spark, sf):
+    """Parts, numbered from 1."""
+    return _t(spark, sf, "part").select((F.col("p_partkey") + 1).alias("p_partkey"))
+
+
+def _source():
+    """Source of the file that stands for a part: m<key>.py, with a class that may extend another file's, imports and calls."""
+    k = F.col("p_partkey")
+    half, quarter = F.floor(k / 2), F.floor(k / 4)
+    heir = (k % 4 == 0) & (k >= 4)
+    lines = [
+        "import os",
+        F.when(k >= 2, F.format_string("from m%d import f%d", half, half)).otherwise("import m1"),
+        "from typing import TYPE_CHECKING",
+        "if TYPE_CHECKING:",
+        F.format_string("    import m%d", k + 1),
+        "else:",
+        F.when(k % 16 == 0, F.format_string("    import m%d", 2 * k)).otherwise("    import sys"),
+        "",
+        F.when(heir, F.format_string("class C%d(C%d):", k, quarter)).otherwise(F.format_string("class C%d:", k)),
+        "    def run(self):",
+        "        self.step()",
+        F.format_string("        f%d(1)", half),
+        "        len([])",
+        "    def step(self):",
+        F.when(heir, "        super().step()").otherwise("        os.getcwd()"),
+        F.when(k % 5 < 2, "    def __init__(self):\n        pass\n").otherwise(""),
+        F.format_string("def f%d(x):", k),
+        "    def inner():",
+        F.format_string("        return f%d(x)", k),
+        F.format_string("    return C%d().run()", k),
+        "",
+    ]
+    return F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+
+
+def _files(spark, sf):
+    """A code base with a file for every part."""
+    part = _parts(spark, sf)
+    return part.select(F.format_string("m%d.py", "p_partkey").alias("file_path"), _source().alias("source"), "p_partkey")
+
+
+def _facts(spark, sf):
+    return settled(parse.facts(_files(spark, sf)), "facts")
 
 
-def _files(spark):
-    return spark.createDataFrame(sorted(SOURCES.items()), "file_path string, source string")
+def _scope(spark, sf):
+    return _parts(spark, sf).select(F.format_string("m%d", "p_partkey").alias("stem"), F.col("p_partkey").alias("ord"))
 
 
-def _call_graph(spark):
-    f = _files(spark)
-    return graph.call_graph(parse.call_sites(f), parse.definitions(f), parse.classes(f), parse.imports(f))
+def _call_graph(facts):
+    return graph.call_graph(parse.call_sites(facts), parse.definitions(facts), parse.classes(facts), parse.imports(facts))
 
 
 def call_edges(spark, sf):
-    return _call_graph(spark)[0]
+    return _call_graph(_facts(spark, sf))[0]
 
 
 def unresolved_calls(spark, sf):
-    return _call_graph(spark)[1].select("caller", "repr", "reason")
+    return _call_graph(_facts(spark, sf))[1].select("caller", "repr", "reason")
 
 
 def chunk_source(spark, sf):
-    return parse.chunks(_files(spark)).select("file_path", "chunk_type", "name", "start_line", "end_line", "parent_class")
+    return parse.chunks(_files(spark, sf)).select("file_path", "chunk_type", "name", "start_line", "end_line", "parent_class")
 
 
 def extract_imports(spark, sf):
-    return parse.imports(_files(spark))
+    return parse.imports(_facts(spark, sf)).select("stem", F.col("seq").cast("long").alias("seq"), "module")
 
 
 def import_graph(spark, sf):
-    scope = spark.createDataFrame([(n[:-3], k) for k, n in enumerate(sorted(SOURCES))], "stem string, ord int")
-    return graph.import_edges(parse.imports(_files(spark)), scope)
+    return graph.import_edges(parse.imports(_facts(spark, sf)), _scope(spark, sf))
+
+
+def _commits(spark, sf):
+    log = _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), F.format_string("lib/m%d.py", F.col("l_partkey") + 1).alias("path"))
+    return code.commit_counts(log, _scope(spark, sf))
+
+
+def _risk(spark, sf, facts):
+    scope = _scope(spark, sf)
+    return graph.risk_scores(graph.import_edges(parse.imports(facts), scope), scope, _commits(spark, sf))
 
 
 def file_risk(spark, sf):
-    scope = spark.createDataFrame([(n[:-3], k) for k, n in enumerate(sorted(SOURCES))], "stem string, ord int")
-    commits = spark.createDataFrame([("base", 3), ("kids", 9), ("util", 4)], "stem string, commit_count long")
-    edges = graph.import_edges(parse.imports(_files(spark)), scope)
-    r = graph.risk_scores(edges, scope, commits)
-    return r.select("file", "dependents", F.array_join("dependent_files", ",").alias("dependent_files"), "commit_count", "risk_level", "rationale")
+    r = _risk(spark, sf, _facts(spark, sf))
+    return r.select("file", F.col("dependents").cast("long").alias("dependents"), F.array_join("dependent_files", ",").alias("dependent_files"), "commit_count", "risk_level", "rationale")
+
+
+def risk_recomputed(spark, sf):
+    """Scores of which every seventh is put wrong, against a recomputation."""
+    facts, scope = _facts(spark, sf), _scope(spark, sf)
+    edges = settled(graph.import_edges(parse.imports(facts), scope), "edges")
+    commits = settled(_commits(spark, sf), "commits")
+    wrong = F.when(F.regexp_extract("file", r"(\d+)", 1).cast("long") % 7 == 0, 1).otherwise(0)
+    scores = graph.risk_scores(edges, scope, commits).withColumn("dependents", F.col("dependents") + wrong)
+    return graph.risk_mismatches(scores, edges, scope, commits)
 
 
 def call_sites(spark, sf):
-    return parse.call_sites(_files(spark))
+    return parse.call_sites(_facts(spark, sf)).drop("seq")
+
+
+def gold_nodes(spark, sf):
+    return parse.definitions(_facts(spark, sf)).select("node_id", "file_path", "class_name", "name", "kind", "start_line", "end_line")
 
 
 def class_ancestors(spark, sf):
-    return graph.class_ancestors(parse.classes(_files(spark)))
+    return graph.class_ancestors(parse.classes(_facts(spark, sf)))
+
+
+def class_files(spark, sf):
+    return graph.class_to_file(parse.classes(_facts(spark, sf)))
+
+
+def _index(spark, sf):
+    return settled(retrieval.chunk_index(parse.chunks(_files(spark, sf)), M.hashed_embedding), "index")
+
+
+def chunk_table(spark, sf):
+    return _index(spark, sf).select("chunk_id", "file_path", "chunk_type", "name", "parent_class", F.size("embedding").alias("dims"))
+
+
+def definition_lookup(spark, sf):
+    return retrieval.chunks_where(_index(spark, sf), "m7.py", None, "f7").select("chunk_id", "start_line", "end_line")
+
+
+def expand_calls(spark, sf):
+    """What each file's method run calls, as far as it has chunks."""
+    primary = _parts(spark, sf).select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("place"), F.format_string("m%d.py", "p_partkey").alias("file_path"), F.format_string("C%d", "p_partkey").alias("parent_class"), F.lit("run").alias("base_name"))
+    found = retrieval.whole_chunks(retrieval.expand(primary, call_edges(spark, sf)), _index(spark, sf))
+    return retrieval.cited(found).select("query_id", "citation", F.length("text").cast("long").alias("n_chars"))
+
+
+def _questions(spark, sf):
+    k = F.col("s_suppkey")
+    said = (
+        F.when(k % 4 == 0, F.format_string("how risky is it to change M%d.py?", k))
+        .when(k % 4 == 1, "what is the impact of a change?")
+        .when(k % 4 == 2, F.format_string("is C%d dangerous to edit, or m%d.py?", k, k + 1))
+        .otherwise(F.format_string("what does C%d.run do, and f%d?", k, k))
+    )
+    return _t(spark, sf, "supplier").select(k.alias("question_id"), said.alias("question"))
+
+
+def question_targets(spark, sf):
+    found = ask.extract_targets(_questions(spark, sf), _scope(spark, sf), class_files(spark, sf))
+    return found.select("question_id", ask.classify(F.col("question")).alias("intent"), F.array_join("target_files", ",").alias("target_files"))
+
+
+def ask_questions(spark, sf):
+    """A question for every supplier about the code base, answered from its risk scores or from its code."""
+    facts = _facts(spark, sf)
+    base = ask.CodeBase(_scope(spark, sf), settled(_risk(spark, sf, facts), "risk"), graph.class_to_file(parse.classes(facts)), _index(spark, sf), settled(_call_graph(facts)[0], "calls"))
+    out = ask.ask(_questions(spark, sf), base)
+    return out.select("question_id", "intent", F.md5("answer").alias("answer_md5"), F.length("answer").alias("answer_chars"), F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
+
+
+def reachable(spark, sf):
+    return graph.closure_by_frontier(_edges(spark, sf))
+
+
+def citation_check(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    at = F.col("l_linenumber") * 10
+    lines = F.format_string(" (lines %d-%d)", at, at + F.col("l_quantity").cast("int"))
+    cited = li.select(F.col("l_orderkey").alias("id"), F.concat(F.format_string("o%d.py :: L%d", "l_orderkey", "l_linenumber"), F.when(F.col("l_quantity") == 7, "").otherwise(lines)).alias("citation"))
+    gold = li.filter("l_returnflag <> 'N'").groupBy(F.format_string("o%d.py::L%d", "l_orderkey", "l_linenumber").alias("node_id")).agg(F.min(at).alias("g_start"), F.max(at + 25).alias("g_end"))
+    checked = evaluate.checked_citations(cited, gold)
+    return checked.select("id", "citation", *(F.col(c).cast("int").alias(c) for c in ("resolves", "exact", "inside")))
+
+
+def stage_rows(spark, sf):
+    """Customers as labelled queries, what stages say of them joined by id, and the rows that one rate is about."""
+    c, o = _t(spark, sf, "customer"), _t(spark, sf, "orders")
+    rows = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 2 == 0, "code_explanation").otherwise("risk_assessment").alias("intent"), F.when(F.col("c_custkey") % 5 == 0, "abstain").otherwise("answer").alias("expect"), F.when(F.col("c_custkey") % 3 == 0, F.array()).otherwise(F.array("c_name")).alias("gold"))
+    det = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).cast("int").alias("hit"))
+    pipe = o.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("attempts"), F.max(F.when(F.col("o_totalprice") > 400_000, "timeout")).alias("error"))
+    judged = o.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("claims"))
+    return evaluate.chosen_rows(evaluate.joined_stages(rows, det, pipe, judged), "code_explanation", "answer", with_gold=True).select("id", "hit", "attempts", "claims")
+
+
+def odd_identifiers(spark, sf):
+    """Answers with names made from part keys, against a vocabulary of every second one."""
+    k = F.col("p_partkey")
+    p = _t(spark, sf, "part")
+    answer = F.concat(F.format_string("`C%d.run` calls helper_%d and BaseThing%d", k, k % 7, k % 3), F.lit("\n\nNote: hidden_name"))
+    answers = p.select(k.alias("id"), answer.alias("answer"), F.format_string("class C%d uses helper_1, BaseThing1", k).alias("context"))
+    fixed = F.explode(F.array(*map(F.lit, ["run", *(f"helper_{j}" for j in range(5)), "BaseThing0", "BaseThing1"])))
+    vocabulary = p.filter("p_partkey % 2 = 0").select(F.format_string("C%d", k).alias("token")).unionByName(spark.range(1).select(fixed.alias("token")))
+    return evaluate.odd_identifiers(answers, vocabulary)
+
+
+def same_spans(spark, sf):
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("string").alias("file"), F.col("l_suppkey").alias("start"), F.col("l_partkey").alias("end"), "l_quantity")
+    out = evaluate.same_spans(li.filter("l_quantity > 10").drop("l_quantity"), li.filter("l_quantity <= 40").drop("l_quantity"))
+    return out.select("id", F.col("same").cast("int").alias("same"), F.col("meet").cast("int").alias("meet"))
+
+
+def token_sums(spark, sf):
+    usage = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("model"), F.col("l_quantity").cast("long").alias("tokens_in"), F.col("l_linenumber").cast("long").alias("tokens_out"))
+    return evaluate.token_sums(usage, 0.5, 1.5).withColumn("cost", F.round("cost", 9))
+
+
+def failures_by_kind(spark, sf):
+    return evaluate.failures_by_kind(_t(spark, sf, "events").filter("value > 90").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id")))
+
+
+def rates_by_kind(spark, sf):
+    return evaluate.rates(_t(spark, sf, "events").withColumn("hit", F.col("value") > 50), "event_type", "hit")
+
+
+def label_errors(spark, sf):
+    """Labels made from part keys, some wrong, against the code base."""
+    k = F.col("p_partkey")
+    node = F.when(k % 9 == 0, F.format_string("m%d.py::none", k)).otherwise(F.format_string("m%d.py::C%d.run", k, k))
+    labels = _parts(spark, sf).select(
+        F.format_string("q%d", F.when(k % 19 == 0, k + 1).otherwise(k)).alias("id"),
+        F.array(node).alias("gold"),
+        F.array(F.when(k % 11 == 0, F.array(F.lit("nothing"))).otherwise(F.array(F.lit("zzz"), F.lit("STEP")))).alias("must_mention"),
+        F.array(F.when(k % 13 == 0, F.lit("zz")).otherwise(F.format_string("m%d", k))).alias("target_files"),
+        F.when(k % 17 == 0, "other").otherwise("code_explanation").alias("intent"),
+    )
+    return evaluate.label_errors(labels, parse.definitions(_facts(spark, sf)), _scope(spark, sf))
+
+
+def flagged_claims(spark, sf):
+    verdict = F.when(F.col("o_orderstatus") == "F", "supported").when(F.col("o_orderstatus") == "O", "unsupported").otherwise("contradicted")
+    claim = F.struct(F.col("o_orderpriority").alias("claim"), verdict.alias("verdict"), F.lit("").alias("evidence"))
+    return evaluate.flagged_claims(_t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(claim).alias("claims")))
 
 
 def commit_counts(spark, sf):
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("lib/"), F.col("o_orderpriority"), F.lit(".py")).alias("path"))
-    from .sources.code import commit_counts as counts
-
     scope = o.select(F.regexp_extract("path", r"([^/]+?)(?:\.py)?$", 1).alias("stem")).distinct()
-    return counts(o, scope)
+    return code.commit_counts(o, scope)
 
 
 def category_counts(spark, sf):
@@ -234,24 +413,9 @@ def identifiers_in_context(spark, sf):
     return d.join(b, "token", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ask_questions(spark, sf):
-    """Risk questions and others over the small code base, routed and answered."""
-    names = sorted(SOURCES)
-    scope = spark.createDataFrame([(n[:-3], k) for k, n in enumerate(names)], "stem string, ord int")
-    commits = spark.createDataFrame([("base", 3), ("kids", 9), ("util", 4)], "stem string, commit_count long")
-    f = _files(spark)
-    risk = graph.risk_scores(graph.import_edges(parse.imports(f), scope), scope, commits)
-    q = spark.createDataFrame([(1, "how risky is it to change base.py?"), (2, "what is the impact of a change?"), (3, "is Kid dangerous to edit, or util.py?"), (4, "what does build do?")], "question_id long, question string")
-    risky, other = ask.routed(ask.extract_targets(q, scope, graph.class_to_file(parse.classes(f))))
-    none = spark.createDataFrame([], "question_id long, context string, citations array<string>")
-    notes = spark.createDataFrame([], "question_id long, risk_notes array<string>")
-    out = ask.risk_responses(risky, risk, scope).select("question_id", "intent", "answer")
-    return out.unionByName(ask.explanation_responses(other, none, notes).select("question_id", "intent", "answer"))
-
-
-QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions)}
-
-_HITS = """d AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 10),
+QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions, risk_recomputed, gold_nodes, class_files, chunk_table, definition_lookup, expand_calls, question_targets, reachable, citation_check, stage_rows, odd_identifiers, same_spans, token_sums, failures_by_kind, rates_by_kind, label_errors, flagged_claims)}
+
+_HITS = """d AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 12),
 f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM f QUALIFY place <= 3)"""
@@ -260,11 +424,24 @@ _TOKENS = "SELECT {id} unnest(list_distinct(regexp_extract_all(coalesce(text, ''
 _SPANS = """s AS (SELECT l_orderkey AS file, l_linenumber AS span, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_linestatus = 'F' AS found FROM lineitem),
 g AS (SELECT l_orderkey AS file, l_linenumber AS gold, l_linenumber * 10 + 5 AS ga, l_linenumber * 10 + 15 AS gb FROM lineitem WHERE l_returnflag = 'R')"""
 _Z = "1.96::DOUBLE"
+# What the code base made from part holds: k, half, quarter of each key, more lines with a constructor, and classes with their ancestors.
+_CODE = """RECURSIVE p AS (SELECT p_partkey + 1 AS p_partkey FROM part), k AS (SELECT p_partkey AS k, p_partkey // 2 AS h, p_partkey // 4 AS q, CASE WHEN p_partkey % 5 < 2 THEN 2 ELSE 0 END AS e, p_partkey % 4 = 0 AND p_partkey >= 4 AS heir, 'm' || p_partkey || '.py' AS file, 'm' || p_partkey || '.py::C' || p_partkey AS cls FROM p),
+anc AS (SELECT k AS c, k AS a, 0 AS d FROM k UNION ALL SELECT c, a // 4, d + 1 FROM anc WHERE a % 4 = 0 AND a >= 4),
+made AS (SELECT c, arg_min(a, d) AS a FROM anc WHERE a % 5 < 2 GROUP BY c)"""
+_IMPORTS = """e AS (SELECT k AS src, h AS dst FROM k WHERE k >= 2 UNION SELECT k, 2 * k FROM k WHERE k % 16 = 0 AND 2 * k <= (SELECT max(k) FROM k))"""
+_RISK = _CODE + ", " + _IMPORTS + """, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+dep AS (SELECT dst, count(*) AS n, string_agg('m' || src, ',' ORDER BY 'm' || src) AS files FROM r WHERE src <> dst GROUP BY dst),
+com AS (SELECT l_partkey + 1 AS k, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
+risk AS (SELECT k.k, coalesce(dep.n, 0) AS dependents, coalesce(files, '') AS dependent_files, coalesce(com.n, 0) AS commits FROM k LEFT JOIN dep ON dep.dst = k.k LEFT JOIN com ON com.k = k.k),
+med AS (SELECT median(dependents) AS a, median(commits) AS b FROM risk),
+lev AS (SELECT risk.*, CASE WHEN dependents < a THEN 'low' WHEN commits <= b THEN 'high' ELSE 'medium' END AS risk_level FROM risk, med)"""
+_NO_NAME, _NO_TYPE = "no function or class of that name is known here", "the receiver''s type isn''t known"
+_SAID = """q AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'how risky is it to change M' || s_suppkey || '.py?' WHEN 1 THEN 'what is the impact of a change?' WHEN 2 THEN 'is C' || s_suppkey || ' dangerous to edit, or m' || (s_suppkey + 1) || '.py?' ELSE 'what does C' || s_suppkey || '.run do, and f' || s_suppkey || '?' END AS said FROM supplier)"""
 
 ORACLES = {
     "vector_topk": f"WITH {_HITS} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM h",
     "dedupe_then_cut": f"WITH {_HITS} SELECT query_id, label, vec_id, place FROM c",
-    "boost_append": f"WITH {_HITS} SELECT query_id, label, vec_id FROM f WHERE label = query_id % 10 AND NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = f.query_id AND c.label = f.label)",
+    "boost_append": f"WITH {_HITS} SELECT query_id, label, vec_id FROM f WHERE label = query_id // 100 % 10 AND NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = f.query_id AND c.label = f.label)",
     "naive_top3": f"WITH {_HITS} SELECT query_id, vec_id, rank FROM h WHERE rank <= 3 AND label <> 0",
     "risk_gate": "WITH p AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS dependents, count(*) AS commit_count FROM lineitem GROUP BY 1), m AS (SELECT median(dependents) AS a, median(commit_count) AS b FROM p) SELECT l_partkey, dependents, commit_count, CASE WHEN dependents < a THEN 'low' WHEN commit_count <= b THEN 'high' ELSE 'medium' END AS risk_level FROM p, m",
     "transitive_dependents": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_nationkey % 4 = 0), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT dst AS node, count(DISTINCT src) AS dependents, string_agg(src::VARCHAR, ',' ORDER BY src) AS dependent_files FROM r WHERE src <> dst GROUP BY dst",
@@ -291,4 +468,48 @@ SELECT doc_id, part_no::BIGINT AS part_no, (s + 1)::BIGINT AS start_line, e::BIG
     "stage_deltas": "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS us FROM events",
     "duplicate_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",
     "identifiers_in_context": f"SELECT doc_id, count(*) AS n FROM ({_TOKENS.format(id='doc_id,', t='documents')}) WHERE token IN ({_TOKENS.format(id='', t='benchmark')}) GROUP BY 1",
+    "call_edges": f"""WITH {_CODE} SELECT 'm' || a || '.py::C' || a || '.run' AS caller, 'm' || c || '.py::C' || c || '.step' AS callee FROM anc
+UNION SELECT cls || '.run', 'm' || h || '.py::f' || h FROM k WHERE k >= 2 UNION SELECT cls || '.step', 'm' || q || '.py::C' || q || '.step' FROM k WHERE heir
+UNION SELECT file || '::f' || k, file || '::f' || k FROM k UNION SELECT 'm' || c || '.py::f' || c, 'm' || a || '.py::C' || a || '.__init__' FROM made""",
+    "unresolved_calls": f"""WITH {_CODE} SELECT cls || '.run' AS caller, 'len(...)' AS repr, '{_NO_NAME}' AS reason FROM k UNION ALL SELECT cls || '.run', 'f0(...)', '{_NO_NAME}' FROM k WHERE k = 1
+UNION ALL SELECT cls || '.step', 'os.getcwd(...)', '{_NO_TYPE}' FROM k WHERE NOT heir UNION ALL SELECT file || '::f' || k, '<expr>.run(...)', '{_NO_TYPE}' FROM k
+UNION ALL SELECT file || '::f' || k, 'C' || k || '(...)', '{_NO_NAME}' FROM k WHERE k NOT IN (SELECT c FROM made)""",
+    "chunk_source": f"""WITH {_CODE} SELECT file AS file_path, 'class' AS chunk_type, 'C' || k AS name, 9::INT AS start_line, (15 + e)::INT AS end_line, NULL::VARCHAR AS parent_class FROM k
+UNION ALL SELECT file, 'function', 'f' || k, (17 + e)::INT, (20 + e)::INT, NULL FROM k UNION ALL SELECT file, 'module_level', '<module>', 1, (16 + e)::INT, NULL FROM k""",
+    "extract_imports": f"""WITH {_CODE} SELECT 'm' || k AS stem, unnest([0, 1, 2, 3])::BIGINT AS seq, unnest(['os', 'm' || CASE WHEN k = 1 THEN 1 ELSE h END, 'typing', CASE WHEN k % 16 = 0 THEN 'm' || 2 * k ELSE 'sys' END]) AS module FROM k""",
+    "import_graph": f"WITH {_CODE}, {_IMPORTS} SELECT 'm' || src AS src, 'm' || dst AS dst FROM e",
+    "file_risk": f"""WITH {_RISK} SELECT 'm' || k AS file, dependents, dependent_files, commits AS commit_count, risk_level, CASE risk_level WHEN 'high' THEN dependents || ' files depend on it, and with ' || commits || ' commits it is seldom changed' WHEN 'medium' THEN dependents || ' files depend on it, but with ' || commits || ' commits it is changed often' ELSE 'only ' || dependents || ' files depend on it' END AS rationale FROM lev""",
+    "risk_recomputed": f"WITH {_CODE} SELECT 'm' || k AS file, 'other numbers' AS problem FROM k WHERE k % 7 = 0",
+    "call_sites": f"""WITH {_CODE} SELECT cls || '.run' AS caller, file AS file_path, 'C' || k AS class_name, unnest(['self', 'bare', 'bare']) AS kind, unnest(['step', 'f' || h, 'len']) AS callee, unnest(['self.step(...)', 'f' || h || '(...)', 'len(...)']) AS repr FROM k
+UNION ALL SELECT cls || '.step', file, 'C' || k, CASE WHEN heir THEN 'super' ELSE 'other' END, CASE WHEN heir THEN 'step' ELSE 'getcwd' END, CASE WHEN heir THEN '<expr>.step(...)' ELSE 'os.getcwd(...)' END FROM k
+UNION ALL SELECT file || '::f' || k, file, NULL, unnest(['bare', 'bare', 'other']), unnest(['f' || k, 'C' || k, 'run']), unnest(['f' || k || '(...)', 'C' || k || '(...)', '<expr>.run(...)']) FROM k""",
+    "gold_nodes": f"""WITH {_CODE} SELECT cls AS node_id, file AS file_path, NULL::VARCHAR AS class_name, 'C' || k AS name, 'class' AS kind, 9::INT AS start_line, (15 + e)::INT AS end_line FROM k
+UNION ALL SELECT cls || '.run', file, 'C' || k, 'run', 'method', 10, 13 FROM k UNION ALL SELECT cls || '.step', file, 'C' || k, 'step', 'method', 14, 15 FROM k
+UNION ALL SELECT cls || '.__init__', file, 'C' || k, '__init__', 'method', 16, 17 FROM k WHERE e = 2 UNION ALL SELECT file || '::f' || k, file, NULL, 'f' || k, 'function', 17 + e, 20 + e FROM k""",
+    "class_ancestors": f"WITH {_CODE} SELECT 'C' || c AS class_name, 'C' || a AS ancestor, d::INT AS depth FROM anc",
+    "class_files": f"WITH {_CODE} SELECT 'C' || k AS class_name, 'm' || k AS stem FROM k",
+    "chunk_table": f"""WITH {_CODE} SELECT file || ':<module>:1:0' AS chunk_id, file AS file_path, 'module_level' AS chunk_type, '<module>' AS name, '' AS parent_class, 64::INT AS dims FROM k
+UNION ALL SELECT file || ':C' || k || ':9:1', file, 'class', 'C' || k, '', 64 FROM k UNION ALL SELECT file || ':f' || k || ':' || (17 + e) || ':2', file, 'function', 'f' || k, '', 64 FROM k""",
+    "definition_lookup": f"WITH {_CODE} SELECT file || ':f7:' || (17 + e) || ':2' AS chunk_id, (17 + e)::INT AS start_line, (20 + e)::INT AS end_line FROM k WHERE k = 7",
+    "expand_calls": f"""WITH {_CODE} SELECT a.k AS query_id, b.file || ' :: f' || b.k || ' (lines ' || (17 + b.e) || '-' || (20 + b.e) || ')' AS citation, (67 + 3 * length(b.k::VARCHAR))::BIGINT AS n_chars FROM k a JOIN k b ON b.k = a.h""",
+    "question_targets": f"""WITH {_SAID}, f AS (SELECT id, p_partkey AS k, instr(lower(said), 'm' || p_partkey || '.py') AS x, instr(said, 'C' || p_partkey) AS y FROM q, (SELECT p_partkey + 1 AS p_partkey FROM part) p), m AS (SELECT id, k, least(CASE WHEN x > 0 THEN x ELSE 9999 END, CASE WHEN y > 0 THEN y ELSE 9999 END) AS spot FROM f WHERE x > 0 OR y > 0),
+l AS (SELECT id, string_agg('m' || k, ',' ORDER BY spot, 'm' || k) AS files FROM m GROUP BY id) SELECT q.id AS question_id, CASE WHEN q.id % 4 = 3 THEN 'code_explanation' ELSE 'risk_assessment' END AS intent, coalesce(files, '') AS target_files FROM q LEFT JOIN l ON l.id = q.id""",
+    "reachable": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_nationkey % 4 = 0), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r WHERE src <> dst",
+    "citation_check": """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_quantity = 7 AS bad, l_returnflag <> 'N' AS gold FROM lineitem), g AS (SELECT DISTINCT id, n FROM l WHERE gold)
+SELECT l.id, 'o' || l.id || '.py :: L' || l.n || CASE WHEN bad THEN '' ELSE ' (lines ' || a || '-' || b || ')' END AS citation, (g.id IS NOT NULL AND NOT bad)::INT AS resolves, (g.id IS NOT NULL AND NOT bad AND b = a + 25)::INT AS exact, (g.id IS NOT NULL AND NOT bad AND b <= a + 25)::INT AS inside FROM l LEFT JOIN g ON g.id = l.id AND g.n = l.n""",
+    "stage_rows": """WITH p AS (SELECT o_custkey AS id, count(*) AS attempts, bool_or(o_totalprice > 400000) AS failed, nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS claims FROM orders GROUP BY 1)
+SELECT c_custkey AS id, (c_acctbal > 0)::INT AS hit, attempts, claims FROM customer JOIN p ON p.id = c_custkey WHERE c_nationkey % 2 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND NOT coalesce(failed, false)""",
+    "odd_identifiers": """SELECT p_partkey AS id, 'C' || p_partkey AS identifier, 'fabricated' AS kind FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'run', 'outside' FROM part
+UNION ALL SELECT p_partkey, 'helper_' || p_partkey % 7, CASE WHEN p_partkey % 7 < 5 THEN 'outside' ELSE 'fabricated' END FROM part WHERE p_partkey % 7 <> 1
+UNION ALL SELECT p_partkey, 'BaseThing' || p_partkey % 3, CASE WHEN p_partkey % 3 < 2 THEN 'outside' ELSE 'fabricated' END FROM part WHERE p_partkey % 3 <> 1""",
+    "same_spans": """WITH s AS (SELECT l_orderkey AS id, [l_linenumber, l_suppkey, l_partkey] AS x, l_quantity > 10 AS a, l_quantity <= 40 AS b FROM lineitem), g AS (SELECT id, list_sort(list(DISTINCT x) FILTER (a)) AS a, list_sort(list(DISTINCT x) FILTER (b)) AS b FROM s GROUP BY id)
+SELECT id, (a IS NOT DISTINCT FROM b)::INT AS same, coalesce(list_has_any(a, b), false)::INT AS meet FROM g""",
+    "token_sums": "SELECT l_orderkey AS id, sum(l_quantity::BIGINT)::BIGINT AS tokens_in, sum(l_linenumber)::BIGINT AS tokens_out, round((sum(l_quantity::BIGINT) * 0.5::DOUBLE + sum(l_linenumber) * 1.5::DOUBLE) / 1e6::DOUBLE, 9) AS cost FROM lineitem GROUP BY 1",
+    "failures_by_kind": "SELECT event_type AS kind, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE value > 90 GROUP BY 1",
+    "rates_by_kind": f"""WITH g AS (SELECT event_type, count(*) FILTER (value > 50) AS k, count(*) AS n FROM events GROUP BY 1), w AS (SELECT *, (k / n + {_Z} * {_Z} / (2 * n)) AS c, {_Z} * sqrt(((k / n) * (1 - k / n) + {_Z} * {_Z} / (4 * n)) / n) AS s, 1 + {_Z} * {_Z} / n AS d FROM g)
+SELECT event_type, k, n, k || '/' || n || ' = ' || printf('%.0f', 100 * k / n) || '% (95% CI ' || printf('%.0f', 100 * (c - s) / d) || '–' || printf('%.0f', 100 * (c + s) / d) || '%)' AS rate FROM w""",
+    "label_errors": """WITH l AS (SELECT 'q' || CASE WHEN p_partkey % 19 = 0 THEN p_partkey + 1 ELSE p_partkey END AS id, p_partkey AS k, p_partkey % 9 <> 0 AS known, CASE WHEN p_partkey % 11 = 0 THEN 'nothing' ELSE 'zzz|STEP' END AS terms FROM (SELECT p_partkey + 1 AS p_partkey FROM part))
+SELECT id, 'unknown gold m' || k || '.py::none' AS problem FROM l WHERE NOT known UNION ALL SELECT t.id, 'no gold source holds ' || t.terms FROM (SELECT DISTINCT id, terms FROM l) t WHERE t.terms = 'nothing' OR NOT EXISTS (SELECT 1 FROM l WHERE l.id = t.id AND l.known)
+UNION ALL SELECT id, 'unknown file zz' FROM l WHERE k % 13 = 0 UNION ALL SELECT id, 'repeated id' FROM l GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'bad intent' FROM l WHERE k % 17 = 0""",
+    "flagged_claims": "SELECT CASE o_orderstatus WHEN 'O' THEN 'unsupported' ELSE 'contradicted' END AS verdict, count(*) AS claims, count(DISTINCT o_custkey) AS answers FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",
 }

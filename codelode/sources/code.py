@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.errors import IndexUnavailable
+
 CHUNK_SCHEMA = "file_path string, chunk_type string, name string, start_line int, end_line int, text string, parent_class string"
 #: The domain of chunk_type.
 CHUNK_TYPES = ("function", "async_function", "class", "method", "module_level", "split")
@@ -17,11 +19,19 @@ def scope_table(spark: SparkSession, stems: list[str]) -> DataFrame:
     return spark.createDataFrame([(s.removesuffix(".py"), k) for k, s in enumerate(dict.fromkeys(stems))], "stem string, ord int")
 
 
+def relative_path(spark: SparkSession, folder: str):
+    """Path of a file read from ``folder``, from the folder on, so that equal names in different folders stay apart."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    top = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    plain = F.try_url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9]+:(?://[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.substring(plain, F.lit(len(top) + 2), F.length(plain))
+
+
 def read_sources(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(file_path, stem, source) of the Python files in a folder."""
+    """(file_path, stem, source) of the Python files in a folder; with ``recursive`` also below it, the stem being the dotted module name."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").option("recursiveFileLookup", recursive).text(folder)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    return raw.select(name.alias("file_path"), F.regexp_replace(name, r"\.py$", "").alias("stem"), F.col("value").alias("source"))
+    path = relative_path(spark, folder)
+    return raw.select(path.alias("file_path"), F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit(".")).alias("stem"), F.col("value").alias("source"))
 
 
 def in_scope(files: DataFrame, scope: DataFrame) -> DataFrame:
@@ -40,17 +50,25 @@ def commit_counts(commits: DataFrame, scope: DataFrame) -> DataFrame:
     return scope.join(counted, "stem", "left").select("stem", F.coalesce("commit_count", F.lit(0)).alias("commit_count"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def add_chunks(spark: SparkSession, chunks: DataFrame, path: str, reset: bool = False) -> DataFrame:
-    """Write chunks by chunk_id; without ``reset`` ids that are there already stay as they are."""
-    if not reset:
-        try:
-            known = spark.read.parquet(path).select("chunk_id")
-            chunks.join(known, "chunk_id", "left_anti").write.mode("append").parquet(path)
-            return spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    chunks.write.mode("overwrite").parquet(path)
+    """Write chunks, one row an id, by chunk_id; without ``reset`` ids that are there already stay as they are."""
+    once = chunks.dropDuplicates(["chunk_id"])
+    if reset or not _exists(spark, path):
+        once.write.mode("overwrite").parquet(path)
+    else:
+        once.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunk table; without one an error that may pass once it is built."""
+    if not _exists(spark, path):
+        raise IndexUnavailable(f"no chunk table at {path}")
     return spark.read.parquet(path)
 
 
@@ -63,10 +81,25 @@ def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> Da
     return rows.orderBy("id").limit(limit) if limit is not None else rows
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """JSON lines, one object a row, in the order of ids."""
+    (df.orderBy("id") if "id" in df.columns else df).write.mode("overwrite").json(path)
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> str:
+    """Small result tables (rates, sums, risk by dependents) as Markdown; the text is returned and written as one text file."""
+    out = []
+    for title, df in tables.items():
+        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v) for v in row) + " |" for row in df.toLocalIterator()] + [""]
+    text = "\n".join(out)
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
 def resumable(spark: SparkSession, path: str, make) -> DataFrame:
     """A stage's table: read if it was written before, else made and written."""
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    if not _exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import chunks
+from ..sources.code import relative_path
 
 
 def refresh_chunks(spark: SparkSession, folder: str, path: str, checkpoint: str):
-    """Start a query that appends the chunks of files as they arrive; the batch number tells later versions of a file."""
+    """Start a query that writes the chunks of files as they arrive, a folder for each batch; a batch that is retried replaces its own."""
     files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.py").text(folder)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file_path"), F.col("value").alias("source"))
+    named = files.select(relative_path(spark, folder).alias("file_path"), F.col("value").alias("source"))
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        chunks(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return named.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of each file's latest batch."""
+    every = spark.read.parquet(path)
+    newest = every.groupBy("file_path").agg(F.max("batch").alias("batch"))
+    return every.join(newest, ["file_path", "batch"], "left_semi")
