@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,16 +138,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], dtype=np.int64)
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element of a list array."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy().astype(np.int64)
 
 
-def train(labels: np.ndarray, has: list[list[int]], swapped: list[list[int] | None], weights: np.ndarray, n_features: int, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, turns: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept with the least weighted log loss + penalties, by full-batch Adam steps."""
+def train(labels: np.ndarray, has: pa.Array, swapped: pa.Array, weights: np.ndarray, n_features: int, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, turns: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept with the least weighted log loss + penalties, by full-batch Adam steps.
+
+    has, swapped: lists of the features of each text and of its counterfactual version, null without one.
+    """
     ridge = ridge / len(labels)
     rows, cols = _flat(has)
-    pairs = [k for k, s in enumerate(swapped) if s is not None]
-    rows2, cols2 = _flat([swapped[k] for k in pairs])
+    pairs = np.flatnonzero(swapped.is_valid().to_numpy(zero_copy_only=False))
+    rows2, cols2 = _flat(swapped.drop_null())
     n, total = len(labels), weights.sum()
     share = min(max((weights * labels).sum() / total, 1e-3), 1 - 1e-3)
     w, b = np.zeros(n_features), float(np.log(share / (1 - share)))
@@ -155,7 +160,7 @@ def train(labels: np.ndarray, has: list[list[int]], swapped: list[list[int] | No
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + b, -30, 30)))
         g = weights * (p - labels) / total
         gw, gb = np.bincount(cols, g[rows], n_features) + 2 * ridge * w, g.sum()
-        if pairs:
+        if len(pairs):
             q = 1 / (1 + np.exp(-np.clip(np.bincount(rows2, w[cols2], len(pairs)) + b, -30, 30)))
             own = p[pairs]
             d = 2 * counterfactual * weights[pairs] * (own - q) / weights[pairs].sum()
@@ -195,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     top = counts.filter(clear > 0).orderBy(clear.desc(), "feature").limit(min(FEATURES, n1 + n0)).collect()
     named = {f for term in SWAPS for f in features_of(term)[:1]}
     index = {f: k for k, f in enumerate(dict.fromkeys([r["feature"] for r in top] + sorted(named)))}
-    rows = texts.mapInArrow(lean(_vectors(index)), "label int, has array<int>, swapped array<int>").collect()
-    y = np.array([r["label"] for r in rows], dtype=float)
+    rows = texts.mapInArrow(lean(_vectors(index)), "label int, has array<int>, swapped array<int>").toArrow()
+    y = rows.column("label").to_numpy().astype(float)
     weight = np.where(y == 1, totals.get(1, 0) / n1, totals.get(0, 0) / n0)
-    w, b = train(y, [r["has"] for r in rows], [r["swapped"] for r in rows], weight, len(index))
+    w, b = train(y, rows.column("has").combine_chunks(), rows.column("swapped").combine_chunks(), weight, len(index))
     return Model({f: float(w[k]) for f, k in index.items() if w[k]}, float(b))
 
 

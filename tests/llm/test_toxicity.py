@@ -49,7 +49,8 @@ def test_gradient_of_the_loss():
     labels = np.array([1.0, 0, 0, 1, 0, 0])
     has = [[0, 1], [1], [2], [0], [1, 2], []]
     swapped = [[0, 2], None, [1], None, None, None]
-    w, b = X.train(labels, has, swapped, np.ones(6), 3)
+    kind = pa.list_(pa.int32())
+    w, b = X.train(labels, pa.array(has, kind), pa.array(swapped, kind), np.ones(6), 3)
 
     def loss(w, b):
         p = 1 / (1 + np.exp(-np.array([w[h].sum() + b for h in has])))
