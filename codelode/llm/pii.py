@@ -49,8 +49,10 @@ TITLE = r"(?:\b(?:Mrs?|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Señora?)|(?<!\p{L})г-(?:
 #: Titles that a given name may follow; in the languages of the others any noun may follow a surname in upper case.
 TITLE_OF_TWO = r"\b(?:Mrs?|Ms|Miss|Dr|Prof|Mme|Señora?)\.? "
 NAME = r"\p{Lu}(?:\p{L}|['’\-](?!s\b)\p{L})++"
-_GIVEN = r"(?<!\p{L})(?:" + "|".join(sorted({n for names in (NAMES, COMMON) for some in names.values() for n in some}, reverse=True)) + ")"
-PATTERNS["person"] = rf"(?=\p{{Lu}})(?:(?:(?<={TITLE})|(?<={_GIVEN} )|(?<={TITLE_OF_TWO}\p{{Lu}}[\p{{L}}'’\-]{{1,40}} )){NAME}|{_GIVEN}(?= {NAME}))"
+#: The letter in front and the first letter are looked at before any name is tried.
+_GIVEN = r"(?=[A-ZА-Я])(?<!\p{L})(?:" + "|".join(sorted({n for names in (NAMES, COMMON) for some in names.values() for n in some}, reverse=True)) + ")"
+_AFTER_WORD = rf"(?<=\p{{L}} )(?:(?<={_GIVEN} )|(?<={TITLE_OF_TWO}\p{{Lu}}[\p{{L}}'’\-]{{1,40}} ))"
+PATTERNS["person"] = rf"(?=\p{{Lu}})(?:(?:(?<=[.\p{{L}}] )(?<={TITLE})|{_AFTER_WORD}){NAME}|{_GIVEN}(?= {NAME}))"
 ALL = "|".join(PATTERNS.values())
 DIGIT_TYPES = ("card", "phone", "ssn")
 #: Draws in an entity's own format before replacements get longer.
