@@ -9,6 +9,9 @@ words invented surnames of their script and ending. A table of all distinct enti
 distinct: of entities with one replacement all but the first, and those whose replacement is an entity of the corpus
 or taken, draw again until none is left. A format with fewer values than entities is lengthened after ``MOST_DRAWS``
 draws: being distinct comes before the length. A mention takes its entity's replacement in its own format.
+
+Texts are searched once, and written with what was found. An entity of many mentions and a text of many copies meet
+their one row where they are, so no task gets all of them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, staged, texts_of
+from .common import discard, join_split, staged
 
 # Patterns by type, in order of precedence. A domain name has 127 labels at most.
 PATTERNS = {
@@ -173,20 +176,26 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     A word that is part of a name in a text is replaced throughout that text, where it begins with upper case.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    hint = rows.withColumn("first", F.when(F.col("text").rlike(rf"[0-9@]|{TITLE}|{_GIVEN} "), F.regexp_extract_all("text", F.lit(ALL), F.lit(0))))
+    first = F.when(F.col("text").rlike(rf"[0-9@]|{TITLE}|{_GIVEN} "), F.regexp_extract_all("text", F.lit(ALL), F.lit(0)))
+    hint = staged(rows.withColumn("first", first), "hint")
     size = F.coalesce(F.size("first"), F.lit(0))
     plain = hint.filter(size <= 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     names = F.reverse(F.array_sort(F.array_distinct(F.filter("first", lambda m: m.rlike(rf"^{NAME}$")))))
     again = F.concat(F.lit(ALL + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
     found = hint.filter(size > 0).select("doc_id", "text", F.sha2("text", 256).alias("text_key"), "first", F.when(F.size(names) > 0, again).otherwise(ALL).alias("pattern"))
     every = F.when(F.col("pattern") == ALL, F.col("first")).otherwise(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    mentions = staged(found.select("text_key", every.alias("mentions")).dropDuplicates(["text_key"]).select("text_key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention"))), "mentions")
-    entities = staged(mentions.select("kind", "entity").distinct(), "kinds")
+    texts = staged(found.select("text_key", every.alias("mentions")).groupBy("text_key").agg(F.first("mentions").alias("mentions"), F.count(F.lit(1)).alias("copies")), "texts")
+    mentions = texts.select("text_key", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    mentions = staged(mentions.withColumn("entity", canonical(F.col("kind"), F.col("mention"))), "mentions")
+    entities = staged(mentions.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("times")), "kinds")
     replaced = distinct_surrogates(entities, key)
-    inserted = mentions.join(replaced.hint("merge"), ["kind", "entity"]).select("text_key", "at", in_format(F.col("kind"), F.col("mention"), F.col("replacement")).alias("put"))
-    puts = staged(inserted.groupBy("text_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("puts")), "puts")
-    discard(mentions, replaced, entities)
+    n_mentions, n_found = (t.agg(F.sum(c)).first()[0] or 0 for t, c in ((entities, "times"), (texts, "copies")))
+    inserted = join_split(mentions, replaced.join(entities.hint("merge"), ["kind", "entity"]), ["kind", "entity"], "times", n_mentions)
+    inserted = inserted.select("text_key", "at", in_format(F.col("kind"), F.col("mention"), F.col("replacement")).alias("put"))
+    inserted = inserted.groupBy("text_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "put"))), lambda x: x["put"]).alias("puts"))
+    puts = staged(inserted.join(texts.select("text_key", "copies").hint("merge"), "text_key"), "puts")
+    discard(texts, mentions, replaced, entities)
     parts = F.split("text", F.col("pattern"), -1)
     rewritten = F.array_join(F.zip_with(parts, F.col("puts"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    changed = found.join(puts.hint("merge"), "text_key").select("doc_id", rewritten.alias("text"), F.size("puts").cast("long").alias("n_entities"))
+    changed = join_split(found, puts, ["text_key"], "copies", n_found).select("doc_id", rewritten.alias("text"), F.size("puts").cast("long").alias("n_entities"))
     return plain.unionByName(changed)

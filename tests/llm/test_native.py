@@ -190,3 +190,12 @@ def test_pii_finds_addresses_after_long_leaders_and_in_long_domains(spark):
         assert got[k]["n_entities"] == (k != 11), k
         assert len(got[k]["text"]) == len(text) and "jane" not in got[k]["text"] and "corp" not in got[k]["text"] and domain not in got[k]["text"]
     assert got[11]["text"] == rows[5][1] and got[12]["text"].endswith(".uk. Then")
+
+
+def test_pii_of_many_copies_and_mentions(spark):
+    rows = [(k, "ask jane@corp.example now") for k in range(300)] + [(1000 + k, f"note {k} to jane@corp.example and tom{k}@corp.example") for k in range(300)]
+    got = rows_of(pii.pseudonymise(docs_of(spark, rows), key="k"))
+    assert len(got) == 600 and {r["n_entities"] for r in got} == {1, 2}
+    first = {re.search(pii.PATTERNS["email"], r["text"])[0] for r in got}
+    others = {re.findall(pii.PATTERNS["email"], r["text"])[1] for r in got if r["n_entities"] == 2}
+    assert len(first) == 1 and first != {"jane@corp.example"} and len(others) == 300 and not first & others
