@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import ball_tree as _ball
 from . import chat as _chat
 from . import exact_dedup as _exact
 from .common import table
@@ -68,5 +69,9 @@ def op10_secrets(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_chunks": op1_line_chunks, "op5_chat": op5_chat, "op6_pii": op6_pii, "op10_secrets": op10_secrets, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing}
-ORACLES = {"op5_chat": _chat.ORACLE, "op7_exact_dedup": _exact.ORACLE}
+def op13_centroids(spark, sf_dir):
+    return _ball.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_line_chunks": op1_line_chunks, "op5_chat": op5_chat, "op6_pii": op6_pii, "op10_secrets": op10_secrets, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing, "op13_centroids": op13_centroids}
+ORACLES = {"op5_chat": _chat.ORACLE, "op7_exact_dedup": _exact.ORACLE, "op13_centroids": _ball.ORACLE}
