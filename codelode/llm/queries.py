@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import ball_tree as _ball
 from . import chat as _chat
+from . import cover_tree as _cover
 from . import exact_dedup as _exact
 from . import point_in_time as _features
 from .common import table
@@ -78,5 +79,9 @@ def op11_features(spark, sf_dir):
     return _features.features(*(table(spark, sf_dir, name) for name in ("sales", "clicks", "sale_lines")))
 
 
-QUERIES = {"op1_line_chunks": op1_line_chunks, "op5_chat": op5_chat, "op6_pii": op6_pii, "op10_secrets": op10_secrets, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing, "op11_features": op11_features, "op13_centroids": op13_centroids}
-ORACLES = {"op5_chat": _chat.ORACLE, "op7_exact_dedup": _exact.ORACLE, "op11_features": _features.ORACLE, "op13_centroids": _ball.ORACLE}
+def op12_embedding_dedup(spark, sf_dir):
+    return _cover.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_line_chunks": op1_line_chunks, "op5_chat": op5_chat, "op6_pii": op6_pii, "op10_secrets": op10_secrets, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard_join": op8_jaccard_join, "op9_packing": op9_packing, "op11_features": op11_features, "op12_embedding_dedup": op12_embedding_dedup, "op13_centroids": op13_centroids}
+ORACLES = {"op5_chat": _chat.ORACLE, "op7_exact_dedup": _exact.ORACLE, "op11_features": _features.ORACLE, "op12_embedding_dedup": _cover.ORACLE, "op13_centroids": _ball.ORACLE}
