@@ -42,18 +42,27 @@ def odd_identifiers(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return fabricated.unionByName(outside).select("id", F.col("token").alias("identifier"), "kind")
 
 
-#: A citation's file, place and lines.
-CITATION = r"^(.+?) :: (.+) \(lines (\d+)-(\d+)\)$"
+#: Fixed value: a citation's file, place and lines.
+CITATION = r"^(\S+) :: (.+) \(lines (\d+)-(\d+)\)$"
 
 
 def checked_citations(cited: DataFrame, gold: DataFrame) -> DataFrame:
-    """(id, citation, resolves, exact, inside) of citations (id, citation) against gold nodes (node_id, g_start, g_end)."""
+    """(id, citation, parsed, resolves, exact, inside) of citations (id, citation) against gold nodes (node_id, g_start, g_end).
+
+    What isn't written as a citation isn't parsed and none of the rest; numbers too long for a line do not parse either.
+    """
     part = lambda k: F.regexp_extract("citation", CITATION, k)
-    read = cited.withColumns({"node_id": F.concat(part(1), F.lit("::"), part(2)), "start": F.try_to_number(part(3), F.lit("9999999999")).cast("long"), "end": F.try_to_number(part(4), F.lit("9999999999")).cast("long")})
+    line = lambda k: F.try_to_number(part(k), F.lit("9999999999")).cast("long")
+    read = cited.withColumns({"start": line(3), "end": line(4)}).withColumn("parsed", F.col("start").isNotNull() & F.col("end").isNotNull())
+    read = read.withColumn("node_id", F.when(F.col("parsed"), F.concat(part(1), F.lit("::"), part(2))))
     met = read.join(gold, "node_id", "left")
-    found = F.col("g_start").isNotNull()
-    exact, inside = F.expr("start = g_start AND end = g_end"), F.expr("start >= g_start AND end <= g_end")
-    return met.select("id", "citation", found.alias("resolves"), F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(inside, F.lit(False)).alias("inside"))
+    exact, inside = F.expr("start = g_start AND end = g_end"), F.expr("g_start <= start AND start <= end AND end <= g_end")
+    return met.select("id", "citation", "parsed", F.col("g_start").isNotNull().alias("resolves"), F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+def citation_totals(checked: DataFrame) -> DataFrame:
+    """One row over all citations: how many there are, resolve, are exact, and can't be parsed."""
+    return checked.agg(F.count(F.lit(1)).alias("n_citations"), *(F.count_if(F.col(c)).alias(name) for c, name in (("resolves", "resolve"), ("exact", "line_exact"))), F.count_if(~F.col("parsed")).alias("unparseable"))
 
 
 def joined_stages(rows: DataFrame, deterministic: DataFrame, pipeline: DataFrame, judged: DataFrame) -> DataFrame:

@@ -8,15 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.code import module_of
 from .evaluate import exact_median
 from .shared import discard, settled
 
 
-def module_of(path):
-    """Dotted module name of a file path."""
-    return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
-
-
 def import_edges(imports: DataFrame, scope: DataFrame) -> DataFrame:
     """(src, dst): src imports dst, both in scope."""
     both = imports.join(scope.select("stem"), "stem", "left_semi").join(scope.select(F.col("stem").alias("module")), "module", "left_semi")

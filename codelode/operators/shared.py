@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, label: str = "settled") -> DataFrame:
-    """``df`` as a table in ``spark.checkpoint.dir``, where its lineage ends; a folder is chosen here only in local mode when none is set."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in ``spark.checkpoint.dir``; a folder is chosen here only in local mode when none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="codelode-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/codelode/{uuid.uuid4().hex}/{label}"
+    return f"{folder.rstrip('/')}/codelode/{uuid.uuid4().hex}/{label}"
+
+
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """``df`` as a table in the shared folder, where its lineage ends."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:

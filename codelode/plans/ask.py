@@ -72,8 +72,9 @@ def risk_responses(questions: DataFrame, risk: DataFrame, scope: DataFrame) -> D
 
 
 def outline(question: Column, context: Column) -> Column:
-    """Offline answer: the headings of the context."""
-    return F.concat(F.lit("Relevant code: "), F.array_join(F.regexp_extract_all(context, F.lit(r"(?m)^\[([^\]]+)\]$"), F.lit(1)), "; "))
+    """Offline answer: the headings of the context; without any, that the context isn't enough."""
+    headings = F.regexp_extract_all(context, F.lit(r"(?m)^\[([^\]]+)\]$"), F.lit(1))
+    return F.when(F.size(headings) > 0, F.concat(F.lit("Relevant code: "), F.array_join(headings, "; "))).otherwise("The code found is insufficient to answer this.")
 
 
 def explanation_responses(questions: DataFrame, contexts: DataFrame, notes: DataFrame, generate: Callable[[Column, Column], Column] = outline) -> DataFrame:

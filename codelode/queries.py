@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import queries_text
 from .functions import metrics as M
 from .functions import parse
 from .operators import evaluate, graph, retrieval
@@ -228,7 +229,7 @@ def import_graph(spark, sf):
 
 def _commits(spark, sf):
     log = _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), F.format_string("lib/m%d.py", F.col("l_partkey") + 1).alias("path"))
-    return code.commit_counts(log, _scope(spark, sf))
+    return code.commit_counts(log, _scope(spark, sf), "lib/")
 
 
 def _risk(spark, sf, facts):
@@ -314,14 +315,22 @@ def reachable(spark, sf):
     return graph.closure_by_frontier(_edges(spark, sf))
 
 
-def citation_check(spark, sf):
+def _checked(spark, sf):
     li = _t(spark, sf, "lineitem")
     at = F.col("l_linenumber") * 10
     lines = F.format_string(" (lines %d-%d)", at, at + F.col("l_quantity").cast("int"))
-    cited = li.select(F.col("l_orderkey").alias("id"), F.concat(F.format_string("o%d.py :: L%d", "l_orderkey", "l_linenumber"), F.when(F.col("l_quantity") == 7, "").otherwise(lines)).alias("citation"))
+    file = F.when(F.col("l_linenumber") == 3, F.format_string("see o%d.py", "l_orderkey")).otherwise(F.format_string("o%d.py", "l_orderkey"))
+    cited = li.select(F.col("l_orderkey").alias("id"), F.concat(file, F.format_string(" :: L%d", "l_linenumber"), F.when(F.col("l_quantity") == 7, "").otherwise(lines)).alias("citation"))
     gold = li.filter("l_returnflag <> 'N'").groupBy(F.format_string("o%d.py::L%d", "l_orderkey", "l_linenumber").alias("node_id")).agg(F.min(at).alias("g_start"), F.max(at + 25).alias("g_end"))
-    checked = evaluate.checked_citations(cited, gold)
-    return checked.select("id", "citation", *(F.col(c).cast("int").alias(c) for c in ("resolves", "exact", "inside")))
+    return evaluate.checked_citations(cited, gold)
+
+
+def citation_check(spark, sf):
+    return _checked(spark, sf).select("id", "citation", *(F.col(c).cast("int").alias(c) for c in ("parsed", "resolves", "exact", "inside")))
+
+
+def citation_totals(spark, sf):
+    return evaluate.citation_totals(_checked(spark, sf))
 
 
 def stage_rows(spark, sf):
@@ -338,9 +347,9 @@ def odd_identifiers(spark, sf):
     """Answers with names made from part keys, against a vocabulary of every second one."""
     k = F.col("p_partkey")
     p = _t(spark, sf, "part")
-    answer = F.concat(F.format_string("`C%d.run` calls helper_%d and BaseThing%d", k, k % 7, k % 3), F.lit("\n\nNote: hidden_name"))
+    answer = F.concat(F.format_string("`C%d.run` calls helper_%d and BaseThing%d with MAX_SIZE, foo_Bar, BaseX or `ab`", k, k % 7, k % 3), F.lit("\n\nNote: hidden_name"))
     answers = p.select(k.alias("id"), answer.alias("answer"), F.format_string("class C%d uses helper_1, BaseThing1", k).alias("context"))
-    fixed = F.explode(F.array(*map(F.lit, ["run", *(f"helper_{j}" for j in range(5)), "BaseThing0", "BaseThing1"])))
+    fixed = F.explode(F.array(*map(F.lit, ["run", "MAX_SIZE", *(f"helper_{j}" for j in range(5)), "BaseThing0", "BaseThing1"])))
     vocabulary = p.filter("p_partkey % 2 = 0").select(F.format_string("C%d", k).alias("token")).unionByName(spark.range(1).select(fixed.alias("token")))
     return evaluate.odd_identifiers(answers, vocabulary)
 
@@ -385,9 +394,10 @@ def flagged_claims(spark, sf):
 
 
 def commit_counts(spark, sf):
-    o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("lib/"), F.col("o_orderpriority"), F.lit(".py")).alias("path"))
-    scope = o.select(F.regexp_extract("path", r"([^/]+?)(?:\.py)?$", 1).alias("stem")).distinct()
-    return code.commit_counts(o, scope)
+    """Commits of files in two folders, of which the second holds files of the same names: each counts its own."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.concat(F.lit("lib/"), F.when(F.col("o_custkey") % 3 == 0, "sub/").otherwise(""), F.col("o_orderpriority"), F.lit(".py")).alias("path"))
+    scope = o.select(code.module_of(F.expr("substring(path, 5)")).alias("stem")).distinct()
+    return code.commit_counts(o, scope, "lib/")
 
 
 def category_counts(spark, sf):
@@ -413,7 +423,7 @@ def identifiers_in_context(spark, sf):
     return d.join(b, "token", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions, risk_recomputed, gold_nodes, class_files, chunk_table, definition_lookup, expand_calls, question_targets, reachable, citation_check, stage_rows, odd_identifiers, same_spans, token_sums, failures_by_kind, rates_by_kind, label_errors, flagged_claims)}
+QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions, risk_recomputed, gold_nodes, class_files, chunk_table, definition_lookup, expand_calls, question_targets, reachable, citation_check, citation_totals, stage_rows, odd_identifiers, same_spans, token_sums, failures_by_kind, rates_by_kind, label_errors, flagged_claims)}
 
 _HITS = """d AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 12),
@@ -438,6 +448,9 @@ lev AS (SELECT risk.*, CASE WHEN dependents < a THEN 'low' WHEN commits <= b THE
 _NO_NAME, _NO_TYPE = "no function or class of that name is known here", "the receiver''s type isn''t known"
 _SAID = """q AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'how risky is it to change M' || s_suppkey || '.py?' WHEN 1 THEN 'what is the impact of a change?' WHEN 2 THEN 'is C' || s_suppkey || ' dangerous to edit, or m' || (s_suppkey + 1) || '.py?' ELSE 'what does C' || s_suppkey || '.run do, and f' || s_suppkey || '?' END AS said FROM supplier)"""
 
+_CITED = """l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_quantity <> 7 AND l_linenumber <> 3 AS parsed, l_returnflag <> 'N' AS gold, CASE WHEN l_linenumber = 3 THEN 'see ' ELSE '' END || 'o' || l_orderkey || '.py :: L' || l_linenumber || CASE WHEN l_quantity = 7 THEN '' ELSE ' (lines ' || l_linenumber * 10 || '-' || (l_linenumber * 10 + l_quantity::INT) || ')' END AS citation FROM lineitem),
+g AS (SELECT DISTINCT id, n FROM l WHERE gold), r AS (SELECT l.*, parsed AND g.id IS NOT NULL AS resolves FROM l LEFT JOIN g ON g.id = l.id AND g.n = l.n)"""
+
 ORACLES = {
     "vector_topk": f"WITH {_HITS} SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM h",
     "dedupe_then_cut": f"WITH {_HITS} SELECT query_id, label, vec_id, place FROM c",
@@ -463,7 +476,7 @@ SELECT doc_id, part_no::BIGINT AS part_no, (s + 1)::BIGINT AS start_line, e::BIG
     "nearest_rank_percentile": "WITH a AS (SELECT event_type, list(value ORDER BY value) AS v, count(value) AS n FROM events GROUP BY 1) SELECT event_type, v[round_even(0.5::DOUBLE * (n - 1), 0)::INT + 1] AS p50, v[round_even(0.95::DOUBLE * (n - 1), 0)::INT + 1] AS p95 FROM a",
     "wilson_by_group": f"WITH g AS (SELECT quality, sum(toxic)::BIGINT AS k, count(*) AS n FROM labels GROUP BY 1), w AS (SELECT *, (k / n + {_Z} * {_Z} / (2 * n)) AS c, {_Z} * sqrt(((k / n) * (1 - k / n) + {_Z} * {_Z} / (4 * n)) / n) AS s, 1 + {_Z} * {_Z} / n AS d FROM g) SELECT quality, k, n, round(greatest(0.0, (c - s) / d), 6) AS low, round(least(1.0, (c + s) / d), 6) AS high FROM w",
     "known_unknown_split": "WITH k AS (SELECT list_sort(list_distinct(list(n_name))) AS known FROM nation), r AS (SELECT r_regionkey, list_concat(['NATION_' || r_regionkey, r_name, 'nowhere'], known[1:r_regionkey + 1]) AS names, known FROM region, k) SELECT r_regionkey, len(list_distinct(list_filter(names, lambda x: list_contains(known, x))))::BIGINT AS n_known, array_to_string(list_filter(names, lambda x: NOT list_contains(known, x)), ',') AS unknown FROM r",
-    "commit_counts": "SELECT o_orderpriority AS stem, count(DISTINCT o_orderkey) AS commit_count FROM orders GROUP BY 1",
+    "commit_counts": "SELECT CASE WHEN o_custkey % 3 = 0 THEN 'sub.' ELSE '' END || o_orderpriority AS stem, count(DISTINCT o_orderkey) AS commit_count FROM orders GROUP BY 1",
     "category_counts": "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS large, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     "stage_deltas": "SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS us FROM events",
     "duplicate_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",
@@ -495,11 +508,11 @@ UNION ALL SELECT file || ':C' || k || ':9:1', file, 'class', 'C' || k, '', 64 FR
     "question_targets": f"""WITH {_SAID}, f AS (SELECT id, p_partkey AS k, instr(lower(said), 'm' || p_partkey || '.py') AS x, instr(said, 'C' || p_partkey) AS y FROM q, (SELECT p_partkey + 1 AS p_partkey FROM part) p), m AS (SELECT id, k, least(CASE WHEN x > 0 THEN x ELSE 9999 END, CASE WHEN y > 0 THEN y ELSE 9999 END) AS spot FROM f WHERE x > 0 OR y > 0),
 l AS (SELECT id, string_agg('m' || k, ',' ORDER BY spot, 'm' || k) AS files FROM m GROUP BY id) SELECT q.id AS question_id, CASE WHEN q.id % 4 = 3 THEN 'code_explanation' ELSE 'risk_assessment' END AS intent, coalesce(files, '') AS target_files FROM q LEFT JOIN l ON l.id = q.id""",
     "reachable": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_nationkey % 4 = 0), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r WHERE src <> dst",
-    "citation_check": """WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_quantity = 7 AS bad, l_returnflag <> 'N' AS gold FROM lineitem), g AS (SELECT DISTINCT id, n FROM l WHERE gold)
-SELECT l.id, 'o' || l.id || '.py :: L' || l.n || CASE WHEN bad THEN '' ELSE ' (lines ' || a || '-' || b || ')' END AS citation, (g.id IS NOT NULL AND NOT bad)::INT AS resolves, (g.id IS NOT NULL AND NOT bad AND b = a + 25)::INT AS exact, (g.id IS NOT NULL AND NOT bad AND b <= a + 25)::INT AS inside FROM l LEFT JOIN g ON g.id = l.id AND g.n = l.n""",
+    "citation_check": f"""WITH {_CITED} SELECT id, citation, parsed::INT AS parsed, resolves::INT AS resolves, (resolves AND b = a + 25)::INT AS exact, (resolves AND b <= a + 25)::INT AS inside FROM r""",
+    "citation_totals": f"""WITH {_CITED} SELECT count(*) AS n_citations, count(*) FILTER (resolves) AS resolve, count(*) FILTER (resolves AND b = a + 25) AS line_exact, count(*) FILTER (NOT parsed) AS unparseable FROM r""",
     "stage_rows": """WITH p AS (SELECT o_custkey AS id, count(*) AS attempts, bool_or(o_totalprice > 400000) AS failed, nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS claims FROM orders GROUP BY 1)
 SELECT c_custkey AS id, (c_acctbal > 0)::INT AS hit, attempts, claims FROM customer JOIN p ON p.id = c_custkey WHERE c_nationkey % 2 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND NOT coalesce(failed, false)""",
-    "odd_identifiers": """SELECT p_partkey AS id, 'C' || p_partkey AS identifier, 'fabricated' AS kind FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'run', 'outside' FROM part
+    "odd_identifiers": """SELECT p_partkey AS id, 'C' || p_partkey AS identifier, 'fabricated' AS kind FROM part WHERE p_partkey % 2 = 1 AND p_partkey >= 10 UNION ALL SELECT p_partkey, unnest(['MAX_SIZE', 'foo_Bar', 'BaseX']), unnest(['outside', 'fabricated', 'fabricated']) FROM part UNION ALL SELECT p_partkey, 'run', 'outside' FROM part
 UNION ALL SELECT p_partkey, 'helper_' || p_partkey % 7, CASE WHEN p_partkey % 7 < 5 THEN 'outside' ELSE 'fabricated' END FROM part WHERE p_partkey % 7 <> 1
 UNION ALL SELECT p_partkey, 'BaseThing' || p_partkey % 3, CASE WHEN p_partkey % 3 < 2 THEN 'outside' ELSE 'fabricated' END FROM part WHERE p_partkey % 3 <> 1""",
     "same_spans": """WITH s AS (SELECT l_orderkey AS id, [l_linenumber, l_suppkey, l_partkey] AS x, l_quantity > 10 AS a, l_quantity <= 40 AS b FROM lineitem), g AS (SELECT id, list_sort(list(DISTINCT x) FILTER (a)) AS a, list_sort(list(DISTINCT x) FILTER (b)) AS b FROM s GROUP BY id)
@@ -513,3 +526,7 @@ SELECT id, 'unknown gold m' || k || '.py::none' AS problem FROM l WHERE NOT know
 UNION ALL SELECT id, 'unknown file zz' FROM l WHERE k % 13 = 0 UNION ALL SELECT id, 'repeated id' FROM l GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'bad intent' FROM l WHERE k % 17 = 0""",
     "flagged_claims": "SELECT CASE o_orderstatus WHEN 'O' THEN 'unsupported' ELSE 'contradicted' END AS verdict, count(*) AS claims, count(DISTINCT o_custkey) AS answers FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",
 }
+
+for _more in (queries_text,):
+    QUERIES |= _more.QUERIES
+    ORACLES |= _more.ORACLES

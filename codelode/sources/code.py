@@ -31,7 +31,7 @@ def read_sources(spark: SparkSession, folder: str, recursive: bool = False) -> D
     """(file_path, stem, source) of the Python files in a folder; with ``recursive`` also below it, the stem being the dotted module name."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").option("recursiveFileLookup", recursive).text(folder)
     path = relative_path(spark, folder)
-    return raw.select(path.alias("file_path"), F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit(".")).alias("stem"), F.col("value").alias("source"))
+    return raw.select(path.alias("file_path"), module_of(path).alias("stem"), F.col("value").alias("source"))
 
 
 def in_scope(files: DataFrame, scope: DataFrame) -> DataFrame:
@@ -43,10 +43,19 @@ def with_suffix(name):
     return F.when(name.endswith(".py"), name).otherwise(F.concat(name, F.lit(".py")))
 
 
-def commit_counts(commits: DataFrame, scope: DataFrame) -> DataFrame:
-    """(stem, commit_count) for all of scope; commits: (sha, path). Files without a commit count 0; no table is an error upstream."""
-    stem = F.regexp_extract("path", r"([^/]+?)(?:\.py)?$", 1)
-    counted = commits.groupBy(stem.alias("stem")).agg(F.count_distinct("sha").alias("commit_count"))
+def module_of(path):
+    """Dotted module name of a file path, the one rule for sources, imports and commits."""
+    return F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit("."))
+
+
+def commit_counts(commits: DataFrame, scope: DataFrame, root: str = "") -> DataFrame:
+    """(stem, commit_count) for all of scope; commits: (sha, path), paths being whole and those of the code base below ``root``.
+
+    A commit counts for the file at exactly that path, not for one of the same name in another folder. Files without a
+    commit count 0; no history at all is an error where it is read.
+    """
+    own = commits.filter(F.col("path").startswith(root) & F.col("path").endswith(".py"))
+    counted = own.groupBy(module_of(F.expr(f"substring(path, {len(root) + 1})")).alias("stem")).agg(F.count_distinct("sha").alias("commit_count"))
     return scope.join(counted, "stem", "left").select("stem", F.coalesce("commit_count", F.lit(0)).alias("commit_count"))
 
 
