@@ -28,7 +28,11 @@ ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` written with a number for each row."""
+    """``docs`` with a number for each row: its id if no id is null or repeated, else its place in a copy written for that."""
+    number = F.col("doc_id").cast("long")
+    shared = docs.select(number.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
+    if shared.isEmpty():
+        return docs.withColumn(ROW, number)
     return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
