@@ -9,19 +9,48 @@ from pyspark.sql.window import Window
 from ..functions.metrics import cost, identifiers, rate, tokens
 
 
-def spans_meet(spans: DataFrame, gold: DataFrame, contain: bool = False) -> DataFrame:
-    """Pairs of spans (file, start, end) and gold spans of the same file (file, g_start, g_end) that overlap, or of which the first contains the second."""
-    joined = spans.join(gold, "file")
-    if contain:
-        return joined.filter("start <= g_start AND end >= g_end")
-    return joined.filter("start <= g_end AND end >= g_start")
+def _binned(spans: DataFrame, start: str, end: str, side: str) -> DataFrame:
+    """Spans with their bounds, and the level whose bins, of 2^level lines, are just not shorter than they are."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    return spans.withColumns({f"__{side}_low": low, f"__{side}_high": high, f"__{side}_level": F.ceil(F.log2((high - low + 1).cast("double"))).cast("int")})
+
+
+def _listed(spans: DataFrame, side: str, levels: Column) -> DataFrame:
+    """Spans once for each bin (__at, __bin), of which there are at most two a level, that they lie in at the given levels."""
+    at = spans.select("*", F.explode(levels).alias("__at"))
+    bin_of = lambda bound: F.floor(F.col(f"__{side}_{bound}") / F.pow(F.lit(2.0), F.col("__at")))
+    return at.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of("low"), bin_of("high")))))
+
+
+def spans_meet(spans: DataFrame, gold: DataFrame, contain: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of spans (keys, start, end) and gold spans (keys, g_start, g_end) that overlap, or of which the first contains the second.
+
+    Keys are ``file`` unless given. A pair meets in the bins of its longer span's level: the longer is listed in the bins
+    of its own level, the shorter in those of all levels above its own that the other side has. So a file with n spans
+    and m gold spans costs some rows a span and what really lies close, not n x m, and its bins are dealt out apart.
+    Spans whose end lies before their start meet what the conditions say; nulls meet nothing.
+    """
+    keys = keys or ["file"]
+    left, right = _binned(spans, "start", "end", "s"), _binned(gold, "g_start", "g_end", "g")
+    levels = lambda df, side: df.agg(F.collect_set(f"__{side}_level")).scalar()  # noqa: E731  at most 64
+    own = lambda df, side: _listed(df, side, F.array(f"__{side}_level"))
+    s_above = _listed(left.withColumn("__all", levels(right, "g")), "s", F.filter("__all", lambda x: x > F.col("__s_level"))).drop("__all")
+    g_above = _listed(right.withColumn("__all", levels(left, "s")), "g", F.filter("__all", lambda x: x >= F.col("__g_level"))).drop("__all")
+    met = own(left, "s").join(g_above, [*keys, "__at", "__bin"]).unionByName(s_above.join(own(right, "g"), [*keys, "__at", "__bin"]))
+    # A pair that shares two bins counts in that of the later begin.
+    met = met.filter(F.col("__bin") == F.floor(F.greatest("__s_low", "__g_low") / F.pow(F.lit(2.0), F.col("__at"))))
+    met = met.drop("__at", "__bin", *(f"__{side}_{x}" for side in "sg" for x in ("low", "high", "level")))
+    return met.filter("start <= g_start AND end >= g_end" if contain else "start <= g_end AND end >= g_start")
 
 
 def gold_reached(gold: DataFrame, spans: DataFrame, query_id: str = "id") -> DataFrame:
-    """(id, hit, complete, recall) over a query's gold spans."""
-    met = gold.join(spans, [query_id, "file"], "left").withColumn("ok", F.coalesce(F.expr("start <= g_end AND end >= g_start"), F.lit(False)))
-    each = met.groupBy(query_id, "file", "g_start", "g_end").agg(F.bool_or("ok").alias("ok"))
-    return each.groupBy(query_id).agg(F.bool_or("ok").alias("hit"), F.bool_and("ok").alias("complete"), F.avg(F.col("ok").cast("double")).alias("recall"))
+    """(id, hit, complete, recall) over a query's distinct gold spans."""
+    key = [query_id, "file", "g_start", "g_end"]
+    each = gold.select(*key).distinct()
+    met = spans_meet(spans.select(query_id, "file", "start", "end").distinct(), each, keys=[query_id, "file"]).select(*key).distinct().withColumn("ok", F.lit(True))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    joined = each.alias("l").join(met.alias("r"), same, "left").select(*(F.col(f"l.{c}") for c in key), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return joined.groupBy(query_id).agg(F.bool_or("ok").alias("hit"), F.bool_and("ok").alias("complete"), F.avg(F.col("ok").cast("double")).alias("recall"))
 
 
 def unknown_tokens(texts: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
