@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import hashed_embedding
 from ..operators import retrieval
+from ..operators.shared import settled
 from .errors import InvalidQuestion
+from .model_calls import Model, called
+
+#: What a model is told before question and context.
+PROMPT = "Answer from the code below, and say so if it is not enough.\n\nQuestion: "
 
 #: Offline intent rule: a question about risk, safety or impact of a change.
 RISK_WORDS = r"(?i)\brisk|\bimpact\b|\baffected\b|\bdangerous\b|\bbreak\b|\bsaf(e|est) to (modify|change|touch|refactor|edit)\b"
@@ -102,24 +107,34 @@ class CodeBase(NamedTuple):
     call_edges: DataFrame
 
 
-def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline) -> DataFrame:
-    """Responses to questions what code does, from retrieved and expanded chunks, with citations and the risk notes of the primaries' files."""
+def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline, model: Model | None = None) -> DataFrame:
+    """Responses to questions what code does, from retrieved and expanded chunks, with citations and the risk notes of the primaries' files.
+
+    With a model its replies are the answers, and how its calls went is said besides: attempts, fell_back, error_code.
+    """
     held = retrieval.retrieve(questions, code.index, code.call_edges, embed)
     contexts = retrieval.context_text(retrieval.cited(held), "question_id")
     notes = retrieval.risk_notes(held.filter("section = 0"), code.risk, "question_id")
     details = held.filter("section = 0").select("question_id", F.replace(F.regexp_replace("file_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("file")).distinct()
     detail = F.struct("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale")
     found = details.join(code.risk.filter("risk_level = 'high'"), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(detail)).alias("high"))
+    calls = None
+    if model is not None:
+        prompt = F.concat(F.lit(PROMPT), F.col("question"), F.lit("\n\n"), F.coalesce("context", F.lit("")))
+        asked = questions.join(contexts, "question_id", "left").select(F.col("question_id").alias("id"), prompt.alias("prompt"))
+        calls = settled(called(asked, model), "calls").withColumnRenamed("id", "question_id")  # written, so that no call is made twice
+        questions, generate = questions.join(calls.select("question_id", "reply"), "question_id"), lambda question, context: F.col("reply")
     out = explanation_responses(questions, contexts, notes, generate).join(found, "question_id", "left")
-    return out.select("question_id", "intent", "answer", "citations", F.coalesce("high", F.filter(F.array(F.lit(None).cast(found.schema["high"].dataType.elementType)), lambda x: x.isNotNull())).alias("risk_details"))
+    out = out.select("question_id", "intent", "answer", "citations", F.coalesce("high", F.filter(F.array(F.lit(None).cast(found.schema["high"].dataType.elementType)), lambda x: x.isNotNull())).alias("risk_details"))
+    return out if calls is None else out.join(calls.select("question_id", "attempts", "fell_back", "error_code"), "question_id")
 
 
-def ask(questions: DataFrame, code: CodeBase, classify: Callable[[Column], Column] = classify, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline) -> DataFrame:
-    """(question_id, intent, answer, citations, risk_details) of every question (question_id, question).
+def ask(questions: DataFrame, code: CodeBase, classify: Callable[[Column], Column] = classify, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline, model: Model | None = None) -> DataFrame:
+    """(question_id, intent, answer, citations, risk_details) of every question (question_id, question), with a model also (attempts, fell_back, error_code).
 
     Questions about risk are answered from the scores, others from retrieved code. ``risk_details`` is null if nothing
     was looked up and empty if the files that were looked at are at no high risk.
     """
     risky, other = routed(questions, classify)
     targeted = extract_targets(risky, code.scope, code.class_files)
-    return risk_responses(targeted, code.risk, code.scope).unionByName(explain(other, code, embed, generate))
+    return risk_responses(targeted, code.risk, code.scope).unionByName(explain(other, code, embed, generate, model), allowMissingColumns=True)

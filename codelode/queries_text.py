@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import grounding
 from .operators.shared import new_path
+from .plans import model_calls
 from .sources import code, commits
 
 
@@ -53,7 +54,41 @@ def grounded_share(spark, sf):
     return found.select("id", "n_words", "copied_words", F.round("share", 6).alias("share"), F.col("abstains").cast("int").alias("abstains"))
 
 
-QUERIES = {f.__name__: f for f in (commit_history, answer_grounding, grounded_share)}
+def _offline():
+    """A client that answers by a rule: some prompts fail once, some always, some are limited, some are set up wrongly."""
+    from .plans.errors import ModelUnavailable, RateLimited
+
+    seen: set[str] = set()
+
+    def client(prompts: list[str]) -> list:
+        out: list = []
+        for p in prompts:
+            k, again = int(p.split(":")[0]), p in seen
+            seen.add(p)
+            bad = KeyError("key") if k % 17 == 0 else ModelUnavailable("down") if k % 13 == 0 or (k % 7 == 0 and not again) else RateLimited("slow") if k % 11 == 0 else None
+            out.append(bad or f"re {p[:40]}")
+        return out
+
+    return client
+
+
+def _calls(spark, sf):
+    c = _t(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    prompts = c.select("id", F.concat(F.col("id").cast("string"), F.lit(":"), "text").alias("prompt"))
+    model = model_calls.Model(_offline, lambda: lambda prompts: [f"short {p.split(':')[0]}" for p in prompts], first_wait=0.0, most_wait=0.0)
+    return model_calls.called(prompts, model)
+
+
+def model_answers(spark, sf):
+    """A model's answers to all turns of conversations, with how the calls went."""
+    return _calls(spark, sf).select("id", F.md5("reply").alias("reply_md5"), "attempts", F.col("fell_back").cast("int").alias("fell_back"), "error_code")
+
+
+def call_totals(spark, sf):
+    return model_calls.call_totals(_calls(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (commit_history, answer_grounding, grounded_share, model_answers, call_totals)}
 
 _ANSWERS = """d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 q AS (SELECT doc_id AS id, 'So ' || array_to_string(w[4:17], ' ') || ' and `note_' || doc_id || '.ab` with BaseX ' || array_to_string(w[30:37], ' ') || ' MAX_SIZE ' || CASE WHEN doc_id % 4 = 0 THEN 'but there is no mention of it' ELSE 'it says' END || ' ' AS answer, text || CASE WHEN doc_id % 5 = 0 THEN ' note_' || doc_id ELSE '' END AS context FROM d),
@@ -63,7 +98,13 @@ m AS (SELECT a.id, i, j - i AS shift, i - row_number() OVER (PARTITION BY a.id,
 r AS (SELECT id, shift, min(i) AS place, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS span FROM m GROUP BY id, shift, run HAVING count(*) >= 8),
 copied AS (SELECT id, place, n, min(place + shift) AS context_place, min(span) AS span FROM r GROUP BY id, place, n)"""
 
+_CALLS = """k AS (SELECT conv_id * 100 + turn AS id, text FROM conversations),
+m AS (SELECT id, text, id % 17 = 0 AS wrong, id % 17 <> 0 AND id % 13 = 0 AS down, id % 17 <> 0 AND id % 13 <> 0 AND id % 11 = 0 AS slow, id % 7 = 0 AS once FROM k),
+r AS (SELECT id, text, CASE WHEN wrong THEN 1 WHEN down THEN 3 ELSE 1 + once::INT + slow::INT END AS attempts, slow, CASE WHEN wrong THEN 'internal_error' WHEN down THEN 'model_unavailable' END AS error_code FROM m)"""
+
 ORACLES = {
+    "model_answers": f"WITH {_CALLS} SELECT id, CASE WHEN error_code IS NULL THEN md5(CASE WHEN slow THEN 'short ' || id ELSE 're ' || left(id || ':' || text, 40) END) END AS reply_md5, attempts, slow::INT AS fell_back, error_code FROM r",
+    "call_totals": f"WITH {_CALLS} SELECT count(*) FILTER (error_code IS NULL) AS completed, count(error_code) AS errors, count(*) FILTER (attempts > 1) AS retried, count(*) FILTER (slow AND error_code IS NULL) AS fallback_used FROM r",
     "commit_history": """SELECT 'm' || p_partkey AS stem, coalesce(n, 0) AS commit_count FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_partkey = p_partkey
 UNION ALL SELECT 'd' || p_partkey % 3 || '.m' || p_partkey, coalesce(n, 0) FROM part LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""",
     "answer_grounding": f"""WITH {_ANSWERS}, t AS (SELECT id, regexp_extract_all(answer, '[A-Za-z_][A-Za-z0-9_]*') AS said, regexp_extract_all(context, '[A-Za-z_][A-Za-z0-9_]*') AS held FROM q),
