@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_graph, queries_text, queries_vectors
+from . import queries_evaluation, queries_graph, queries_text, queries_vectors
 from .functions import metrics as M
 from .functions import parse
 from .operators import evaluate, graph, retrieval
@@ -527,6 +527,6 @@ UNION ALL SELECT id, 'unknown file zz' FROM l WHERE k % 13 = 0 UNION ALL SELECT
     "flagged_claims": "SELECT CASE o_orderstatus WHEN 'O' THEN 'unsupported' ELSE 'contradicted' END AS verdict, count(*) AS claims, count(DISTINCT o_custkey) AS answers FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",
 }
 
-for _more in (queries_text, queries_vectors, queries_graph):
+for _more in (queries_text, queries_vectors, queries_graph, queries_evaluation):
     QUERIES |= _more.QUERIES
-ORACLES |= queries_text.ORACLES | queries_vectors.ORACLES | queries_graph.oracles(_RISK)
+ORACLES |= queries_text.ORACLES | queries_vectors.ORACLES | queries_evaluation.ORACLES | queries_graph.oracles(_RISK)
