@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
+import keyword
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,10 @@ from pyspark.sql.window import Window
 from ..functions.metrics import cost, identifiers, rate, tokens
 
 
+#: Names that Python itself has.
+LANGUAGE = sorted({*dir(builtins), *keyword.kwlist})
+
+
 def _binned(spans: DataFrame, start: str, end: str, side: str) -> DataFrame:
     """Spans with their bounds, and the level whose bins, of 2^level lines, are just not shorter than they are."""
     low, high = F.least(start, end), F.greatest(start, end)
@@ -129,6 +136,19 @@ def failures_by_kind(failures: DataFrame) -> DataFrame:
     return failures.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).orderBy("kind")
 
 
+def failures_listed(failures: DataFrame) -> DataFrame:
+    """(kind, n, id, detail) of every failure (kind, id, detail), kinds and then ids in order, with how many its kind has."""
+    n = failures.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return failures.join(n, "kind").select("kind", "n", "id", "detail").orderBy("kind", "id")
+
+
+def package_vocabulary(files: DataFrame, source: str = "source") -> DataFrame:
+    """(token, files) of a whole package: how many of its files hold a token; the language's own names and keywords belong to it too, with 0 where no file holds them."""
+    held = files.select(F.explode(tokens(F.coalesce(source, F.lit("")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("files"))
+    own = files.sparkSession.createDataFrame([(t,) for t in LANGUAGE], "token string")
+    return held.join(F.broadcast(own), "token", "full_outer").select("token", F.coalesce("files", F.lit(0)).alias("files"))
+
+
 def rates(rows: DataFrame, key: str, hit: str) -> DataFrame:
     """(key, k, n, rate) of a condition by group, as text with its interval."""
     counted = rows.groupBy(key).agg(F.count_if(F.col(hit)).alias("k"), F.count(F.lit(1)).alias("n"))
@@ -187,8 +207,9 @@ def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, float]
     return groups.join(found, key, "left").select(key, *(F.coalesce(name, F.lit(float("nan"))).alias(name) for name in ranks))
 
 
-def exact_median(rows: DataFrame, value: str) -> Column:
-    """The median of a column over all rows, as a scalar subquery: the mean of the middle values, null without any."""
+def exact_medians(rows: DataFrame, values: list[str]) -> dict[str, float | None]:
+    """The medians of some columns over all rows, in one pass over them: the mean of the middle values, None without any."""
+    each = rows.select(F.inline(F.array(*(F.struct(F.lit(v).alias("name_of"), F.col(v).cast("double").alias("value")) for v in values))))
     middle = {"low": F.floor((F.col("total") - 1) / 2), "high": F.floor(F.col("total") / 2)}
-    found = _at_ranks(rows.select(F.lit(0).alias("all"), F.col(value).alias("value")), "all", "value", middle)
-    return found.agg(F.max((F.col("low") + F.col("high")) / 2)).scalar()
+    found = {r["name_of"]: (r["low"] + r["high"]) / 2 for r in _at_ranks(each, "name_of", "value", middle).collect()}  # a row a column
+    return {v: found.get(v) for v in values}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.code import module_of
-from .evaluate import exact_median
+from .evaluate import exact_medians
 from .shared import discard, settled
 
 
@@ -118,9 +118,14 @@ def dependents(edges: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def risk_gate(measured: DataFrame, impact: str = "dependents", churn: str = "commit_count") -> DataFrame:
-    """Adds risk_level: high if impact reaches its median and churn stays within its own, medium if only impact does, else low."""
-    level = F.when(F.col(impact) < exact_median(measured, impact), "low").when(F.col(churn) <= exact_median(measured, churn), "high").otherwise("medium")
-    return measured.withColumn("risk_level", level)
+    """Adds risk_level: high if impact reaches its median and churn stays within its own, medium if only impact does, else low.
+
+    What is measured is written once; both medians come from one pass over it.
+    """
+    held = settled(measured, "measured")
+    middle = exact_medians(held, [impact, churn])
+    level = F.when(F.col(impact) < F.lit(middle[impact]), "low").when(F.col(churn) <= F.lit(middle[churn]), "high").otherwise("medium")
+    return held.withColumn("risk_level", level)
 
 
 def risk_scores(edges: DataFrame, scope: DataFrame, commits: DataFrame) -> DataFrame:

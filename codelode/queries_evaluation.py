@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import summary
+from .operators import evaluate, summary
 
 
 def _t(spark, sf, name):
@@ -48,7 +48,17 @@ def evaluation_percentiles(spark, sf):
     return summary.percentiles(each, ["latency_s", "retrieval_s"], {"p50": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (evaluation_summary, evaluation_failures, evaluation_percentiles)}
+def failures_listed(spark, sf):
+    e = _t(spark, sf, "events").filter("value > 90")
+    return evaluate.failures_listed(e.select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.format_string("user %d", "user_id").alias("detail")))
+
+
+def package_vocabulary(spark, sf):
+    """Documents as the files of a package."""
+    return evaluate.package_vocabulary(_t(spark, sf, "documents"), "text")
+
+
+QUERIES = {f.__name__: f for f in (evaluation_summary, evaluation_failures, evaluation_percentiles, failures_listed, package_vocabulary)}
 
 _E = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS category, o_totalprice AS price, o_custkey % 3 = 0 AS risk, o_totalprice <= 400000 AS ok FROM orders),
 w AS (SELECT *, NOT risk AS code, risk AND k % 10 <> 0 AS grisk, CASE WHEN k % 5 = 1 THEN 'abstain' WHEN k % 5 = 2 AND risk THEN 'clarify' ELSE 'answer' END AS expect, NOT risk AND c % 2 > 0 AS gold, k % 4 AS cites, greatest(k % 4 - 1, 0) AS res, CASE WHEN k % 7 = 0 THEN 0 ELSE greatest(k % 4 - 1, 0) END AS exact, CASE WHEN risk AND k % 10 <> 0 THEN 'risk_assessment' ELSE 'code_explanation' END AS got,
@@ -97,4 +107,7 @@ ORACLES = {
     "evaluation_failures": f"WITH {_E} SELECT fails AS kind, id FROM m WHERE fails IS NOT NULL AND amount = 0",
     "evaluation_percentiles": f"""WITH {_E}, b AS (SELECT measure, unnest(['all', slice]) AS slice, amount FROM m WHERE measure IN ('latency_s', 'retrieval_s')), g AS (SELECT measure, slice, list(amount ORDER BY amount) AS v, count(*) AS n FROM b GROUP BY ALL)
 SELECT measure, slice, v[round_even(0.5::DOUBLE * (n - 1), 0)::INT + 1] AS p50, v[round_even(0.95::DOUBLE * (n - 1), 0)::INT + 1] AS p95 FROM g""",
+    "failures_listed": "SELECT event_type AS kind, count(*) OVER (PARTITION BY event_type) AS n, event_id AS id, 'user ' || user_id AS detail FROM events WHERE value > 90",
+    "package_vocabulary": f"""WITH t AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*'))) AS token FROM documents) GROUP BY token), o AS (SELECT unnest({evaluate.LANGUAGE}) AS token)
+SELECT coalesce(t.token, o.token) AS token, coalesce(n, 0) AS files FROM t FULL JOIN o ON t.token = o.token""",
 }

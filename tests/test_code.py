@@ -1,6 +1,7 @@
 """Parsing, call graph, imports, risk, retrieval and answers on small sources written for the purpose."""
 
 import logging
+import os
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from codelode.functions import parse
 from codelode.operators import evaluate, graph, retrieval
 from codelode.plans import ask, errors
 from codelode.sources import code
-from codelode.streaming.refresh import latest_chunks, refresh_chunks
+from codelode.streaming.refresh import latest_chunks, refresh_chunks, refresh_folder
 
 
 def graph_of(spark, **sources):
@@ -293,14 +294,45 @@ def test_refreshed_files_replace_their_chunks(spark, tmp_path):
     refresh_chunks(spark, str(folder), path, state).awaitTermination()
     (folder / "b.py").write_text("def g(): pass\n")
     refresh_chunks(spark, str(folder), path, state).awaitTermination()
-    assert {(r.file_path, r.name, r.batch) for r in latest_chunks(spark, path).collect()} == {("a.py", "f", 0), ("b.py", "g", 1)}
+    assert {(r.file_path, r.name, r.version) for r in latest_chunks(spark, path).collect()} == {("a.py", "f", 0), ("b.py", "g", 1)}
+
+
+def test_refresh_by_content(spark, tmp_path):
+    """Edited, emptied, deleted, touched and new files; a run that was killed before its manifest; older versions."""
+    folder, path = tmp_path / "src", str(tmp_path / "chunks")
+    folder.mkdir()
+    now = lambda version=None: {(r.file_path, r.name, r.version) for r in latest_chunks(spark, path, version).collect()}
+    assert now() == set()
+    for name in "abcd":
+        (folder / f"{name}.py").write_text(f"def {name}(): pass\n")
+    assert refresh_folder(spark, str(folder), path) == 0 and now() == {(f"{x}.py", x, 0) for x in "abcd"}
+    os.utime(folder / "a.py", (1, 1))
+    assert refresh_folder(spark, str(folder), path) == 0
+    (folder / "b.py").write_text("def other(): pass\n")
+    (folder / "c.py").write_text("")
+    (folder / "d.py").unlink()
+    (folder / "e.py").write_text("def e(): pass\n")
+    assert refresh_folder(spark, str(folder), path) == 1
+    after = {("a.py", "a", 0), ("b.py", "other", 1), ("e.py", "e", 1)}
+    assert now() == after and now(0) == {(f"{x}.py", x, 0) for x in "abcd"}
+    (folder / "e.py").unlink()
+    assert refresh_folder(spark, str(folder), path) == 2 and now() == after - {("e.py", "e", 1)}
+    (tmp_path / "chunks" / "manifest" / "v=2" / "_SUCCESS").unlink()
+    assert now() == after and refresh_folder(spark, str(folder), path) == 2 and now() == after - {("e.py", "e", 1)}
+
+
+def test_notes_on_risky_files(spark):
+    """Files of primaries at high risk are noted once each, in the order of places; others aren't."""
+    primary = spark.createDataFrame([(1, 2, "a.py"), (1, 1, "lib/b.py"), (1, 3, "a.py"), (2, 1, "c.py")], "query_id int, place int, file_path string")
+    risk = spark.createDataFrame([("a", "high", "many use it"), ("lib.b", "high", "some use it"), ("c", "medium", "few")], "file string, risk_level string, rationale string")
+    assert {r.query_id: r.risk_notes for r in retrieval.risk_notes(primary, risk).collect()} == {1: ["lib.b.py: some use it", "a.py: many use it"]}
 
 
 def test_expressions(spark):
     row = spark.createDataFrame([("see `A.run` and do_it, BigThing\n\nNote: hidden_x", 3, 4)], "t string, k long, n long").select(
         M.identifiers(F.col("t")).alias("ids"), M.abstains(F.lit("The context does not contain that")).alias("no"), M.abstains(F.col("t")).alias("yes"), M.rate(F.col("k"), F.col("n")).alias("r"), M.rate(F.lit(0), F.lit(0)).alias("none"), code.with_suffix(F.lit("a")).alias("s")
     ).first()
-    assert (row.ids, row.no, row.yes, row.none, row.s) == (["A", "run", "do_it", "BigThing"], True, False, "n/a", "a.py") and row.r.startswith("3/4 = 75% (95% CI 30–95%)")
+    assert (row.ids, row.no, row.yes, row.none, row.s) == (["run", "do_it", "BigThing"], True, False, "n/a", "a.py") and row.r.startswith("3/4 = 75% (95% CI 30–95%)")
     v = spark.range(1).select(M.hashed_embedding(F.lit("a b a")).alias("v"), M.hashed_embedding(F.lit("")).alias("z")).first()
     assert abs(sum(x * x for x in v.v) - 1) < 1e-6 and not any(v.z) and len(v.v) == 64
-    assert [r.m for r in spark.range(1).select(evaluate.exact_median(spark.createDataFrame([(k,) for k in (1, 9, 4, 2, None)], "x long"), "x").alias("m")).collect()] == [3.0]
+    assert evaluate.exact_medians(spark.createDataFrame([(k, None) for k in (1, 9, 4, 2, None)], "x long, y long"), ["x", "y"]) == {"x": 3.0, "y": None}
