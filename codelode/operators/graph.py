@@ -19,6 +19,13 @@ def import_edges(imports: DataFrame, scope: DataFrame) -> DataFrame:
     return both.filter("stem <> module").select(F.col("stem").alias("src"), F.col("module").alias("dst")).distinct()
 
 
+def import_walks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(stem, module, seen_by) of imports (stem, module) that two walks of the same files find: ``both``, ``first`` or ``second``."""
+    a, b = (df.select("stem", "module").distinct().withColumn(f"in_{k}", F.lit(True)) for k, df in enumerate((first, second)))
+    seen = F.when(F.col("in_0") & F.col("in_1"), "both").when(F.col("in_0"), "first").otherwise("second")
+    return a.join(b, ["stem", "module"], "full_outer").select("stem", "module", seen.alias("seen_by"))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth) of all dst reachable from src, cycles included, a node from itself left out; depth is the fewest steps.
 

@@ -529,4 +529,4 @@ UNION ALL SELECT id, 'unknown file zz' FROM l WHERE k % 13 = 0 UNION ALL SELECT
 
 for _more in (queries_text, queries_vectors, queries_graph, queries_evaluation):
     QUERIES |= _more.QUERIES
-ORACLES |= queries_text.ORACLES | queries_vectors.ORACLES | queries_evaluation.ORACLES | queries_graph.oracles(_RISK)
+ORACLES |= queries_text.ORACLES | queries_vectors.ORACLES | queries_evaluation.ORACLES | queries_graph.oracles(_RISK, _CODE)
