@@ -65,11 +65,11 @@ def risk_responses(questions: DataFrame, risk: DataFrame, scope: DataFrame) -> D
     known = files.join(risk, "file").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"), detail.alias("d")))).alias("found"))
     odd = files.join(risk.select("file"), "file", "left_anti").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("odd"))
     all_files = scope.agg(F.array_join(F.sort_array(F.collect_list("stem")), ", ")).scalar()  # the names of the scope, given by the user
-    wide = questions.join(known, "question_id", "left").join(odd, "question_id", "left").withColumn("names", all_files)
+    wide = questions.join(known, "question_id", "left").join(odd, "question_id", "left")
     note = F.when(F.col("odd").isNotNull(), F.concat(F.lit("\n\nNote: not known: "), F.array_join("odd", ", "))).otherwise("")
     answer = (
-        F.when(F.size("target_files") == 0, F.concat(F.lit("Which file do you mean? Known are: "), "names"))
-        .when(F.col("found").isNull(), F.concat(F.array_join("odd", ", "), F.lit(" isn't known. Known are: "), "names"))
+        F.when(F.size("target_files") == 0, F.concat(F.lit("Which file do you mean? Known are: "), all_files))
+        .when(F.col("found").isNull(), F.concat(F.array_join("odd", ", "), F.lit(" isn't known. Known are: "), all_files))
         .otherwise(F.concat(F.array_join(F.transform("found", lambda x: x["line"]), "\n\n"), note))
     )
     details = F.when(F.col("found").isNotNull(), F.transform("found", lambda x: x["d"]))

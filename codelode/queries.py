@@ -311,6 +311,23 @@ def ask_questions(spark, sf):
     return out.select("question_id", "intent", F.md5("answer").alias("answer_md5"), F.length("answer").alias("answer_chars"), F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
 
 
+def risk_answers(spark, sf):
+    """The questions about risk, routed, their files found in the code base, answered from its scores."""
+    facts = _facts(spark, sf)
+    risky, _ = ask.routed(_questions(spark, sf))
+    targeted = ask.extract_targets(risky, _scope(spark, sf), graph.class_to_file(parse.classes(facts)))
+    out = ask.risk_responses(targeted, settled(_risk(spark, sf, facts), "risk"), _scope(spark, sf))
+    return out.select("question_id", "intent", F.md5("answer").alias("answer_md5"), F.coalesce(F.size("risk_details"), F.lit(-1)).alias("n_details"), F.coalesce(F.aggregate("risk_details", F.lit(0).cast("long"), lambda n, d: n + d["commit_count"]), F.lit(-1).cast("long")).alias("commits"))
+
+
+def risk_notes(spark, sf):
+    """Notes on the files at high risk among the primaries of a query for every part: its own file and the one it imports."""
+    k = F.col("p_partkey")
+    primary = _parts(spark, sf).select(k.alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("place"), k.alias("file")), F.struct(F.lit(2).alias("place"), F.floor(k / 2).alias("file")))).alias("p")).select("query_id", "p.place", F.format_string("m%d.py", "p.file").alias("file_path"))
+    notes = retrieval.risk_notes(primary, settled(_risk(spark, sf, _facts(spark, sf)), "risk"))
+    return notes.select("query_id", F.array_join("risk_notes", "; ").alias("notes"))
+
+
 def reachable(spark, sf):
     return graph.closure_by_frontier(_edges(spark, sf))
 
@@ -423,7 +440,7 @@ def identifiers_in_context(spark, sf):
     return d.join(b, "token", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions, risk_recomputed, gold_nodes, class_files, chunk_table, definition_lookup, expand_calls, question_targets, reachable, citation_check, citation_totals, stage_rows, odd_identifiers, same_spans, token_sums, failures_by_kind, rates_by_kind, label_errors, flagged_claims)}
+QUERIES = {f.__name__: f for f in (vector_topk, dedupe_then_cut, boost_append, naive_top3, risk_gate, transitive_dependents, line_chunks, reassemble, leftover_lines, token_vocab_antijoin, token_vocabulary, span_overlap, span_containment, gold_reached, mention_coverage, first_mention, nearest_rank_percentile, wilson_by_group, known_unknown_split, call_edges, unresolved_calls, chunk_source, extract_imports, import_graph, file_risk, call_sites, class_ancestors, commit_counts, category_counts, stage_deltas, duplicate_ids, identifiers_in_context, ask_questions, risk_recomputed, gold_nodes, class_files, chunk_table, definition_lookup, expand_calls, question_targets, risk_answers, risk_notes, reachable, citation_check, citation_totals, stage_rows, odd_identifiers, same_spans, token_sums, failures_by_kind, rates_by_kind, label_errors, flagged_claims)}
 
 _HITS = """d AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 12),
@@ -448,6 +465,9 @@ lev AS (SELECT risk.*, CASE WHEN dependents < a THEN 'low' WHEN commits <= b THE
 _NO_NAME, _NO_TYPE = "no function or class of that name is known here", "the receiver''s type isn''t known"
 _SAID = """q AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'how risky is it to change M' || s_suppkey || '.py?' WHEN 1 THEN 'what is the impact of a change?' WHEN 2 THEN 'is C' || s_suppkey || ' dangerous to edit, or m' || (s_suppkey + 1) || '.py?' ELSE 'what does C' || s_suppkey || '.run do, and f' || s_suppkey || '?' END AS said FROM supplier)"""
 
+_TARGETS = """f AS (SELECT id, p_partkey AS k, instr(lower(said), 'm' || p_partkey || '.py') AS x, instr(said, 'C' || p_partkey) AS y FROM q, (SELECT p_partkey + 1 AS p_partkey FROM part) t),
+m AS (SELECT id, k, least(CASE WHEN x > 0 THEN x ELSE 9999 END, CASE WHEN y > 0 THEN y ELSE 9999 END) AS spot FROM f WHERE x > 0 OR y > 0)"""
+_SCORED = """says AS (SELECT k, 'm' || k AS file, commits, risk_level, CASE risk_level WHEN 'high' THEN dependents || ' files depend on it, and with ' || commits || ' commits it is seldom changed' WHEN 'medium' THEN dependents || ' files depend on it, but with ' || commits || ' commits it is changed often' ELSE 'only ' || dependents || ' files depend on it' END AS rationale FROM lev)"""
 _CITED = """l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber * 10 AS a, l_linenumber * 10 + l_quantity::INT AS b, l_quantity <> 7 AND l_linenumber <> 3 AS parsed, l_returnflag <> 'N' AS gold, CASE WHEN l_linenumber = 3 THEN 'see ' ELSE '' END || 'o' || l_orderkey || '.py :: L' || l_linenumber || CASE WHEN l_quantity = 7 THEN '' ELSE ' (lines ' || l_linenumber * 10 || '-' || (l_linenumber * 10 + l_quantity::INT) || ')' END AS citation FROM lineitem),
 g AS (SELECT DISTINCT id, n FROM l WHERE gold), r AS (SELECT l.*, parsed AND g.id IS NOT NULL AS resolves FROM l LEFT JOIN g ON g.id = l.id AND g.n = l.n)"""
 
@@ -505,6 +525,11 @@ UNION ALL SELECT cls || '.__init__', file, 'C' || k, '__init__', 'method', 16, 1
 UNION ALL SELECT file || ':C' || k || ':9:1', file, 'class', 'C' || k, '', 64 FROM k UNION ALL SELECT file || ':f' || k || ':' || (17 + e) || ':2', file, 'function', 'f' || k, '', 64 FROM k""",
     "definition_lookup": f"WITH {_CODE} SELECT file || ':f7:' || (17 + e) || ':2' AS chunk_id, (17 + e)::INT AS start_line, (20 + e)::INT AS end_line FROM k WHERE k = 7",
     "expand_calls": f"""WITH {_CODE} SELECT a.k AS query_id, b.file || ' :: f' || b.k || ' (lines ' || (17 + b.e) || '-' || (20 + b.e) || ')' AS citation, (67 + 3 * length(b.k::VARCHAR))::BIGINT AS n_chars FROM k a JOIN k b ON b.k = a.h""",
+    "risk_answers": f"""WITH {_RISK}, {_SAID}, {_TARGETS}, {_SCORED},
+a AS (SELECT id, string_agg(file || '.py: ' || upper(risk_level) || ' risk -- ' || rationale, chr(10) || chr(10) ORDER BY spot, file) AS answer, count(*) AS n, sum(commits)::BIGINT AS commits FROM m JOIN says ON says.k = m.k GROUP BY id)
+SELECT q.id AS question_id, 'risk_assessment' AS intent, md5(coalesce(answer, 'Which file do you mean? Known are: ' || (SELECT string_agg(file, ', ' ORDER BY file) FROM says))) AS answer_md5, coalesce(n, -1)::INT AS n_details, coalesce(commits, -1) AS commits FROM q LEFT JOIN a ON a.id = q.id WHERE q.id % 4 <> 3""",
+    "risk_notes": f"""WITH {_RISK}, {_SCORED}, u AS (SELECT k AS query_id, 1 AS place, k AS f FROM k UNION ALL SELECT k, 2, h FROM k)
+SELECT query_id, string_agg(file || '.py: ' || rationale, '; ' ORDER BY place) AS notes FROM u JOIN says ON says.k = u.f AND risk_level = 'high' GROUP BY query_id""",
     "question_targets": f"""WITH {_SAID}, f AS (SELECT id, p_partkey AS k, instr(lower(said), 'm' || p_partkey || '.py') AS x, instr(said, 'C' || p_partkey) AS y FROM q, (SELECT p_partkey + 1 AS p_partkey FROM part) p), m AS (SELECT id, k, least(CASE WHEN x > 0 THEN x ELSE 9999 END, CASE WHEN y > 0 THEN y ELSE 9999 END) AS spot FROM f WHERE x > 0 OR y > 0),
 l AS (SELECT id, string_agg('m' || k, ',' ORDER BY spot, 'm' || k) AS files FROM m GROUP BY id) SELECT q.id AS question_id, CASE WHEN q.id % 4 = 3 THEN 'code_explanation' ELSE 'risk_assessment' END AS intent, coalesce(files, '') AS target_files FROM q LEFT JOIN l ON l.id = q.id""",
     "reachable": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation WHERE n_nationkey % 4 = 0), r AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r WHERE src <> dst",
