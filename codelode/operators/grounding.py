@@ -8,45 +8,94 @@ themselves are compared, place by place, and runs of equal ones are the copied s
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.metrics import TOKEN, abstention, identifiers, let, without_note
+from ..functions.metrics import TOKEN, abstention, identifiers, without_note
 
 #: Words of a run that is hashed, and runs of which one is marked; spans of their sum less one are found.
 GRAM, WINDOW = 4, 5
+#: What stands between white space.
+WORD = "[^ \t\n\x0B\f\r]+"
+#: Factor of the runs' hashes; places compared at a time.
+MIX, HELD = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 
 
 def words(text: Column) -> Column:
     """Words between white space."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([^ \t\n\x0B\f\r]+)"), F.lit(1))
-
-
-def marks(held: Column) -> Column:
-    """Distinct (hash, at) of the runs marked in an array of words; at counts from 0. An array shorter than a run has none."""
-    hashed = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - GRAM + 1), lambda k: F.struct(F.xxhash64(F.array_join(F.slice(h, k, GRAM), " ")).alias("hash"), (k - 1).alias("at")))
-    least = lambda r: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - WINDOW + 1, F.lit(1))), lambda k: F.array_min(F.slice(r, k, WINDOW))))
-    return let(held, lambda h: F.when(F.size(h) >= GRAM, let(hashed(h), least)))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def marks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the runs marked in a row of words, which are given as numbers; fewer words than a run have none."""
+    n = len(ids) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashed = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        hashed = (hashed + ids[k : k + n].astype(np.uint64) + np.uint64(1)) * MIX
+        hashed ^= hashed >> np.uint64(29)
+    window = min(WINDOW, n)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(hashed, window).argmin(axis=1) + np.arange(n - window + 1))
+    return hashed[at], at
+
+
+def shared_spans(a: np.ndarray, c: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in a, words, first place in c) of the longest equal spans of at least ``GRAM + WINDOW - 1`` words, places from 0."""
+    (mine, at), (theirs, there) = marks(a), marks(c)
+    order = np.argsort(mine, kind="stable")
+    low, high = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
+    met = np.repeat(np.arange(len(theirs)), high - low)
+    inside = np.arange(len(met)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    shifts = np.unique(there[met] - at[order[low[met] + inside]])
+    found: dict[tuple[int, int], int] = {}
+    step = max(1, HELD // max(1, len(a)))
+    for k in range(0, len(shifts), step):
+        part = shifts[k : k + step]
+        to = part[:, None] + np.arange(len(a))
+        equal = np.zeros((len(part), len(a) + 2), np.int8)
+        equal[:, 1:-1] = ((to >= 0) & (to < len(c))) & (c[np.clip(to, 0, len(c) - 1)] == a)
+        change = np.diff(equal, axis=1)
+        row, begin = np.nonzero(change == 1)
+        end = np.nonzero(change == -1)[1]
+        for r, i, j in zip(row, begin, end):
+            if j - i >= GRAM + WINDOW - 1:
+                key = (int(i), int(j - i))
+                found[key] = min(found.get(key, 1 << 62), int(i + part[r]))
+    return [(i, n, c) for (i, n), c in found.items()]
 
 
 def copied_spans(answers: DataFrame) -> DataFrame:
     """(id, span, place, n, context_place) of the longest spans of at least ``GRAM + WINDOW - 1`` words that an answer shares with its own context.
 
-    Places count words from 1; a span that lies at several places of the context has the first. answers: id, answer, context.
+    Places count words from 1; a span that lies at several places of the context has the first. answers: id, answer,
+    context. An answer and its context are a row, so nothing is exchanged; words that the answer doesn't hold are all one.
     """
-    held = answers.select("id", words(without_note(F.col("answer"))).alias("a"), words(F.col("context")).alias("c"))
-    marked = lambda side: held.select("id", F.inline(marks(F.col(side)))).withColumnRenamed("at", side)
-    shifts = marked("a").join(marked("c"), ["id", "hash"]).select("id", (F.col("c") - F.col("a")).alias("shift")).distinct()
-    said = held.select("id", F.posexplode("a").alias("at", "word"))
-    told = held.join(shifts.select("id").distinct(), "id", "left_semi").select("id", F.posexplode("c").alias("there", "word"))
-    placed = shifts.join(said, "id").withColumn("there", F.col("at") + F.col("shift"))
-    same = placed.join(told, ["id", "there", "word"])
-    run = F.col("at") - F.row_number().over(Window.partitionBy("id", "shift").orderBy("at"))
-    spans = same.withColumn("run", run).groupBy("id", "shift", "run").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= GRAM + WINDOW - 1)
-    once = spans.groupBy("id", "at", "n").agg(F.min(F.col("at") + F.col("shift") + 1).alias("context_place"))
-    span = F.array_join(F.slice("a", F.col("at") + 1, F.col("n").cast("int")), " ")
-    return once.join(held.select("id", "a"), "id").select("id", span.alias("span"), (F.col("at") + 1).alias("place"), "n", "context_place")
+    kind = answers.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, answer, context in zip(*(c.to_pylist() for c in batch.columns)):
+                said = re.findall(WORD, answer or "")
+                if len(said) < GRAM + WINDOW - 1:
+                    continue
+                number = {w: k for k, w in enumerate(dict.fromkeys(said), 1)}
+                a = np.array([number[w] for w in said])
+                c = np.array([number.get(w, 0) for w in re.findall(WORD, context or "")], dtype=np.int64)
+                if len(c) >= GRAM + WINDOW - 1:
+                    rows += [(i, " ".join(said[at : at + n]), at + 1, n, there + 1) for at, n, there in shared_spans(a, c)]
+            if rows:
+                ids, *columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64())))], names=["id", "span", "place", "n", "context_place"])
+
+    read = answers.select("id", without_note(F.col("answer")).alias("answer"), "context")
+    return read.mapInArrow(run, f"id {kind}, span string, place long, n long, context_place long")
 
 
 def named(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:

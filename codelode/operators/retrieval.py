@@ -38,30 +38,35 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K * OVERFET
 
         def run(batches):
             names, wanted = sent.value
-            best: dict[int, list[tuple]] = {}
+            best: dict[int, tuple] = {}
             for batch in batches:
                 kept = batch.filter(batch.column(1).is_valid())
-                ids, arrays = kept.column(0).to_pylist(), kept.column(1)
+                ids, arrays = kept.column(0).to_numpy(zero_copy_only=False), kept.column(1)
                 sizes = np.diff(arrays.offsets.to_numpy())
                 values = arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 starts = np.cumsum(sizes) - sizes
                 for dim in {len(q) for q in wanted}:
-                    own = np.flatnonzero(sizes == dim)
-                    if not len(own):
-                        continue
-                    matrix = values[starts[own][:, None] + np.arange(dim)]
-                    for at in range(0, len(own), max(1, HELD // max(1, dim))):
-                        part = matrix[at : at + max(1, HELD // max(1, dim))]
-                        for j, q in enumerate(wanted):
-                            if len(q) == dim:
-                                d = ((part - q) ** 2).sum(axis=1)
-                                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                                found = best.get(j, []) + [(float(d[i]), ids[own[at + i]]) for i in near.tolist()]
-                                best[j] = sorted(found)[:k]
-            rows = [(names[j], i, d) for j, found in best.items() for d, i in found]
-            if rows:
-                a, b, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], names=[query_id, id_col, "distance"])
+                    own, asking = np.flatnonzero(sizes == dim), [j for j, q in enumerate(wanted) if len(q) == dim]
+                    matrix, q = values[starts[own][:, None] + np.arange(dim)], np.stack([wanted[j] for j in asking])
+                    step = max(1, HELD // max(len(asking), dim, 1))
+                    for at in range(0, len(own), step):
+                        part = matrix[at : at + step]
+                        # One product for all queries leaves the few that can be among the k best; these are measured exactly.
+                        norms = (part * part).sum(axis=1), (q * q).sum(axis=1)
+                        rough = norms[1][:, None] + norms[0] - 2 * (q @ part.T)
+                        slack = 1e-12 * (norms[1] + norms[0].max(initial=0))
+                        last = min(k, len(part)) - 1
+                        limit = np.partition(rough, last, axis=1)[:, last] if len(part) else slack
+                        for i, j in enumerate(asking):
+                            near = np.flatnonzero(rough[i] <= limit[i] + 4 * slack[i])
+                            d, found = ((part[near] - q[i]) ** 2).sum(axis=1), ids[own[at + near]]
+                            if j in best:
+                                d, found = np.r_[best[j][0], d], np.r_[best[j][1], found]
+                            order = np.lexsort([found, d])[:k]
+                            best[j] = d[order], found[order]
+            for j, (d, found) in best.items():
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(d)), pa.array(found), pa.array(d, pa.float64())], names=[query_id, id_col, "distance"])
 
         return vectors.select(id_col, column).mapInArrow(run, schema)
 
