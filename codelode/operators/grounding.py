@@ -104,13 +104,25 @@ def named(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ``grounded``: in the answer's context; ``outside``: only in the vocabulary; ``fabricated``: in neither or in the
     context alone, which the vocabulary should hold. Places count tokens from 1, each the first.
     """
-    body = without_note(F.col("answer"))
-    all_tokens = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-    read = answers.select("id", all_tokens(body).alias("said"), all_tokens(F.col("context")).alias("held"), F.explode(identifiers(F.col("answer"))).alias("token"))
-    placed = read.select("id", "token", F.array_position("said", F.col("token")).alias("place"), F.nullif(F.array_position("held", F.col("token")), F.lit(0).cast("long")).alias("context_place"))
-    known = placed.join(vocabulary.select("token").distinct().withColumn("known", F.lit(True)), "token", "left")
-    kind = F.when(F.col("known").isNull(), "fabricated").when(F.col("context_place").isNull(), "outside").otherwise("grounded")
-    return known.select("id", kind.alias("kind"), F.col("token").alias("span"), "place", "context_place")
+    kind = answers.schema["id"].dataType.simpleString()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, body, tokens, context in zip(*(c.to_pylist() for c in batch.columns)):
+                said, text = re.findall(TOKEN, body or "") if tokens else [], context or ""
+                # Most names are nowhere in the text; only if one may be, its tokens are looked through.
+                held = re.findall(TOKEN, text) if any(t in text for t in tokens or ()) else []
+                rows += [(i, t, said.index(t) + 1, held.index(t) + 1 if t in held else None) for t in tokens or ()]
+            if rows:
+                ids, tokens, places, there = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(tokens, pa.string()), pa.array(places, pa.int64()), pa.array(there, pa.int64())], names=["id", "token", "place", "context_place"])
+
+    read = answers.select("id", without_note(F.col("answer")).alias("body"), identifiers(F.col("answer")).alias("tokens"), "context")
+    places = read.mapInArrow(placed, f"id {kind}, token string, place long, context_place long")
+    known = places.join(vocabulary.select("token").distinct().withColumn("known", F.lit(True)), "token", "left")
+    kinds = F.when(F.col("known").isNull(), "fabricated").when(F.col("context_place").isNull(), "outside").otherwise("grounded")
+    return known.select("id", kinds.alias("kind"), F.col("token").alias("span"), "place", "context_place")
 
 
 def grounding(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:

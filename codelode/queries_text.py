@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import grounding
-from .operators.shared import new_path
+from .operators.shared import new_path, settled
 from .plans import model_calls
 from .sources import code, commits
 
@@ -44,12 +44,12 @@ def _known(spark, sf):
 
 
 def answer_grounding(spark, sf):
-    found = grounding.grounding(_answers(spark, sf), _known(spark, sf))
+    found = grounding.grounding(settled(_answers(spark, sf), "answers"), _known(spark, sf))
     return found.select("id", "kind", F.md5("span").alias("span_md5"), "place", "n", "context_place")
 
 
 def grounded_share(spark, sf):
-    answers = _answers(spark, sf)
+    answers = settled(_answers(spark, sf), "answers")
     found = grounding.grounded_share(grounding.grounding(answers, _known(spark, sf)), answers)
     return found.select("id", "n_words", "copied_words", F.round("share", 6).alias("share"), F.col("abstains").cast("int").alias("abstains"))
 
