@@ -27,8 +27,10 @@ SAMPLE = 65_536
 WORDS, TURNS = 256, 12
 #: Most cells.
 MOST_CELLS = 4_096
-#: Queries of one pass; distances that a task holds at a time.
-QUERY_BLOCK, HELD = 1_024, 1 << 20
+#: Queries of one pass.
+QUERY_BLOCK = 1_024
+#: Queries whose code tables for a cell are made together; vectors of a file of a cell, about.
+ASKED, FILE_ROWS = 32, 1_000_000
 
 
 class VectorIndex(NamedTuple):
@@ -128,7 +130,7 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, parts: int =
 
     kind = rows.schema["id"].dataType.simpleString()
     coded = rows.mapInArrow(encode, f"cell int, id {kind}, codes binary, embedding array<double>, far double")
-    coded.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell").write.partitionBy("cell").mode("overwrite").parquet(f"{path}/vectors")
+    coded.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(-(-n // FILE_ROWS)))).sortWithinPartitions("cell").write.partitionBy("cell").mode("overwrite").parquet(f"{path}/vectors")
     reach = {r[0]: r[1] for r in spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.max("far")).collect()}
     radii = np.array([reach.get(c, 0.0) for c in range(len(centres))])
     meta = [("centre", c, -1, v.tolist(), float(radii[c])) for c, v in enumerate(centres)] + [("word", p, w, books[p, w].tolist(), 0.0) for p in range(parts) for w in range(WORDS)]
@@ -171,16 +173,18 @@ def _scan(names: list, wanted: np.ndarray, allowed: np.ndarray, index: VectorInd
                     continue
                 own = np.flatnonzero(cell == c)
                 rows = batch.take(pa.array(own))
-                if measured:
-                    x = _matrix(rows.column("embedding"))
-                    for j in asking:
-                        _best(found, j, ((x - wanted[j]) ** 2).sum(axis=1), ids[own], k)
-                    continue
-                codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(own), parts)
-                for j in asking:
-                    rest = (wanted[j] - index.centres[c]).reshape(parts, 1, width)
-                    table = ((index.books - rest) ** 2).sum(axis=2)
-                    _best(found, j, table[np.arange(parts), codes].sum(axis=1), ids[own], k)
+                x = _matrix(rows.column("embedding")) if measured else None
+                codes = None if measured else np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(own), parts)
+                for at in range(0, len(asking), ASKED):
+                    some = asking[at : at + ASKED]
+                    if measured:
+                        distances = np.stack([((x - q) ** 2).sum(axis=1) for q in wanted[some]])
+                    else:
+                        rest = (wanted[some] - index.centres[c]).reshape(len(some), parts, 1, width)
+                        tables = ((index.books - rest) ** 2).sum(axis=3)
+                        distances = tables[:, np.arange(parts), codes].sum(axis=2)
+                    for j, d in zip(some.tolist(), distances):
+                        _best(found, j, d, ids[own], k)
         for j, (distances, ids) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(ids), pa.int64()), pa.array(ids), pa.array(distances)], names=["query_id", "id", "distance"])
 
