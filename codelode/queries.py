@@ -8,7 +8,7 @@ from . import queries_evaluation, queries_graph, queries_text, queries_vectors
 from .functions import metrics as M
 from .functions import parse
 from .operators import evaluate, graph, retrieval
-from .operators.shared import settled
+from .operators.shared import settled, spread
 from .plans import ask
 from .sources import code
 
@@ -190,8 +190,8 @@ def _source():
 
 
 def _files(spark, sf):
-    """A code base with a file for every part."""
-    part = _parts(spark, sf)
+    """A code base with a file for every part, its files dealt out to all cores before they are parsed."""
+    part = spread(_parts(spark, sf), "p_partkey")
     return part.select(F.format_string("m%d.py", "p_partkey").alias("file_path"), _source().alias("source"), "p_partkey")
 
 
