@@ -34,7 +34,7 @@ def extract_targets(questions: DataFrame, scope: DataFrame, class_files: DataFra
     bare = F.expr("trim(LEADING '_' FROM stem)")
     forms = scope.select("stem", F.lower("stem").alias("form"), F.lit(False).alias("exact"))
     generic = scope.select("stem", F.concat(F.lower(bare), F.lit(".py")).alias("form"), F.lit(False).alias("exact"))
-    named = class_files.join(scope.select("stem"), "stem", "left_semi").select("stem", F.col("class_name").alias("form"), F.lit(True).alias("exact"))
+    named = class_files.join(scope.select("stem").hint("merge"), "stem", "left_semi").select("stem", F.col("class_name").alias("form"), F.lit(True).alias("exact"))
     underscored = forms.filter(F.col("form").startswith("_"))
     whole = scope.filter(~F.col("stem").startswith("_")).select("stem", F.concat(F.lower("stem"), F.lit(".py")).alias("form"), F.lit(False).alias("exact"))
     vocabulary = underscored.unionByName(generic).unionByName(whole).unionByName(named).distinct()
@@ -44,7 +44,8 @@ def extract_targets(questions: DataFrame, scope: DataFrame, class_files: DataFra
     places = each.filter("said <> ''").select("question_id", "exact", "said", F.explode(F.sequence(F.lit(1), F.length("said"))).alias("at"))
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("said") - F.col("at") + 1))).alias("size")
     places = places.select("*", sizes).select("question_id", "exact", "said", "at", F.substring("said", F.col("at"), F.col("size")).alias("gram"))
-    met = places.join(keyed, ["exact", "gram"]).filter(F.substring("said", F.col("at"), F.length("form")) == F.col("form"))
+    # Both sides grow with their tables, and places are many more rows than questions suggest: neither is sent whole.
+    met = places.join(keyed.hint("merge"), ["exact", "gram"]).filter(F.substring("said", F.col("at"), F.length("form")) == F.col("form"))
     first = met.groupBy("question_id", "stem").agg(F.min("at").alias("at"))
     listed = first.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("target_files"))
     return questions.join(listed, "question_id", "left").withColumn("target_files", F.coalesce("target_files", F.array().cast("array<string>")))
@@ -55,25 +56,42 @@ def known_unknown(df: DataFrame, names: str, known: Column) -> DataFrame:
 
 
 RESPONSE = "question_id, intent, answer, citations, risk_details"
+#: What responses say of an answer, by column: its whole text. Digests or sizes instead are computed once a text.
+WHOLE: dict[str, Callable[[Column], Column]] = {"answer": lambda text: text}
 
 
-def risk_responses(questions: DataFrame, risk: DataFrame, scope: DataFrame) -> DataFrame:
-    """Responses to risk questions: ask back without a file, suggest if none is known, else a line a file and a note on unknown ones."""
+def _detail(risk: DataFrame) -> Column:
+    """A file's scores as one value; scores without lists of dependents have none here either."""
+    return F.struct(*(c for c in ("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale") if c in risk.columns))
+
+
+def risk_responses(questions: DataFrame, risk: DataFrame, scope: DataFrame, told: dict[str, Callable[[Column], Column]] = WHOLE) -> DataFrame:
+    """Responses to risk questions: ask back without a file, suggest if none is known, else a line a file and a note on unknown ones.
+
+    Answers that end with all names of the scope are put together once for each way they begin, not once a question.
+    """
     files = questions.select("question_id", F.posexplode("target_files").alias("at", "file"))
-    detail = F.struct("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale")
     line = F.concat("file", F.lit(".py: "), F.upper("risk_level"), F.lit(" risk -- "), "rationale")
-    known = files.join(risk, "file").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"), detail.alias("d")))).alias("found"))
-    odd = files.join(risk.select("file"), "file", "left_anti").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("odd"))
-    all_files = scope.agg(F.array_join(F.sort_array(F.collect_list("stem")), ", ")).scalar()  # the names of the scope, given by the user
-    wide = questions.join(known, "question_id", "left").join(odd, "question_id", "left")
+    known = files.join(risk.hint("merge"), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line"), _detail(risk).alias("d")))).alias("found"))
+    odd = files.join(risk.select("file").hint("merge"), "file", "left_anti").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("odd"))
+    wide = questions.join(known.hint("merge"), "question_id", "left").join(odd.hint("merge"), "question_id", "left")
     note = F.when(F.col("odd").isNotNull(), F.concat(F.lit("\n\nNote: not known: "), F.array_join("odd", ", "))).otherwise("")
-    answer = (
-        F.when(F.size("target_files") == 0, F.concat(F.lit("Which file do you mean? Known are: "), all_files))
-        .when(F.col("found").isNull(), F.concat(F.array_join("odd", ", "), F.lit(" isn't known. Known are: "), all_files))
+    begins = (
+        F.when(F.size("target_files") == 0, F.lit("Which file do you mean? Known are: "))
+        .when(F.col("found").isNull(), F.concat(F.array_join("odd", ", "), F.lit(" isn't known. Known are: ")))
         .otherwise(F.concat(F.array_join(F.transform("found", lambda x: x["line"]), "\n\n"), note))
     )
     details = F.when(F.col("found").isNotNull(), F.transform("found", lambda x: x["d"]))
-    return wide.select("question_id", F.lit("risk_assessment").alias("intent"), answer.alias("answer"), F.array().cast("array<string>").alias("citations"), details.alias("risk_details"))
+    held = settled(wide.select("question_id", begins.alias("begins"), (F.size("target_files") == 0).alias("asks"), details.alias("risk_details")), "responses")
+    lists = F.col("asks") | F.col("risk_details").isNull()
+    names = scope.agg(F.array_join(F.sort_array(F.collect_list("stem")), ", ").alias("names"))
+    texts = held.filter(lists).select("begins").distinct().coalesce(1).hint("shuffle_replicate_nl").crossJoin(names)
+    ends = texts.select("begins", *(say(F.concat("begins", "names")).alias(c) for c, say in told.items()))
+    if told is not WHOLE:
+        ends = settled(ends, "answers")
+    asked = held.filter(lists).join(ends.hint("merge"), "begins").select("question_id", *told, "risk_details")
+    plain = held.filter(~lists).select("question_id", *(say(F.col("begins")).alias(c) for c, say in told.items()), "risk_details")
+    return asked.unionByName(plain).select("question_id", F.lit("risk_assessment").alias("intent"), *told, F.array().cast("array<string>").alias("citations"), "risk_details")
 
 
 def outline(question: Column, context: Column) -> Column:
@@ -116,8 +134,7 @@ def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Colu
     contexts = retrieval.context_text(retrieval.cited(held), "question_id")
     notes = retrieval.risk_notes(held.filter("section = 0"), code.risk, "question_id")
     details = held.filter("section = 0").select("question_id", F.replace(F.regexp_replace("file_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("file")).distinct()
-    detail = F.struct("file", "dependents", "dependent_files", "commit_count", "risk_level", "rationale")
-    found = details.join(code.risk.filter("risk_level = 'high'"), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(detail)).alias("high"))
+    found = details.join(code.risk.filter("risk_level = 'high'"), "file").groupBy("question_id").agg(F.array_sort(F.collect_list(_detail(code.risk))).alias("high"))
     calls = None
     if model is not None:
         prompt = F.concat(F.lit(PROMPT), F.col("question"), F.lit("\n\n"), F.coalesce("context", F.lit("")))
@@ -129,12 +146,17 @@ def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Colu
     return out if calls is None else out.join(calls.select("question_id", "attempts", "fell_back", "error_code"), "question_id")
 
 
-def ask(questions: DataFrame, code: CodeBase, classify: Callable[[Column], Column] = classify, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline, model: Model | None = None) -> DataFrame:
+def ask(questions: DataFrame, code: CodeBase, classify: Callable[[Column], Column] = classify, embed: Callable[[Column], Column] = hashed_embedding, generate: Callable[[Column, Column], Column] = outline, model: Model | None = None, told: dict[str, Callable[[Column], Column]] = WHOLE) -> DataFrame:
     """(question_id, intent, answer, citations, risk_details) of every question (question_id, question), with a model also (attempts, fell_back, error_code).
 
     Questions about risk are answered from the scores, others from retrieved code. ``risk_details`` is null if nothing
-    was looked up and empty if the files that were looked at are at no high risk.
+    was looked up and empty if the files that were looked at are at no high risk. ``told`` replaces the answer by columns
+    made of it.
     """
     risky, other = routed(questions, classify)
     targeted = extract_targets(risky, code.scope, code.class_files)
-    return risk_responses(targeted, code.risk, code.scope).unionByName(explain(other, code, embed, generate, model), allowMissingColumns=True)
+    explained = explain(other, code, embed, generate, model)
+    if told is not WHOLE:
+        explained = explained.withColumns({c: say(F.col("answer")) for c, say in told.items()})
+        explained = explained if "answer" in told else explained.drop("answer")
+    return risk_responses(targeted, code.risk, code.scope, told).unionByName(explained, allowMissingColumns=True)

@@ -237,6 +237,12 @@ def _risk(spark, sf, facts):
     return graph.risk_scores(graph.import_edges(parse.imports(facts), scope), scope, _commits(spark, sf))
 
 
+def _risk_lines(spark, sf, facts):
+    """The scores without lists of dependents, which answers and notes don't hold."""
+    scope = _scope(spark, sf)
+    return settled(graph.risk_lines(graph.import_edges(parse.imports(facts), scope), scope, _commits(spark, sf)), "risk")
+
+
 def file_risk(spark, sf):
     r = _risk(spark, sf, _facts(spark, sf))
     return r.select("file", F.col("dependents").cast("long").alias("dependents"), F.array_join("dependent_files", ",").alias("dependent_files"), "commit_count", "risk_level", "rationale")
@@ -306,9 +312,9 @@ def question_targets(spark, sf):
 def ask_questions(spark, sf):
     """A question for every supplier about the code base, answered from its risk scores or from its code."""
     facts = _facts(spark, sf)
-    base = ask.CodeBase(_scope(spark, sf), settled(_risk(spark, sf, facts), "risk"), graph.class_to_file(parse.classes(facts)), _index(spark, sf), settled(_call_graph(facts)[0], "calls"))
-    out = ask.ask(_questions(spark, sf), base)
-    return out.select("question_id", "intent", F.md5("answer").alias("answer_md5"), F.length("answer").alias("answer_chars"), F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
+    base = ask.CodeBase(_scope(spark, sf), _risk_lines(spark, sf, facts), graph.class_to_file(parse.classes(facts)), _index(spark, sf), settled(_call_graph(facts)[0], "calls"))
+    out = ask.ask(_questions(spark, sf), base, told={"answer_md5": F.md5, "answer_chars": F.length})
+    return out.select("question_id", "intent", "answer_md5", "answer_chars", F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
 
 
 def risk_answers(spark, sf):
@@ -316,15 +322,15 @@ def risk_answers(spark, sf):
     facts = _facts(spark, sf)
     risky, _ = ask.routed(_questions(spark, sf))
     targeted = ask.extract_targets(risky, _scope(spark, sf), graph.class_to_file(parse.classes(facts)))
-    out = ask.risk_responses(targeted, settled(_risk(spark, sf, facts), "risk"), _scope(spark, sf))
-    return out.select("question_id", "intent", F.md5("answer").alias("answer_md5"), F.coalesce(F.size("risk_details"), F.lit(-1)).alias("n_details"), F.coalesce(F.aggregate("risk_details", F.lit(0).cast("long"), lambda n, d: n + d["commit_count"]), F.lit(-1).cast("long")).alias("commits"))
+    out = ask.risk_responses(targeted, _risk_lines(spark, sf, facts), _scope(spark, sf), told={"answer_md5": F.md5})
+    return out.select("question_id", "intent", "answer_md5", F.coalesce(F.size("risk_details"), F.lit(-1)).alias("n_details"), F.coalesce(F.aggregate("risk_details", F.lit(0).cast("long"), lambda n, d: n + d["commit_count"]), F.lit(-1).cast("long")).alias("commits"))
 
 
 def risk_notes(spark, sf):
     """Notes on the files at high risk among the primaries of a query for every part: its own file and the one it imports."""
     k = F.col("p_partkey")
     primary = _parts(spark, sf).select(k.alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("place"), k.alias("file")), F.struct(F.lit(2).alias("place"), F.floor(k / 2).alias("file")))).alias("p")).select("query_id", "p.place", F.format_string("m%d.py", "p.file").alias("file_path"))
-    notes = retrieval.risk_notes(primary, settled(_risk(spark, sf, _facts(spark, sf)), "risk"))
+    notes = retrieval.risk_notes(primary, _risk_lines(spark, sf, _facts(spark, sf)))
     return notes.select("query_id", F.array_join("risk_notes", "; ").alias("notes"))
 
 

@@ -56,7 +56,7 @@ def commit_counts(commits: DataFrame, scope: DataFrame, root: str = "") -> DataF
     """
     own = commits.filter(F.col("path").startswith(root) & F.col("path").endswith(".py"))
     counted = own.groupBy(module_of(F.expr(f"substring(path, {len(root) + 1})")).alias("stem")).agg(F.count_distinct("sha").alias("commit_count"))
-    return scope.join(counted, "stem", "left").select("stem", F.coalesce("commit_count", F.lit(0)).alias("commit_count"))
+    return scope.join(counted.hint("merge"), "stem", "left").select("stem", F.coalesce("commit_count", F.lit(0)).alias("commit_count"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
