@@ -116,3 +116,19 @@ def test_odd_texts_have_zero_vectors(spark):
     assert not got[1].any() and not got[2].any() and abs(np.linalg.norm(got[3]) - 1) < 1e-9 and set(got) == {1, 2, 3, 4, None}
     none = embedding.learn(docs.limit(0), dims=4)
     assert none.terms == [] and not np.array(embedding.embed(docs.filter("id = 3"), none).first().embedding).any()
+
+
+def test_texts_and_terms_are_taken_in_slices(monkeypatch):
+    """What a task holds follows no batch's number of rows; a row beyond the limit is one alone, none is lost."""
+    import numpy as np
+    import pyarrow as pa
+
+    from codelode.operators import embedding
+
+    texts = ["a" * 10, None, "b" * 500, "", "c" * 60, "d" * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(embedding, "STEP_BYTES", 100)
+    parts = list(embedding._texts([batch]))
+    assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(6))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100 for p in parts)
+    assert list(embedding.slices(batch.slice(0, 0), np.zeros(0), 5)) == []
