@@ -11,7 +11,8 @@ much. ``drop_repeated_passages`` therefore looks at windows as well: from each l
 that hold ``LONG_WORDS`` words, and likewise up to each line. A passage of at least that many words that occurs twice
 is covered, line by line, by such windows inside it, whatever stands around it: a line is either in the window that
 starts with the passage or at the end of one. So the lines of repeated windows are those of the maximal repeated
-passages. There chunks and windows are told apart by 128-bit BLAKE2b digests of their lines.
+passages. There chunks and windows are grouped by 128-bit BLAKE2b digests of their lines, and what a digest would have
+removed is compared by its bytes before it goes: two texts with one digest are an error.
 """
 
 from __future__ import annotations
@@ -143,11 +144,25 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
 
 
+def _shared_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines themselves of spans whose digests are shared, each once in a step."""
+    for batch in steps(batches):
+        found = {}
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            lines, marked = spans(text)
+            wanted = set(wanted)
+            for a, b, d in marked:
+                if d in wanted:
+                    found[d, "\n".join(lines[a:b])] = None
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([t for _, t in found], pa.string())], names=["digest", "lines"])
+
+
 def _without(text: str, drop: set[bytes]) -> tuple[str, int]:
     lines, found = spans(text)
-    gone, ends = bytearray(len(lines)), {}
+    gone, met = bytearray(len(lines)), {}
     for a, b, d in found:
-        if d in drop or ends.setdefault(d, b) <= a:
+        x, y = met.setdefault(d, (a, b))
+        if d in drop or (y <= a and lines[x:y] == lines[a:b]):
             gone[a:b] = b"\1" * (b - a)
     return "\n".join(line for line, g in zip(lines, gone) if not g), sum(gone)
 
@@ -168,8 +183,12 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts_of(docs, id_col, text_col)
     held = staged(rows.filter("doc_id IS NOT NULL").mapInArrow(lean(_spans), "doc_id long, digest binary"), "spans")
     shared = staged(held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"), "shared")
-    drops = held.join(shared.hint("merge"), "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("drops"))
-    drops = staged(drops, "drops")
+    met = held.join(shared.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("wanted"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("digest"))).alias("drops"))
+    met = staged(met, "drops")
     discard(held)
     discard(shared)
+    alike = rows.join(met.select("doc_id", "wanted").hint("merge"), "doc_id").select("text", "wanted").mapInArrow(lean(_shared_bytes), "digest binary, lines string")
+    if not alike.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").isEmpty():
+        raise RuntimeError("two different chunks or windows have one 128-bit digest")
+    drops = met.filter(F.size("drops") > 0).select("doc_id", "drops")
     return rows.join(drops.hint("merge"), "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(lean(_rewrite_lines), "doc_id long, text string, removed_lines long")

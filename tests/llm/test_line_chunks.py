@@ -108,3 +108,22 @@ def test_passages_of_odd_rows(spark):
     lines = rows[-1][1].split("\n")
     assert got(drop_repeated_passages(docs_of(spark, rows, WIDE))) == sorted([("None", passage, 0), ("None", passage, 12), ("1", "", 0), ("2", "", 0), ("3", "\n\n\n", 0), ("3", "\n\n\n", 0), ("4", passage, 0), ("4", passage, 0), ("5", "\n".join(lines[:5] + ["end"]), 15)])
     assert drop_repeated_passages(docs_of(spark, [])).collect() == []
+
+
+def test_repeated_passages_are_compared_by_bytes():
+    """Two different passages that share a digest, made here by a weak one, come out with their bytes apart."""
+    from codelode.llm import line_chunks as lc
+
+    first, second = (" ".join(f"{w}{k}" for k in range(60)) for w in ("one", "two"))
+    step = list(lc._shared_bytes([lc.pa.RecordBatch.from_arrays([lc.pa.array([first, "x\n" + first]), lc.pa.array([[lc.spans(first)[1][0][2]]] * 2)], names=["text", "wanted"])]))
+    assert [b.column("lines").to_pylist() for b in step] == [[first]]
+
+    strong = lc.spans
+    weak = lambda text: (strong(text)[0], [(a, b, b"same") for a, b, _ in strong(text)[1]])
+    lc.spans = weak
+    try:
+        batch = lc.pa.RecordBatch.from_arrays([lc.pa.array([first, second]), lc.pa.array([[b"same"]] * 2)], names=["text", "wanted"])
+        rows = [r for b in lc._shared_bytes([batch]) for r in zip(b.column("digest").to_pylist(), b.column("lines").to_pylist())]
+    finally:
+        lc.spans = strong
+    assert sorted(t for _, t in rows) == sorted([first, second])
