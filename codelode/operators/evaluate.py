@@ -70,11 +70,12 @@ def odd_identifiers(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, identifier, kind) of what answers name without ground. answers: id, answer, context; vocabulary: token.
 
     ``fabricated``: not in the vocabulary; ``outside``: in the vocabulary, but not in the answer's context.
+    The vocabulary grows with the code base, so it is exchanged and sorted, not held whole by each executor.
     """
     named = answers.select("id", F.explode(identifiers(F.col("answer"))).alias("token"))
     held = answers.select("id", F.explode(tokens(F.col("context"))).alias("token"))
-    fabricated = named.join(vocabulary, "token", "left_anti").withColumn("kind", F.lit("fabricated"))
-    outside = named.join(held, ["id", "token"], "left_anti").join(vocabulary, "token", "left_semi").withColumn("kind", F.lit("outside"))
+    fabricated = named.join(vocabulary.hint("merge"), "token", "left_anti").withColumn("kind", F.lit("fabricated"))
+    outside = named.join(held, ["id", "token"], "left_anti").join(vocabulary.hint("merge"), "token", "left_semi").withColumn("kind", F.lit("outside"))
     return fabricated.unionByName(outside).select("id", F.col("token").alias("identifier"), "kind")
 
 

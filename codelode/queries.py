@@ -369,7 +369,7 @@ def stage_rows(spark, sf):
 def odd_identifiers(spark, sf):
     """Answers with names made from part keys, against a vocabulary of every second one."""
     k = F.col("p_partkey")
-    p = _t(spark, sf, "part")
+    p = spread(_t(spark, sf, "part").select("p_partkey"), "p_partkey")
     answer = F.concat(F.format_string("`C%d.run` calls helper_%d and BaseThing%d with MAX_SIZE, foo_Bar, BaseX or `ab`", k, k % 7, k % 3), F.lit("\n\nNote: hidden_name"))
     answers = p.select(k.alias("id"), answer.alias("answer"), F.format_string("class C%d uses helper_1, BaseThing1", k).alias("context"))
     fixed = F.explode(F.array(*map(F.lit, ["run", "MAX_SIZE", *(f"helper_{j}" for j in range(5)), "BaseThing0", "BaseThing1"])))

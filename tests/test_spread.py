@@ -30,3 +30,12 @@ def test_depths_of_paths_and_cycles(spark):
             seen |= at
     got = graph.closure(spark.createDataFrame(pairs, "src int, dst int"))
     assert {(x.src, x.dst): x.depth for x in got.collect()} == want
+
+
+def test_no_vocabulary_is_sent_whole(spark):
+    from codelode.operators import evaluate
+
+    answers = spark.createDataFrame([(1, "`known_name` and `other_name`", "known_name")], "id long, answer string, context string")
+    out = evaluate.odd_identifiers(answers, spark.createDataFrame([("known_name",)], "token string"))
+    assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.collect() == [(1, "other_name", "fabricated")]
