@@ -47,3 +47,21 @@ def test_more_nodes_than_a_bitmap_holds(spark):
     edges = leaves.unionByName(spark.createDataFrame([("hub", "base"), ("base", "core")], "src string, dst string"))
     scope = spark.createDataFrame([("hub",), ("base",), ("core",), ("f7",)], "stem string")
     assert {r.stem: r.dependents for r in graph.dependent_counts(edges, scope).collect()} == {"hub": 70_000, "base": 70_001, "core": 70_002, "f7": 0}
+
+
+def test_few_dependents_take_few_bytes(spark, monkeypatch):
+    """What is kept between rounds has no row for which there is no pair, and none of kilobytes."""
+    kept = []
+    settled = graph.settled
+
+    def record(df, label="settled"):
+        out = settled(df, label)
+        if label in ("bits", "bitmaps"):
+            kept.append((out.count(), {f.dataType.simpleString() for f in out.schema.fields}))
+        return out
+
+    monkeypatch.setattr(graph, "settled", record)
+    edges = spark.createDataFrame([(f"m{k}", f"m{k + 1}") for k in range(0, 60, 3)] + [(f"m{k}", f"m{k + 2}") for k in range(0, 60, 3)] + [("m1", "m61")], "src string, dst string")
+    scope = spark.createDataFrame([("m0",), ("m1",), ("m61",)], "stem string")
+    assert {r.stem: r.dependents for r in graph.dependent_counts(edges, scope).collect()} == {"m0": 0, "m1": 1, "m61": 2}
+    assert kept and all("binary" not in kinds for _, kinds in kept) and kept[-1][0] <= 42
