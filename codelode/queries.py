@@ -195,8 +195,9 @@ def _files(spark, sf):
     return part.select(F.format_string("m%d.py", "p_partkey").alias("file_path"), _source().alias("source"), "p_partkey")
 
 
-def _facts(spark, sf):
-    return settled(parse.facts(_files(spark, sf)), "facts")
+def _facts(spark, sf, *kinds):
+    """What the files of the code base say, of all kinds or of those that a query reads."""
+    return settled(parse.facts(_files(spark, sf), kinds=kinds or parse.FACTS), "facts")
 
 
 def _scope(spark, sf):
@@ -220,11 +221,11 @@ def chunk_source(spark, sf):
 
 
 def extract_imports(spark, sf):
-    return parse.imports(_facts(spark, sf)).select("stem", F.col("seq").cast("long").alias("seq"), "module")
+    return parse.imports(_facts(spark, sf, "import")).select("stem", F.col("seq").cast("long").alias("seq"), "module")
 
 
 def import_graph(spark, sf):
-    return graph.import_edges(parse.imports(_facts(spark, sf)), _scope(spark, sf))
+    return graph.import_edges(parse.imports(_facts(spark, sf, "import")), _scope(spark, sf))
 
 
 def _commits(spark, sf):
@@ -244,13 +245,13 @@ def _risk_lines(spark, sf, facts):
 
 
 def file_risk(spark, sf):
-    r = _risk(spark, sf, _facts(spark, sf))
+    r = _risk(spark, sf, _facts(spark, sf, "import"))
     return r.select("file", F.col("dependents").cast("long").alias("dependents"), F.array_join("dependent_files", ",").alias("dependent_files"), "commit_count", "risk_level", "rationale")
 
 
 def risk_recomputed(spark, sf):
     """Scores of which every seventh is put wrong, against a recomputation."""
-    facts, scope = _facts(spark, sf), _scope(spark, sf)
+    facts, scope = _facts(spark, sf, "import"), _scope(spark, sf)
     edges = settled(graph.import_edges(parse.imports(facts), scope), "edges")
     commits = settled(_commits(spark, sf), "commits")
     wrong = F.when(F.regexp_extract("file", r"(\d+)", 1).cast("long") % 7 == 0, 1).otherwise(0)
@@ -259,19 +260,19 @@ def risk_recomputed(spark, sf):
 
 
 def call_sites(spark, sf):
-    return parse.call_sites(_facts(spark, sf)).drop("seq")
+    return parse.call_sites(_facts(spark, sf, "call")).drop("seq")
 
 
 def gold_nodes(spark, sf):
-    return parse.definitions(_facts(spark, sf)).select("node_id", "file_path", "class_name", "name", "kind", "start_line", "end_line")
+    return parse.definitions(_facts(spark, sf, "definition")).select("node_id", "file_path", "class_name", "name", "kind", "start_line", "end_line")
 
 
 def class_ancestors(spark, sf):
-    return graph.class_ancestors(parse.classes(_facts(spark, sf)))
+    return graph.class_ancestors(parse.classes(_facts(spark, sf, "class")))
 
 
 def class_files(spark, sf):
-    return graph.class_to_file(parse.classes(_facts(spark, sf)))
+    return graph.class_to_file(parse.classes(_facts(spark, sf, "class")))
 
 
 def _index(spark, sf):
@@ -319,7 +320,7 @@ def ask_questions(spark, sf):
 
 def risk_answers(spark, sf):
     """The questions about risk, routed, their files found in the code base, answered from its scores."""
-    facts = _facts(spark, sf)
+    facts = _facts(spark, sf, "class", "import")
     risky, _ = ask.routed(_questions(spark, sf))
     targeted = ask.extract_targets(risky, _scope(spark, sf), graph.class_to_file(parse.classes(facts)))
     out = ask.risk_responses(targeted, _risk_lines(spark, sf, facts), _scope(spark, sf), told={"answer_md5": F.md5})
@@ -330,7 +331,7 @@ def risk_notes(spark, sf):
     """Notes on the files at high risk among the primaries of a query for every part: its own file and the one it imports."""
     k = F.col("p_partkey")
     primary = _parts(spark, sf).select(k.alias("query_id"), F.explode(F.array(F.struct(F.lit(1).alias("place"), k.alias("file")), F.struct(F.lit(2).alias("place"), F.floor(k / 2).alias("file")))).alias("p")).select("query_id", "p.place", F.format_string("m%d.py", "p.file").alias("file_path"))
-    notes = retrieval.risk_notes(primary, _risk_lines(spark, sf, _facts(spark, sf)))
+    notes = retrieval.risk_notes(primary, _risk_lines(spark, sf, _facts(spark, sf, "import")))
     return notes.select("query_id", F.array_join("risk_notes", "; ").alias("notes"))
 
 
@@ -407,7 +408,7 @@ def label_errors(spark, sf):
         F.array(F.when(k % 13 == 0, F.lit("zz")).otherwise(F.format_string("m%d", k))).alias("target_files"),
         F.when(k % 17 == 0, "other").otherwise("code_explanation").alias("intent"),
     )
-    return evaluate.label_errors(labels, parse.definitions(_facts(spark, sf)), _scope(spark, sf))
+    return evaluate.label_errors(labels, parse.definitions(_facts(spark, sf, "definition")), _scope(spark, sf))
 
 
 def flagged_claims(spark, sf):

@@ -39,3 +39,15 @@ def test_no_vocabulary_is_sent_whole(spark):
     out = evaluate.odd_identifiers(answers, spark.createDataFrame([("known_name",)], "token string"))
     assert "strategy=merge" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.collect() == [(1, "other_name", "fabricated")]
+
+
+def test_facts_only_of_the_kinds_asked_for(spark):
+    from codelode.functions import parse
+
+    source = "import m2\nclass C(D):\n    def run(self):\n        f()\ndef f():\n    pass\n"
+    files = spark.createDataFrame([("m1.py", source)], "file_path string, source string")
+    whole = parse.facts(files)
+    for kinds in (("import",), ("definition",), ("class", "import"), ("call",)):
+        some = parse.facts(files, kinds=kinds)
+        assert sorted(map(str, some.collect())) == sorted(map(str, whole.filter(whole.what.isin(*kinds)).collect())) != []
+    assert {r.what for r in queries._facts(spark, SF, "import").select("what").distinct().collect()} == {"import"}
