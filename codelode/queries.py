@@ -255,7 +255,7 @@ def risk_recomputed(spark, sf):
     edges = settled(graph.import_edges(parse.imports(facts), scope), "edges")
     commits = settled(_commits(spark, sf), "commits")
     wrong = F.when(F.regexp_extract("file", r"(\d+)", 1).cast("long") % 7 == 0, 1).otherwise(0)
-    scores = graph.risk_scores(edges, scope, commits).withColumn("dependents", F.col("dependents") + wrong)
+    scores = graph.risk_levels(edges, scope, commits).withColumn("dependents", F.col("dependents") + wrong)
     return graph.risk_mismatches(scores, edges, scope, commits)
 
 

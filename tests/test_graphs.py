@@ -65,3 +65,30 @@ def test_few_dependents_take_few_bytes(spark, monkeypatch):
     scope = spark.createDataFrame([("m0",), ("m1",), ("m61",)], "stem string")
     assert {r.stem: r.dependents for r in graph.dependent_counts(edges, scope).collect()} == {"m0": 0, "m1": 1, "m61": 2}
     assert kept and all("binary" not in kinds for _, kinds in kept) and kept[-1][0] <= 42
+
+
+def scored(spark):
+    """A chain of 150 files with a cycle and a hub, their scope and commits."""
+    pairs = [(k, k + 1) for k in range(149)] + [(149, 140), (9, 200), (3, 200), (200, 70)]
+    edges = spark.createDataFrame([(f"m{a}", f"m{b}") for a, b in pairs], "src string, dst string")
+    scope = spark.createDataFrame([(f"m{k}",) for k in [*range(150), 200, 300]], "stem string")
+    to = {}
+    for a, b in pairs:
+        to.setdefault(b, set()).add(a)
+    want = {}
+    for k in [*range(150), 200, 300]:
+        seen, at = set(), {k}
+        while at:
+            at = {b for x in at for b in to.get(x, ())} - seen
+            seen |= at
+        want[f"m{k}"] = sorted(f"m{x}" for x in seen - {k})
+    return edges, scope, scope.selectExpr("stem", "2L AS commit_count"), want
+
+
+def test_recomputation_reads_no_pairs(spark, monkeypatch):
+    edges, scope, commits, _ = scored(spark)
+    scores = graph.risk_levels(edges, scope, commits).selectExpr("file", "dependents + if(file IN ('m7', 'm200'), 1, 0) AS dependents", "commit_count", "risk_level").filter("file <> 'm11'")
+    scores = scores.localCheckpoint()
+    for name in ("closure", "closure_by_frontier"):
+        monkeypatch.setattr(graph, name, lambda e: 1 / 0)
+    assert {tuple(r) for r in graph.risk_mismatches(scores, edges, scope, commits).collect()} == {("m7", "other numbers"), ("m200", "other numbers"), ("m11", "no score")}
