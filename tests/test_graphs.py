@@ -85,6 +85,15 @@ def scored(spark):
     return edges, scope, scope.selectExpr("stem", "2L AS commit_count"), want
 
 
+def test_lists_come_from_a_closure_of_numbers(spark, monkeypatch):
+    edges, scope, _, want = scored(spark)
+    kinds, closure = [], graph.closure
+    monkeypatch.setattr(graph, "closure", lambda e: kinds.append({f.dataType.simpleString() for f in e.schema.fields}) or closure(e))
+    assert {r.stem: (r.dependents, r.dependent_files) for r in graph.dependents(edges, scope).collect()} == {k: (len(v), v) for k, v in want.items()}
+    assert {r.stem: r.dependents for r in graph.reached_counts(edges, scope).collect()} == {k: len(v) for k, v in want.items()}
+    assert kinds == [{"bigint"}] * 2
+
+
 def test_recomputation_reads_no_pairs(spark, monkeypatch):
     edges, scope, commits, _ = scored(spark)
     scores = graph.risk_levels(edges, scope, commits).selectExpr("file", "dependents + if(file IN ('m7', 'm200'), 1, 0) AS dependents", "commit_count", "risk_level").filter("file <> 'm11'")
