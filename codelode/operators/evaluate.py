@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import cost, identifiers, rate, tokens
+from .shared import settled
 
 
 #: Names that Python itself has.
@@ -186,10 +187,10 @@ RANK_BUCKETS = 200
 def _at_ranks(rows: DataFrame, key: str, value: str, ranks: dict) -> DataFrame:
     """(key, one column a name) with the value at a rank, given as a column of the group's ``total``, for groups of any size.
 
-    Values are counted, dealt into buckets between approximate quantiles, and only the bucket that holds a rank is
+    Values are counted, once, dealt into buckets between approximate quantiles, and only the bucket that holds a rank is
     sorted. Rows with a null key or value don't count.
     """
-    counted = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = settled(rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")), "counted")
     cuts = counted.groupBy(key).agg(F.percentile_approx(value, [k / RANK_BUCKETS for k in range(1, RANK_BUCKETS)]).alias("cuts"))
     dealt = counted.join(cuts, key).select(key, value, "n", F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bucket"))
     own = Window.partitionBy(key)

@@ -51,3 +51,13 @@ def test_facts_only_of_the_kinds_asked_for(spark):
         some = parse.facts(files, kinds=kinds)
         assert sorted(map(str, some.collect())) == sorted(map(str, whole.filter(whole.what.isin(*kinds)).collect())) != []
     assert {r.what for r in queries._facts(spark, SF, "import").select("what").distinct().collect()} == {"import"}
+
+
+def test_percentiles_make_only_their_measures(spark, monkeypatch):
+    from codelode import queries_evaluation
+    from codelode.operators import summary
+
+    made, measured = [], summary.measured
+    monkeypatch.setattr(summary, "measured", lambda rows, wanted: made.extend(m.name for m in wanted) or measured(rows, wanted))
+    assert queries_evaluation.evaluation_percentiles(spark, SF).count() > 0
+    assert sorted(made) == ["latency_s", "retrieval_s"]
