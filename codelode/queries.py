@@ -290,7 +290,7 @@ def definition_lookup(spark, sf):
 def expand_calls(spark, sf):
     """What each file's method run calls, as far as it has chunks."""
     primary = _parts(spark, sf).select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("place"), F.format_string("m%d.py", "p_partkey").alias("file_path"), F.format_string("C%d", "p_partkey").alias("parent_class"), F.lit("run").alias("base_name"))
-    found = retrieval.whole_chunks(retrieval.expand(primary, call_edges(spark, sf)), _index(spark, sf))
+    found = retrieval.whole_chunks(retrieval.expand(primary, call_edges(spark, sf)), settled(retrieval.chunk_index(parse.chunks(_files(spark, sf))), "chunks"))
     return retrieval.cited(found).select("query_id", "citation", F.length("text").cast("long").alias("n_chars"))
 
 

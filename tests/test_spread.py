@@ -61,3 +61,10 @@ def test_percentiles_make_only_their_measures(spark, monkeypatch):
     monkeypatch.setattr(summary, "measured", lambda rows, wanted: made.extend(m.name for m in wanted) or measured(rows, wanted))
     assert queries_evaluation.evaluation_percentiles(spark, SF).count() > 0
     assert sorted(made) == ["latency_s", "retrieval_s"]
+
+
+def test_expansion_makes_no_vectors(spark, monkeypatch):
+    from codelode.functions import metrics
+
+    monkeypatch.setattr(metrics, "hashed_embedding", lambda text: 1 / 0)
+    assert queries.expand_calls(spark, "/root/testdata/sf0.001").count() > 0
