@@ -209,11 +209,11 @@ def _call_graph(facts):
 
 
 def call_edges(spark, sf):
-    return _call_graph(_facts(spark, sf))[0]
+    return _call_graph(_facts(spark, sf, *parse.CALL_FACTS))[0]
 
 
 def unresolved_calls(spark, sf):
-    return _call_graph(_facts(spark, sf))[1].select("caller", "repr", "reason")
+    return _call_graph(_facts(spark, sf, *parse.CALL_FACTS))[1].select("caller", "repr", "reason")
 
 
 def chunk_source(spark, sf):
@@ -312,7 +312,7 @@ def question_targets(spark, sf):
 
 def ask_questions(spark, sf):
     """A question for every supplier about the code base, answered from its risk scores or from its code."""
-    facts = _facts(spark, sf)
+    facts = _facts(spark, sf, *parse.CALL_FACTS)
     base = ask.CodeBase(_scope(spark, sf), _risk_lines(spark, sf, facts), graph.class_to_file(parse.classes(facts)), _index(spark, sf), settled(_call_graph(facts)[0], "calls"))
     out = ask.ask(_questions(spark, sf), base, told={"answer_md5": F.md5, "answer_chars": F.length})
     return out.select("question_id", "intent", "answer_md5", "answer_chars", F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
