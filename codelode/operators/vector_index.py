@@ -2,8 +2,8 @@
 
 The table holds a row a vector: its cell, the codes of what is left of it behind the cell's centre, and the vector,
 which only the re-rank reads. Centres and code books are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
-A search goes over the table in one pass for a block of queries: tasks estimate distances from code tables and keep the
-best of each query, these are measured exactly. With ``exact``, a second pass measures what cells may still hold nearer
+A search goes over the table in one pass for a block of queries: tasks estimate distances from code tables, keep the
+best of each query and measure these exactly. With ``exact``, a second pass measures what cells may still hold nearer
 vectors, by the triangle inequality with the cells' radii, so that nothing is missed.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import discard, settled
+
 #: Vectors that centres and code books are fitted on.
 SAMPLE = 65_536
 #: Code words of a part of a vector; turns of a fit.
@@ -105,14 +107,17 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, parts: int =
     if size % parts:
         raise ValueError(f"{parts} parts do not divide vectors of {size}")
     rows = vectors.filter(F.size(column) == size).select(F.col(id_col).alias("id"), F.col(column).cast("array<double>").alias("embedding"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding")
+    # Written once, then dealt out: its order ends in one partition.
+    sample = settled(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding"), "sample").repartition(spark.sparkContext.defaultParallelism)
     k = min(cells or round(n**0.5) or 1, MOST_CELLS, n)
     if k > 1:
-        fitted = KMeans(k=k, maxIter=TURNS, seed=1, initMode="random").fit(sample.select(array_to_vector("embedding").alias("features")))
+        # By rows, every turn sends the distances of all centres to each other to the driver, and a task a centre makes them.
+        fitted = KMeans(k=k, maxIter=TURNS, seed=1, initMode="random", solver="block").fit(sample.select(array_to_vector("embedding").alias("features")))
         centres = np.array(fitted.clusterCenters())
     else:
         centres = np.array(sample.first()[0])[None, :]
     books = _books(sample, centres, parts)
+    discard(sample)
     width = size // parts
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,24 +152,24 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, np.array([r["v"] for r in centres]), np.array([r["radius"] for r in centres]), words.reshape(parts, WORDS, -1))
 
 
-def _best(found: dict, j: int, distances: np.ndarray, ids: np.ndarray, k: int) -> None:
-    """Keeps the k nearest of query j, ties by id."""
-    if j in found:
-        distances, ids = np.r_[found[j][0], distances], np.r_[found[j][1], ids]
-    if len(distances) > k:
-        cut = np.partition(distances, k - 1)[k - 1]
-        near = np.flatnonzero(distances <= cut)
-        near = near[np.lexsort([ids[near], distances[near]])][:k]
-        distances, ids = distances[near], ids[near]
-    found[j] = (distances, ids)
+def _nearest(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest, ties by id; of fewer all."""
+    if len(distances) <= k:
+        return np.arange(len(distances))
+    near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1])
+    return near[np.lexsort([ids[near], distances[near]])][:k]
+
 
+def _scan(names: list, wanted: np.ndarray, allowed: np.ndarray, index: VectorIndex, k: int, rerank: int) -> Callable:
+    """(query, id, distance) of a task's k best of each query among the cells allowed to it.
 
-def _scan(names: list, wanted: np.ndarray, allowed: np.ndarray, index: VectorIndex, k: int, measured: bool) -> Callable:
-    """(query, id, distance) of a task's k best of each query among the cells allowed to it: estimated from codes, or measured."""
+    With ``rerank`` only those are measured that are among its ``rerank`` x k best by their codes, else all.
+    """
     parts, _, width = index.books.shape
+    most = (rerank or 1) * k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple] = {}
+        found: dict[int, tuple] = {}  # by query: order (estimated or measured), ids, measured distances
         for batch in batches:
             cell, ids = batch.column("cell").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False)
             for c in np.unique(cell):
@@ -173,20 +178,30 @@ def _scan(names: list, wanted: np.ndarray, allowed: np.ndarray, index: VectorInd
                     continue
                 own = np.flatnonzero(cell == c)
                 rows = batch.take(pa.array(own))
-                x = _matrix(rows.column("embedding")) if measured else None
-                codes = None if measured else np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(own), parts)
+                x, named = _matrix(rows.column("embedding")), ids[own]
+                codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(own), parts) if rerank else None
                 for at in range(0, len(asking), ASKED):
                     some = asking[at : at + ASKED]
-                    if measured:
-                        distances = np.stack([((x - q) ** 2).sum(axis=1) for q in wanted[some]])
-                    else:
+                    if rerank:
                         rest = (wanted[some] - index.centres[c]).reshape(len(some), parts, 1, width)
                         tables = ((index.books - rest) ** 2).sum(axis=3)
-                        distances = tables[:, np.arange(parts), codes].sum(axis=2)
-                    for j, d in zip(some.tolist(), distances):
-                        _best(found, j, d, ids[own], k)
-        for j, (distances, ids) in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(ids), pa.int64()), pa.array(ids), pa.array(distances)], names=["query_id", "id", "distance"])
+                        order = tables[:, np.arange(parts), codes].sum(axis=2)
+                    else:
+                        order = np.stack([((x - q) ** 2).sum(axis=1) for q in wanted[some]])
+                    for j, d in zip(some.tolist(), order):
+                        had = found.get(j)
+                        # Once enough are found, the farthest of them bounds what can come in.
+                        open_ = np.flatnonzero(d <= had[0].max()) if had and len(had[0]) == most else np.arange(len(d))
+                        new = open_[_nearest(d[open_], named[open_], most)]
+                        if not len(new):
+                            continue
+                        gap = ((x[new] - wanted[j]) ** 2).sum(axis=1) if rerank else d[new]
+                        merged = [d[new], named[new], gap] if had is None else [np.r_[u, v] for u, v in zip(had, (d[new], named[new], gap))]
+                        keep = _nearest(merged[0], merged[1], most)
+                        found[j] = tuple(m[keep] for m in merged)
+        for j, (_, of, distances) in found.items():
+            best = _nearest(distances, of, k)
+            yield pa.RecordBatch.from_arrays([pa.array([names[j]] * len(best), pa.int64()), pa.array(of[best]), pa.array(distances[best])], names=["query_id", "id", "distance"])
 
     return run
 
@@ -199,8 +214,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def search(queries: DataFrame, index: VectorIndex, k: int = 12, probes: float = 0.7, rerank: int = 10, exact: bool = False, query_id: str = "query_id", column: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest vectors of the index by squared L2, ties by id.
 
-    Each query looks into the share ``probes`` of the cells, the nearest, and measures the best ``rerank`` x k of them by
-    their codes. With ``exact`` the result is that of a search over all vectors. Null queries, and those of another
+    Each query looks into the share ``probes`` of the cells, the nearest, and every task measures the best ``rerank`` x k
+    of its own rows there by their codes, so no vector leaves its task. With ``exact`` the result is that of a search over all vectors. Null queries, and those of another
     length, find nothing. Queries are taken in blocks, each one or two passes over the cells that it asks for.
     """
     spark = queries.sparkSession
@@ -217,21 +232,18 @@ def search(queries: DataFrame, index: VectorIndex, k: int = 12, probes: float =
         near = np.zeros(gaps.shape, bool)
         np.put_along_axis(near, np.argsort(gaps, axis=1, kind="stable")[:, :many], True, axis=1)
 
-        def scan(allowed: np.ndarray, most: int, measured: bool) -> DataFrame:
+        def scan(allowed: np.ndarray, rerank: int) -> DataFrame:
             cells = [int(c) for c in np.flatnonzero(allowed.any(axis=0))]
-            read = table.filter(F.col("cell").isin(cells)).select("cell", "id", "embedding" if measured else "codes")
-            return read.mapInArrow(_scan(names, wanted, allowed, index, most, measured), schema)
+            read = table.filter(F.col("cell").isin(cells)).select("cell", "id", "embedding", *(["codes"] if rerank else []))
+            return _ranked(read.mapInArrow(_scan(names, wanted, allowed, index, k, rerank), schema), k)
 
-        candidates = _ranked(scan(near, rerank * k, False), rerank * k).drop("distance", "rank")
-        block = spark.createDataFrame([(i, v.tolist()) for i, v in zip(names, wanted)], "query_id long, q array<double>")
-        gap = F.aggregate(F.zip_with("embedding", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        best = _ranked(candidates.join(table.select("id", "embedding"), "id").join(F.broadcast(block), "query_id").select("query_id", "id", gap.alias("distance")), k)
+        best = scan(near, rerank)
         if not exact:
             return best
         # The farthest of the k found bounds what can be nearer; a query with fewer asks all cells.
         limit = {r[0]: r[1] for r in best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("far")).collect()}  # a row a query of the block
         bound = np.array([np.inf if limit.get(i) is None else np.sqrt(limit[i]) for i in names])
-        return _ranked(scan(gaps - index.radii - 1e-9 <= bound[:, None] * (1 + 1e-9), k, True), k)
+        return scan(gaps - index.radii - 1e-9 <= bound[:, None] * (1 + 1e-9), 0)
 
     block: list = []
     for row in asked.toLocalIterator():
