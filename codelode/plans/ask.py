@@ -130,7 +130,7 @@ def explain(questions: DataFrame, code: CodeBase, embed: Callable[[Column], Colu
 
     With a model its replies are the answers, and how its calls went is said besides: attempts, fell_back, error_code.
     """
-    held = retrieval.retrieve(questions, code.index, code.call_edges, embed)
+    held = settled(retrieval.retrieve(questions, code.index, code.call_edges, embed), "retrieved")  # read four times below
     contexts = retrieval.context_text(retrieval.cited(held), "question_id")
     notes = retrieval.risk_notes(held.filter("section = 0"), code.risk, "question_id")
     details = held.filter("section = 0").select("question_id", F.replace(F.regexp_replace("file_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("file")).distinct()

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from codelode.operators import graph
+from codelode.functions.metrics import hashed_embedding
+from codelode.operators import graph, retrieval
+from codelode.operators.shared import settled
 from codelode.plans import ask
 
 
@@ -36,3 +38,44 @@ def test_digests_are_those_of_whole_answers(spark):
     assert {r.k: r.d for r in sums.collect()} == {k: r.digest for k, r in brief.items()}
     assert whole[3].answer.startswith("m99 isn't known. Known are: m0, m1, m10") and whole[3].risk_details is None and brief[3].risk_details is None
     assert whole[2].risk_details[0].dependent_files == ["m1", "m2"] and "dependent_files" not in lines.columns
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    """Of many questions and chunks with the same few vectors only these go through the search; what is found are the nearest of all, ties by id."""
+    compared = []
+    plain = retrieval.vector_topk
+
+    def counting(queries, vectors, *args):
+        compared.append((queries.count(), vectors.count()))
+        return plain(queries, vectors, *args)
+
+    asked = spark.range(60).select(F.col("id").alias("question_id"), F.array(*((F.col("id") % 3 + j).cast("float") for j in range(4))).alias("embedding"))
+    index = spark.range(400).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.when(F.col("id") % 50 > 0, F.array(*((F.col("id") % 7 * j % 5).cast("float") for j in range(4)))).alias("embedding"))
+    want = {tuple(r) for r in plain(asked, index, 12, "question_id", "chunk_id").collect()}
+    monkeypatch.setattr(retrieval, "vector_topk", counting)
+    assert {tuple(r) for r in retrieval.distinct_topk(asked, index, 12, "question_id", "chunk_id").collect()} == want
+    assert len(want) == 60 * 12 and compared == [(3, 5)]
+
+
+def test_repeated_ids_and_no_numbers(spark):
+    """An id with two vectors keeps both, and a vector with a component that is no number takes no other's place."""
+    rows = [(1, [0.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [float("nan"), 0.0]), (4, None), (5, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [0.0, 0.0]), (8, [0.0, 0.0])], "query_id long, embedding array<double>")
+    for found in (retrieval.vector_topk, retrieval.distinct_topk):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in found(asked, vectors, 4).collect()}
+        assert got == {(q, k): hit for q in (7, 8) for k, hit in enumerate([(1, 0.0), (5, 1.0), (1, 9.0), (2, 9.0)], 1)}
+
+
+def test_questions_retrieve_once(spark, monkeypatch):
+    """What is retrieved is written, not searched for again by contexts, notes and details."""
+    written = []
+    monkeypatch.setattr(ask, "settled", lambda df, label: written.append(label) or settled(df, label))
+    scope, classes = code_base(spark, 8)
+    chunks = spark.range(8).select(F.format_string("m%d.py", "id").alias("file_path"), F.lit("function").alias("chunk_type"), F.format_string("f%d", "id").alias("name"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.format_string("def f%d():\n    pass", "id").alias("text"), F.lit(None).cast("string").alias("parent_class"))
+    edges = spark.createDataFrame([("m1", "m3")], "src string, dst string")
+    risk = graph.risk_lines(edges, scope, scope.select("stem", F.lit(2).cast("long").alias("commit_count")))
+    base = ask.CodeBase(scope, risk, classes, retrieval.chunk_index(chunks, hashed_embedding), spark.createDataFrame([], "caller string, callee string"))
+    asked = spark.createDataFrame([(1, "what does f3 do, def f3?")], "question_id long, question string")
+    assert ask.explain(asked, base).first().answer.startswith("Relevant code: f3, lines 1-2")
+    assert written.count("retrieved") == 1
