@@ -132,3 +132,55 @@ def test_texts_and_terms_are_taken_in_slices(monkeypatch):
     assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(6))
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 100 for p in parts)
     assert list(embedding.slices(batch.slice(0, 0), np.zeros(0), 5)) == []
+
+
+def test_texts_are_embedded_once_for_all_blocks_of_queries(spark, monkeypatch):
+    """Queries and vectors of learned_neighbours come from a table, not from texts that every block embeds again."""
+    seen = []
+    plain = retrieval.vector_topk
+
+    def looking(queries, vectors, *args):
+        seen.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in (queries, vectors))
+        return plain(queries, vectors, *args)
+
+    monkeypatch.setattr(retrieval, "vector_topk", looking)
+    rows = QUERIES["learned_neighbours"](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 2 and not any("MapInArrow" in plan for plan in seen)
+    assert rows and all(r.query_id % 100 == 0 and r.doc_id != r.query_id for r in rows)
+
+
+def test_pairs_and_counts_by_hand(spark, monkeypatch):
+    """Pairs within the window, of every text alone, combined in tasks or handed on in between; texts that hold a term, once each."""
+    texts = ["a b a c", None, "c", "", "b B b unknown a", "aC aC"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    number = {"a": 0, "b": 1, "c": 2}
+    want = {}
+    for text in texts:
+        said = [number[t] for t in embedding.plain_terms(text) if t in number]
+        for at, x in enumerate(said):
+            for y in said[at + 1 : at + 3]:
+                for code in {min(x, y) * 3 + max(x, y)}:
+                    want[code] = want.get(code, 0) + (2 if x == y else 1)
+    for step in (1 << 23, 0):
+        monkeypatch.setattr(embedding, "STEP_PAIRS", step)
+        monkeypatch.setattr(embedding, "STEP_BYTES", 1 if step == 0 else 4 << 20)
+        assert {r.code: r.n for r in embedding.near_pairs(docs, number, 2).collect()} == want
+    assert {r.term: r.n for r in embedding.text_counts(docs).collect()} == {"a": 3, "b": 2, "c": 3, "unknown": 1}
+    assert embedding.plain_terms("HTTPServer fooBar_baz42 ÑandúX a1B2") == ["http", "server", "foo", "bar", "baz", "42", "ñ", "and", "ú", "x", "a", "1", "b", "2"]
+
+
+def test_packed_product_is_the_dense_one(spark, monkeypatch):
+    """Rows in pieces and more rows than a block holds; entries below 0 are left out."""
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, 4, (30, 30))
+    monkeypatch.setattr(embedding, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        entries = spark.createDataFrame([(i, j, int(dense[i, j])) for i in range(30) for j in range(30) if dense[i, j]], "i int, j int, n long")
+        packed = embedding._packed(entries.repartition(3, "i").sortWithinPartitions("i"))
+        right = rng.normal(size=(30, 5))
+        got = embedding._times(packed, lambda i, j, n: n - 1.5, right)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(got, np.where(dense > 1, dense - 1.5, 0) @ right)
+    assert packed.agg(F.sum("total")).first()[0] == dense.sum()
