@@ -149,6 +149,16 @@ def test_texts_are_embedded_once_for_all_blocks_of_queries(spark, monkeypatch):
     assert rows and all(r.query_id % 100 == 0 and r.doc_id != r.query_id for r in rows)
 
 
+def test_texts_are_dealt_out_to_tasks(spark, monkeypatch):
+    """What learned_neighbours reads three times lies in more than the parts of its file, and isn't held any longer than that."""
+    parts = []
+    learn = embedding.learn
+    monkeypatch.setattr(embedding, "learn", lambda docs: parts.append((docs.rdd.getNumPartitions(), docs.is_cached)) or learn(docs))
+    QUERIES["learned_neighbours"](spark, "/root/testdata/sf0.001")
+    assert parts == [(spark.sparkContext.defaultParallelism, True)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_pairs_and_counts_by_hand(spark, monkeypatch):
     """Pairs within the window, of every text alone, combined in tasks or handed on in between; texts that hold a term, once each."""
     texts = ["a b a c", None, "c", "", "b B b unknown a", "aC aC"]
