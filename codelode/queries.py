@@ -312,8 +312,9 @@ def question_targets(spark, sf):
 
 def ask_questions(spark, sf):
     """A question for every supplier about the code base, answered from its risk scores or from its code."""
-    facts = _facts(spark, sf, *parse.CALL_FACTS)
-    base = ask.CodeBase(_scope(spark, sf), _risk_lines(spark, sf, facts), graph.class_to_file(parse.classes(facts)), _index(spark, sf), settled(_call_graph(facts)[0], "calls"))
+    facts = _facts(spark, sf, *parse.CALL_FACTS, "chunk")  # one parse of a file for its facts and its chunks
+    index = settled(retrieval.chunk_index(parse.known_chunks(facts), M.hashed_embedding), "index")
+    base = ask.CodeBase(_scope(spark, sf), _risk_lines(spark, sf, facts), graph.class_to_file(parse.classes(facts)), index, settled(_call_graph(facts)[0], "calls"))
     out = ask.ask(_questions(spark, sf), base, told={"answer_md5": F.md5, "answer_chars": F.length})
     return out.select("question_id", "intent", "answer_md5", "answer_chars", F.array_join("citations", "; ").alias("citations"), F.size("risk_details").alias("n_details"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codelode.functions import parse
 from codelode.functions.metrics import hashed_embedding
 from codelode.operators import graph, retrieval
 from codelode.operators.shared import settled
@@ -79,3 +80,16 @@ def test_questions_retrieve_once(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "what does f3 do, def f3?")], "question_id long, question string")
     assert ask.explain(asked, base).first().answer.startswith("Relevant code: f3, lines 1-2")
     assert written.count("retrieved") == 1
+
+
+def test_one_parse_gives_facts_and_chunks(spark):
+    """Chunks among the facts are those of a parse of their own, and a file is parsed once for both."""
+    source = "import os\nfrom m2 import f2\n\nclass C1(C2):\n    def run(self):\n        f2(1)\n" + "".join(f"\ndef f{k}(x):\n    return [f2(x), {'x + ' * 400}1]\n" for k in range(3)) + "    # " + "z" * 2000 + "\n    return 1\n"
+    files = spark.createDataFrame([("m1.py", source), ("m2.py", ""), ("a/m3.py", "try:\n    import x\nexcept ImportError:\n    import y\nfinally:\n    import z\n")], "file_path string, source string")
+    known = parse.facts(files, kinds=(*parse.CALL_FACTS, "chunk"))
+    both = [sorted(map(tuple, df.collect()), key=str) for df in (parse.known_chunks(known), parse.chunks(files))]
+    assert both[0] == both[1] and {r[1] for r in both[0]} >= {"class", "split", "module_level"}
+    assert {tuple(r) for r in parse.imports(known).collect()} == {("m1", 0, "os"), ("m1", 1, "m2"), ("a.m3", 0, "x"), ("a.m3", 1, "z")}
+    parse._tree.cache_clear()
+    parse.facts_of("m1.py", source, kinds=(*parse.CALL_FACTS, "chunk"))
+    assert parse._tree.cache_info().misses == 1
